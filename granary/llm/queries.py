@@ -7,25 +7,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import minhash, quality
+from granary.llm import html, langid, license, minhash, mixing, passages, pu, quality, sharding, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.assigned(_table(spark, sf_dir, "documents"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
+
+
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(quality.measured(_table(spark, sf_dir, "documents")))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
 
 
+def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
+def op9_passage_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_table(spark, sf_dir, "documents"))
+
+
+def op10_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_curriculum_mix": op1_curriculum_mix,
         "op2_fertility": op2_fertility,
+        "op3_main_text": op3_main_text,
         "op4_circulant_minhash": op4_circulant_minhash,
+        "op5_positive_unlabelled": op5_positive_unlabelled,
+        "op6_license_join": op6_license_join,
+        "op7_string_tiling": op7_string_tiling,
+        "op8_label_propagation": op8_label_propagation,
+        "op9_passage_banding": op9_passage_banding,
+        "op10_naive_bayes": op10_naive_bayes,
     }
 
 
