@@ -126,11 +126,15 @@ def contained(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
 def scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, a row for each row of documents.
 
-    score: 1 with a base phrase, else the best containment of a template at or above the threshold,
+    A line's own labels are those of the templates that it contains best. score: 1 with a base phrase, else the best containment of a template at or above the threshold,
     else 0. A null or empty text has no words and no labels (empty strings). Repeated rows each give
     a row; a null doc_id is passed on; extra columns are ignored.
     """
-    hits = contained(documents, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"))
+    blocks = contained(documents, templates, threshold).groupBy("doc_id", "text_hash", "block")
+    blocks = blocks.agg(F.max("containment").alias("best"), F.collect_list(F.struct("containment", "label")).alias("all"))  # at most one for each template
+    closest = F.transform(F.filter("all", lambda x: x["containment"] == F.col("best")), lambda x: x["label"])
+    hits = blocks.select("doc_id", "text_hash", "best", F.explode(closest).alias("label"))
+    hits = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("own"), F.max("best").alias("best"))
     hits = keep(hits).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "own", "best")
     rows = base(documents).join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     join = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))

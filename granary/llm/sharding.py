@@ -2,8 +2,8 @@
 
 Documents of one group are linked. In each round a join brings every document the shard that most of
 its group is in, and documents move there under quotas: a shard takes as many from another as it gives
-to it, plus its share of the free capacity. Groups move whole where a quota allows. At the end shards
-are evened to counts at most one apart, unlinked documents first, and rows get gapless slots.
+to it, plus a share of its room. At the end shards are evened to counts at most one apart, unlinked
+documents first, and rows get gapless slots.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, keep
+from granary.llm.common import keep
 
 SHARDS = 8
 _PARTS = 1024
@@ -27,44 +27,67 @@ def nodes(documents: DataFrame, groups=None) -> DataFrame:
     return rows.withColumn("order", F.xxhash64("doc_id", "group"))
 
 
-def _quotas(wishes: DataFrame, capacity: int, sizes: DataFrame, shards: int) -> DataFrame:
-    """(shard, wish, last): for each pair of shards the last part of 1024 whose documents may move."""
-    moves = wishes.groupBy("shard", "wish", "part").agg(F.count(F.lit(1)).alias("n"))
+def _wishes(votes: DataFrame, room: dict[int, int], shards: int) -> DataFrame:
+    """(group, shard, wish, n): the rows that a group has in a shard and the shard where they would rather be.
+
+    That is the shard with the most rows of the group among those with room, else among all.
+    """
+    free = F.array(*[F.lit(room[s] > 0) for s in range(shards)])
+    vote = F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")
+    all_votes = votes.groupBy("group").agg(F.collect_list(vote).alias("votes")).where(F.size("votes") > 1)
+    best = F.array_max("votes")
+    roomy = F.array_max(F.filter("votes", lambda v: F.element_at(free, v["shard"] + 1)))
+    mine = all_votes.select("group", F.explode("votes").alias("mine"), best.alias("best"), roomy.alias("roomy"))
+    wish = F.when(F.col("roomy") > F.col("mine"), F.col("roomy.shard")).when(F.col("best") > F.col("mine"), F.col("best.shard"))
+    return mine.select("group", "mine.shard", wish.alias("wish"), "mine.n").where("wish IS NOT NULL")
+
+
+def _quotas(wishes: DataFrame, room: dict[int, int], large: int, turn: int) -> DataFrame:
+    """(shard, wish, last): for each pair of shards the last part of 1024 that may move.
+
+    A shard takes as many rows from another as it gives to it, and of its room a share by demand.
+    """
+    part = F.pmod(F.xxhash64("group", F.lit(turn)), F.lit(_PARTS))
+    whole = wishes.where(F.col("n") <= large).select("shard", "wish", part.alias("part"), F.col("n").cast("double").alias("n"))
+    pieces = wishes.where(F.col("n") > large).groupBy("shard", "wish").agg((F.sum("n") / _PARTS).alias("n"))
+    pieces = pieces.select("shard", "wish", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"), "n")
+    moves = whole.union(pieces).groupBy("shard", "wish", "part").agg(F.sum("n").alias("n"))
     pair = moves.groupBy("shard", "wish").agg(F.sum("n").alias("m"))
     back = pair.select(F.col("wish").alias("shard"), F.col("shard").alias("wish"), F.col("m").alias("back"))
     into = pair.groupBy("wish").agg(F.sum("m").alias("asked"))
-    free = sizes.select(F.col("shard").alias("wish"), F.greatest(F.lit(capacity) - F.col("n"), F.lit(0)).alias("free"))
-    quota = F.least("m", F.coalesce("back", F.lit(0))) + F.floor(F.coalesce("free", F.lit(capacity)) * F.col("m") / F.col("asked"))
-    allowed = pair.join(back, ["shard", "wish"], "left").join(into, "wish").join(free, "wish", "left").select("shard", "wish", quota.alias("quota"))
+    free = F.element_at(F.array(*[F.lit(float(max(room[s], 0))) for s in sorted(room)]), F.col("wish") + 1)
+    quota = F.least("m", F.coalesce("back", F.lit(0.0))) + F.ceil(free * F.col("m") / F.col("asked"))
+    allowed = pair.join(back, ["shard", "wish"], "left").join(into, "wish").select("shard", "wish", quota.alias("quota"))
     running = F.sum("n").over(Window.partitionBy("shard", "wish").orderBy("part"))
     fits = moves.withColumn("running", running).join(allowed, ["shard", "wish"]).where("running <= quota")
     return fits.groupBy("shard", "wish").agg(F.max("part").alias("last"))
 
 
-def propagated(rows: DataFrame, shards: int = SHARDS, rounds: int = 4, slack: float = 0.03) -> DataFrame:
-    """``rows`` of ``nodes`` with ``shard`` and ``members`` (rows of the group) after the moves."""
-    n = rows.count()
-    capacity = math.ceil(n / shards * (1 + slack)) if n else 0
-    # a group of more rows than a part's fair share moves row by row
+def propagated(rows: DataFrame, shards: int = SHARDS, rounds: int = 6) -> DataFrame:
+    """``rows`` of ``nodes`` with ``shard`` and ``members`` (rows of the group) after the moves.
+
+    Only linked rows count against a shard's capacity: the others make up the difference at the end.
+    """
+    capacity = rows.count() // shards
+    # what a group has in a shard moves whole up to this size, beyond it row by row
     large = max(8, capacity // 64)
     groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     state = rows.join(groups, "group", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    state = state.withColumn("shard", F.pmod(F.xxhash64("order", F.lit("shard")), F.lit(shards)).cast("int"))
-    state = keep(state)
+    state = keep(state.withColumn("shard", F.pmod(F.xxhash64("order", F.lit("shard")), F.lit(shards)).cast("int")))
     for turn in range(rounds):
-        linked = state.where("members > 1")
-        votes = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("best"))
-        want = linked.join(best.select("group", F.col("best.shard").alias("wish")), "group")
-        part = F.pmod(F.xxhash64(F.when(F.col("members") > large, F.col("order")).otherwise(F.col("group")), F.lit(turn)), F.lit(_PARTS))
-        wishes = cut(want.where("wish <> shard").select("group", "order", "shard", "wish", part.alias("part")))
-        if wishes.isEmpty():
+        votes = keep(state.where("members > 1").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")))
+        used = {r["shard"]: r["n"] for r in votes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
+        room = {s: capacity - used.get(s, 0) for s in range(shards)}
+        wishes = keep(_wishes(votes, room, shards))
+        last = F.broadcast(_quotas(wishes, room, large, turn))  # a row for each pair of shards
+        part = lambda key: F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(_PARTS))
+        going = wishes.join(last, ["shard", "wish"]).where((F.col("n") > large) | (part("group") <= F.col("last")))
+        going = keep(going.select("group", "shard", "wish", F.when(F.col("n") > large, F.col("last")).alias("last")))
+        if going.isEmpty():
             break
-        sizes = state.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-        last = F.broadcast(cut(_quotas(wishes, capacity, sizes, shards)))  # a row for each pair of shards
-        moved = state.join(best.select("group", F.col("best.shard").alias("wish")), "group", "left").join(last, ["shard", "wish"], "left")
-        goes = (F.col("members") > 1) & (part <= F.col("last"))
-        state = cut(moved.select(*[c for c in state.columns if c != "shard"], F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
+        moved = state.join(going, ["group", "shard"], "left")
+        goes = F.col("wish").isNotNull() & (F.col("last").isNull() | (part("order") <= F.col("last")))
+        state = keep(moved.select(*[c for c in state.columns if c != "shard"], F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
     return state
 
 
@@ -103,7 +126,7 @@ def evened(state: DataFrame, shards: int = SHARDS) -> DataFrame:
     return ranked.withColumn("slot", slot.cast("long")).withColumn("shard", shard.cast("int"))
 
 
-def assign(documents: DataFrame, shards: int = SHARDS, groups=None, rounds: int = 4) -> DataFrame:
+def assign(documents: DataFrame, shards: int = SHARDS, groups=None, rounds: int = 6) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, a row for each row of documents.
 
     law is 'rows': counts of rows are at most one apart. ``groups`` is a column whose equal values link
