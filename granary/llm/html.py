@@ -10,6 +10,7 @@ sidebars, forms, notices, adverts and comments are no content wherever they stan
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,42 +24,50 @@ from granary.llm import kernels
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is never content.
 NEVER = frozenset("script style head title nav aside form footer noscript template iframe object svg math button select textarea menu dialog canvas audio video datalist search".split())
+#: Elements too small to be a content region.
+INLINE = frozenset("p b i span em strong a li td th tr u font".split())
 #: Elements without content, and those whose end a new block of the same kind implies.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 #: Words of a class or id that mark an element as no content.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer header masthead topbar comment comments comments-list commentlist disqus replies reply respond related recommended share sharing social subscribe newsletter signup login paywall toolbar pagination pager skip hidden".split())
+#: Those that hold for an article element too: remarks of readers and teasers.
+REMARKS = frozenset("ad ads advert advertisement comment comments reply replies respond related promo sponsored teaser".split())
+#: Names with one of these words describe the page's layout.
+LAYOUT = frozenset("has with without no layout wrapper container".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar note".split())
 #: An article's own heading may stand in a header.
 INNER_HEADER = frozenset(["header", "hgroup"])
 _SPACE = re.compile(r"\s+")
+_SECTION = re.compile(r"<!\[(?!if|else|endif)[^>]*>?", re.I)
 _PART = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
-    """Collects (path of container elements, text, tags before it) of every block that may be content."""
+    """Collects (element, text, tags before it) of every block that may be content; an element's number is over its parent's."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, number of the element, hidden
-        self.lines: list[tuple[tuple[int, ...], str, int]] = []
-        self.names: dict[int, str] = {}
+        self.open: list[tuple[str, int, bool, bool]] = []  # name, number of the element, hidden, in an article or main
+        self.opened: Counter[str] = Counter()
+        self.lines: list[tuple[int, str, int]] = []
+        self.names: list[str] = [""]
+        self.parents: list[int] = [0]
         self.text: list[str] = []
         self.tags = 0
-        self.count = 0
-
-    def hidden(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
 
     def cut(self) -> None:
         line = _SPACE.sub(" ", "".join(self.text)).strip()
         self.text = []
         if line:
-            self.lines.append((tuple(n for _, n, _ in self.open), line, self.tags))
+            self.lines.append((self.open[-1][1] if self.open else 0, line, self.tags))
             self.tags = 0
 
-    def close(self, upto: int) -> None:  # noqa: D102
+    def leave(self, upto: int) -> None:
+        for name, *_ in self.open[upto:]:
+            self.opened[name] -= 1
         del self.open[upto:]
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -69,49 +78,50 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag in CLOSES_P or tag in SAME:
-            ends = SAME.get(tag, "").split() + ["p"] * (tag in CLOSES_P)
+        ends = SAME.get(tag, "").split() + ["p"] * (tag in CLOSES_P)
+        if any(self.opened[e] for e in ends):
             for i in range(len(self.open) - 1, -1, -1):
                 name = self.open[i][0]
                 if name in ends:
-                    self.close(i)
+                    self.leave(i)
                     break
                 if name in BLOCKS and name not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
                     break
-                if name in ("ul", "ol", "dl", "table"):
-                    break
+        _, above, hidden, within = self.open[-1] if self.open else ("", 0, False, False)
         said = dict(attrs)
-        within = any(n in ("article", "main") for n, _, _ in self.open)
-        apart = tag in NEVER or (tag in INNER_HEADER and not within)
-        apart = apart or (tag not in ("html", "body", "article", "main") and self.marked(said, tag, within))
-        self.count += 1
-        self.names[self.count] = tag
-        self.open.append((tag, self.count, apart or self.hidden()))
-
-    @staticmethod
-    def marked(said: dict, tag: str, within: bool) -> bool:
-        if "hidden" in said or said.get("aria-hidden") == "true" or (said.get("role") or "").lower() in ROLES:
-            return True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", said.get("style") or "", re.I):
-            return True
-        parts = {p for key in ("class", "id") for p in _PART.findall((said.get(key) or "").lower())}
-        found = parts & MARKS
-        return bool(found - {"header"} if within or re.fullmatch("h[1-6]", tag) else found)
+        apart = tag in NEVER or (tag in INNER_HEADER and not within) or (tag not in ("html", "body") and marked(said, tag, within))
+        self.names.append(tag)
+        self.parents.append(above)
+        self.opened[tag] += 1
+        self.open.append((tag, len(self.names) - 1, apart or hidden, within or tag in ("article", "main")))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.close(i)
-                break
+        if self.opened[tag]:
+            self.leave(max(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag))
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden():
+        if not (self.open and self.open[-1][2]):
             self.text.append(data)
 
 
+def marked(said: dict, tag: str, within: bool) -> bool:
+    """Whether an element's attributes say that it is no content."""
+    if "hidden" in said or said.get("aria-hidden") == "true" or (said.get("role") or "").lower() in ROLES:
+        return True
+    if _UNSEEN.search(said.get("style") or ""):
+        return True
+    for name in f"{said.get('class') or ''} {said.get('id') or ''}".lower().split():
+        parts = set(_PART.findall(name))
+        found = parts & (REMARKS if tag in ("article", "main") else MARKS)
+        # a header within an article holds its heading; layout names tell what else the page has
+        if found - ({"header"} if within or tag[:1] + tag[2:] == "h" else set()) and not parts & LAYOUT:
+            return True
+    return False
+
+
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing along the lines; the kernel is cut at three sigma and at the ends of the page."""
     radius = int(3 * sigma)
@@ -121,19 +131,30 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return part / np.convolve(np.ones(n), weights)[radius : radius + n]
 
 
+def _parsed(html: str) -> _Lines:
+    for page in (html, _SECTION.sub("", html)):
+        parser = _Lines()
+        try:
+            parser.feed(page)
+            parser.close()
+        except AssertionError:  # a marked section that the parser does not know
+            continue
+        break
+    parser.cut()
+    return parser
+
+
 def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> str:
     """The main text of a page: its blocks in page order, one a line; empty if it has none.
 
-    A threshold of the standard deviation of the line ratios, as a factor, parts content from the
-    rest. If no element holds two thirds of the clusters' text within it, the smallest that does wins.
+    The threshold is a share of the standard deviation of the line ratios. The articles that hold
+    text of a cluster are the content, else the main element, else the smallest element that holds two
+    thirds of the clusters' text.
     """
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    HTMLParser.close(parser)
-    parser.cut()
-    lines = parser.lines
+    parser = _parsed(html)
+    lines, names, parents = parser.lines, parser.names, parser.parents
     if not lines:
         return ""
     size = np.array([len(text) for _, text, _ in lines], float)
@@ -141,25 +162,18 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
     content = ratios >= threshold * ratios.std() if len(lines) > 1 else np.ones(1, bool)
     if not content.any():
         content[:] = True
-    weight: dict[int, float] = {}
-    for (path, _, _), n, chosen in zip(lines, size, content, strict=True):
-        if chosen:
-            for element in path:
-                weight[element] = weight.get(element, 0) + n
-    total = size[content].sum()
-    named = [e for e, w in weight.items() if parser.names[e] in ("article", "main")]
-    holders = {e for e, w in weight.items() if w >= 2 / 3 * total and parser.names[e] not in ("p", "b", "i", "span", "em", "strong", "a", "li", "td", "u", "font")}
-    if named:
-        # every article of the page that is not inside another one
-        top = [e for e in named if not any(e in path and any(o in path[: path.index(e)] for o in named) for path, _, _ in lines)]
-        main = [e for e in top if parser.names[e] == "article"] or top
-        inner = [e for e in named if parser.names[e] == "article"]
-        chosen = set(inner or main)
-        return "\n".join(text for path, text, _ in lines if chosen & set(path))
-    if not holders:
-        return "\n".join(text for _, text, _ in lines)
-    region = max(holders)
-    return "\n".join(text for path, text, _ in lines if region in path)
+    weight = np.zeros(len(names))
+    np.add.at(weight, np.array([element for element, _, _ in lines])[content], size[content])
+    for element in range(len(names) - 1, 0, -1):
+        weight[parents[element]] += weight[element]
+    named = {e for e in range(1, len(names)) if weight[e] and names[e] == "article"} or {e for e in range(1, len(names)) if weight[e] and names[e] == "main"}
+    if not named:
+        held = [e for e in range(1, len(names)) if weight[e] >= 2 / 3 * weight[0] and names[e] not in INLINE]
+        named = {max(held)} if held else {0}
+    inside = [0 in named]
+    for element in range(1, len(names)):
+        inside.append(element in named or inside[parents[element]])
+    return "\n".join(text for element, text, _ in lines if inside[element])
 
 
 def extract(pages: DataFrame, **parameters) -> DataFrame:
