@@ -58,6 +58,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(hashes):
         at = np.unique(kernels.mix(hashes ^ kernels.mix(owner.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
         distinct = np.bincount(owner[at], minlength=n)
+    again = np.zeros(n)  # words equal to the word before
+    if len(hashes) > 1:
+        again = np.bincount(owner[1:][(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])], minlength=n)
     per_byte = np.maximum(size, 1)
     share = lambda i: sums(kind == i, offsets) / per_byte
     stats = [
@@ -66,6 +69,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.sqrt(np.maximum(sums(length * length, first) / per_word - (sums(length, first) / per_word) ** 2, 0)) / 10,
         distinct / per_word,
         repeat_words(hashes, first) / per_word,
+        again / per_word,
+        np.sqrt(again / per_word),
+        again > 1 + per_word / 50,
         dup_lines(data, offsets, starts) / np.maximum(sums(data == 10, offsets) + 1, 1),
         share(1), share(2), share(3), share(4), share(5),
         sums(kind >= 7, offsets) / per_byte,
@@ -117,13 +123,15 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, st
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
-    """The share of positives among unlabelled scores: the least ratio of upper tails, with a margin for chance."""
+    """The share of positives among unlabelled scores: the ratio of upper tails where its upper bound, with a margin for chance, is least."""
     at = np.quantile(positive, np.linspace(0, 1 - least, 91))
     up, uu = np.sort(positive), np.sort(unlabelled)
     tail_p = 1 - np.searchsorted(up, at) / len(up)
     tail_u = 1 - np.searchsorted(uu, at) / len(uu)
     margin = np.sqrt(np.log(100) / (2 * len(uu)))
-    return float(np.clip(np.min((tail_u + margin) / np.maximum(tail_p, 1e-9)), 0.05, 0.97))
+    tail_p = np.maximum(tail_p, 1e-9)
+    best = np.argmin((tail_u + margin) / tail_p)
+    return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.97))
 
 
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
