@@ -116,14 +116,48 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("both") - F.col("common"))).select("a", "b")
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame | None:
+def _prefixed(items: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``items`` (id, ...) with (i, element) of the rarest elements of which a similar set must share one."""
+    elements = sets.join(items.select("id"), "id", "left_semi").select("id", F.explode("elements").alias("element"))
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
+    ordered = elements.join(often, "element").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("all"))  # one document's set
+    length = F.size("all") - F.ceil(F.lit(percent) * F.size("all") / 100).cast("int") + 1
+    return items.join(ordered, "id").select(*items.columns, F.posexplode(F.slice("all", F.lit(1), length)).alias("i", "x")).withColumn("element", F.col("x.element")).drop("x")
+
+
+def _remaining(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may still be links: an item outside its bucket's largest component, and one of another component.
+
+    They are met by an exact join of the sets: ``a`` and ``b`` share one of their rarest elements and
+    neither their sizes nor the element's places rule the similarity out. Copies that differ by rare
+    elements meet through those only, so a bucket of many near copies does not meet in full.
+    """
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("items"))
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("items", "component")).alias("main"))
+    mixed = mixed.where("parts > 1").select("key", F.col("main.component").alias("main"))
+    rest = keep(labelled.join(mixed, "key"))
+    stray = rest.where("component <> main")
+    ranges = stray.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    fits = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
+    strays = stray.select("id").distinct().withColumn("stray", F.lit(True))
+    items = rest.join(ranges, "key").where(fits).select("id", "n", "component").distinct().join(strays, "id", "left")
+    prefixes = keep(_prefixed(keep(items), sets, percent))
+    one = prefixes.where("stray").drop("stray")
+    two = prefixes.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"), F.col("i").alias("j"), "element")
+    n, m = F.col("n"), F.col("other_n")
+    similar = (F.col("component") != F.col("other_component")) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    similar &= (100 + percent) * F.least(n - F.col("i"), m - F.col("j")) >= percent * (n + m)
+    pairs = one.join(two, (one["element"] == two["element"]) & similar)
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def link(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 3, hubs: int = 4) -> DataFrame | None:
     """(node, component) of the items that share a band key and whose sets are similar enough.
 
     ``members`` (key, id, n): the buckets with more than one item. In each of a few rounds every
-    bucket has one hub and an item of another component is compared with one hub only, so a bucket of
-    m items costs m comparisons. What is left (items of one bucket in different components, never more
-    than the buckets' stray items once copies have met) is compared pair by pair: no link is lost.
-    Returns None if no pair is similar.
+    bucket has one hub and an item of another component is compared with one hub only (after the first
+    round with a few), so a bucket of m items costs about m comparisons. What is left (buckets with more
+    than one component) goes through an exact join: no link is lost. Returns None if no pair is similar.
     """
     sized = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
     edges, labels = None, None
@@ -145,32 +179,25 @@ def link(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) ->
     for turn in range(rounds):
         order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         now = labelled()
-        hubs = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-        hubs = hubs.where("low < high").select("key", F.col("hub.order").alias("order"), F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.component").alias("other_component"))
-        near = now.join(hubs, "key").where(F.col("component") != F.col("other_component")).where(sized)
-        pairs = near.groupBy("id").agg(F.min(F.struct("order", "other")).alias("to")).select(F.col("id").alias("a"), F.col("to.other").alias("b"))
-        pairs = keep(pairs)
+        hub = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        hub = hub.where("low < high").select("key", F.col("hub.order").alias("order"), F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.component").alias("other_component"))
+        near = now.join(hub, "key").where(F.col("component") != F.col("other_component")).where(sized)
+        to = F.slice(F.array_sort(F.collect_set(F.struct("order", "other"))), 1, hubs if turn else 1)  # of one for each band at most
+        pairs = keep(near.groupBy("id").agg(to.alias("to")).select(F.col("id").alias("a"), F.explode("to").alias("to")).select("a", F.col("to.other").alias("b")))
         if pairs.isEmpty():
             break
         found(pairs)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = pairs if tested is None else tested.union(pairs)
-    now = labelled()
-    mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = keep(now.join(mixed, "key", "left_semi"))
-    right = rest.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-    pairs = rest.join(right, "key").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("other_component"))).where(sized)
-    pairs = pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    if tested is not None:
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    pairs = keep(pairs)
+    pairs = _remaining(labelled(), sets, percent)
+    pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         found(pairs)
     return labels
 
 
 def near_duplicates(
-    documents: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, seed: int = 11, rounds: int = 2
+    documents: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, seed: int = 11, rounds: int = 3
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), kept (doc_id = component_id), a row for each row of documents.
 
