@@ -7,8 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions import vectors
-
 
 def errors(a: Column, b: Column) -> list[Column]:
     """l1, mse, rmse, psnr (peak 1) of two columns of samples (AGG-07, AGG-08, AGG-14)."""
@@ -150,16 +148,47 @@ def delta_e2000(one: tuple[Column, Column, Column], two: tuple[Column, Column, C
     return F.sqrt(x * x + y * y + z * z + rt * y * z)
 
 
-def kid(left: DataFrame, right: DataFrame, id_col: str, vector: str, size: int) -> Column | DataFrame:
-    """Unbiased polynomial-kernel discrepancy of two stated samples (AGG-17).
+def kid(rows: DataFrame, id_col: str, vector: str, side, block: int = 256) -> DataFrame:
+    """Unbiased polynomial-kernel discrepancy of the rows of side 0 and side 1 (AGG-17): mean and deviation over blocks.
+
+    Rows are dealt into blocks of about ``block`` by a hash of their id and every row counts in one;
+    the kernel matrix of a block is its only quadratic part.
+    """
+    blocks = max(1, rows.count() // block)
+
+    def one(frame):
+        x, y = (np.stack(part.to_numpy()).astype(float) if len(part) else np.zeros((0, 1)) for part in (frame["v"][frame["s"] == 0], frame["v"][frame["s"] == 1]))
+        if min(len(x), len(y)) < 2:
+            return frame.iloc[:0].assign(mmd=0.0)[["mmd"]]
+        k = lambda a, b: (a @ b.T / a.shape[1] + 1) ** 3
+        alone = lambda a: (k(a, a).sum() - np.trace(k(a, a))) / (len(a) * (len(a) - 1))
+        return frame.iloc[:1].assign(mmd=alone(x) + alone(y) - 2 * k(x, y).mean())[["mmd"]]
+
+    part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("part")
+    dealt = rows.where(F.col(vector).isNotNull()).select(part, side.cast("int").alias("s"), F.col(vector).alias("v"))
+    found = dealt.groupBy("part").applyInPandas(one, "mmd double")
+    return found.agg(F.count(F.lit(1)).alias("blocks"), F.avg("mmd").alias("kid"), F.stddev_samp("mmd").alias("sd"))
+
+
+def throughput(rows: DataFrame, time: str, *keys: str) -> DataFrame:
+    """Rows by key and their rate a second, over one second at least (AGG-01)."""
+    seconds = (F.unix_micros(F.max(F.col(time).cast("timestamp"))) - F.unix_micros(F.min(F.col(time).cast("timestamp")))) / 1e6
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.greatest(seconds, F.lit(1.0))).alias("rate"))
+
+
+def ema(rows: DataFrame, key: str, bucket: str, order: list[str], value: str, decay: float) -> DataFrame:
+    """n and the last exponential moving average of each key, which starts at its first value (WIN-05).
 
-    Samples are query sets of a bounded size, so all their pairs are meant.
+    The average is a sum with weights by rank from the end. Ranks are summed in two steps, over the
+    buckets of a key (a coarser column in the same order, such as the day) and within them, so that no
+    task holds a whole key.
     """
-    a = left.select(F.col(id_col).alias("i"), F.col(vector).alias("v"), F.lit("a").alias("s"))
-    b = right.select(F.col(id_col).alias("i"), F.col(vector).alias("v"), F.lit("b").alias("s"))
-    both = a.unionByName(b)
-    other = both.select(F.col("i").alias("j"), F.col("v").alias("w"), F.col("s").alias("r"))
-    k = F.pow(vectors.dot(F.col("v"), F.col("w")) / size + 1, F.lit(3))
-    pairs = both.join(other, F.lit(True)).where((F.col("s") != F.col("r")) | (F.col("i") != F.col("j")))
-    means = pairs.groupBy((F.col("s") == F.col("r")).alias("same"), "s").agg(F.avg(k).alias("k"))
-    return means.agg((F.sum(F.when(F.col("same"), F.col("k"))) - F.sum(F.when(~F.col("same"), F.col("k")))).alias("kid"))
+    sizes = rows.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("size"))
+    over = Window.partitionBy(key)
+    later = over.orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(key).alias("of"), F.col(bucket).alias("at"), F.coalesce(F.sum("size").over(later), F.lit(0)).alias("after"), F.sum("size").over(over).alias("n"))
+    within = F.row_number().over(Window.partitionBy(key, bucket).orderBy(*[F.col(c).desc() for c in order])) - 1
+    placed = rows.withColumn("within", within).join(sizes, F.col(key).eqNullSafe(F.col("of")) & F.col(bucket).eqNullSafe(F.col("at")))
+    back = F.col("after") + F.col("within")
+    weight = F.pow(F.lit(decay), back) * F.when(back == F.col("n") - 1, 1.0).otherwise(1 - decay)
+    return placed.groupBy(key).agg(F.max("n").alias("n"), F.sum(F.col(value) * weight).alias("ema"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,50 @@ def nearest(left: DataFrame, right: DataFrame, batch: str, id_col: str, vector:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def search(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+    """id, other, distance, rank: the k nearest rows of each query, exactly (JOIN-09).
+
+    The queries are a stated set; they are broadcast a block at a time against all rows and every Arrow
+    batch keeps its k best, so that what is shuffled is k rows for each batch and query.
+    """
+    spark = rows.sparkSession
+    names, vecs, found = [], [], []
+
+    def scan(names, vecs):
+        shared = spark.sparkContext.broadcast((np.array(names, np.int64), np.array(vecs, float)))
+
+        def run(batches):
+            ids, q = shared.value
+            for batch in batches:
+                other = np.array(batch.column(0).to_pylist(), np.int64)
+                v = np.array(batch.column(1).to_pylist(), float)
+                if not len(other):
+                    continue
+                distance = np.stack([((v - one) ** 2).sum(axis=1) for one in q])
+                distance[ids[:, None] == other[None, :]] = np.inf
+                # the order of ties within a batch is by id, as in the final rank
+                best = np.lexsort((np.broadcast_to(other, distance.shape), distance), axis=1)[:, :k]
+                near = np.take_along_axis(distance, best, axis=1).ravel()
+                keep = np.isfinite(near)
+                yield pa.RecordBatch.from_pydict({"id": np.repeat(ids, best.shape[1])[keep], "other": other[best].ravel()[keep], "distance": near[keep]})
+
+        return rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), vector).mapInArrow(run, "id long, other long, distance double")
+
+    for row in queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).toLocalIterator():
+        names.append(row["id"])
+        vecs.append(row["v"])
+        if len(names) == block:
+            found.append(scan(names, vecs))
+            names, vecs = [], []
+    if names or not found:
+        found.append(scan(names, vecs) if names else spark.createDataFrame([], "id long, other long, distance double"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def assignment(cost: np.ndarray) -> np.ndarray:
     """Column for each row of a square matrix with the least total cost, by shortest augmenting paths."""
     n = len(cost)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -27,3 +30,12 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset (local tests), below a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        top = tempfile.mkdtemp(prefix="granary-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "id string, source string, task string, input string, target string, style string, license string, weight double, split string, redistributable boolean"
@@ -77,3 +77,8 @@ def ready(tasks: DataFrame) -> DataFrame:
     done = tasks.select(F.col("id").alias("dep"), (F.col("status") == "done").alias("done"))
     need = tasks.select("id", F.explode_outer("deps").alias("dep")).join(done, "dep", "left")
     return need.groupBy("id").agg(F.bool_and(F.col("dep").isNull() | F.coalesce("done", F.lit(False))).alias("ready"))
+
+
+def gated(rows: DataFrame, key: str, good: Column, least: int) -> DataFrame:
+    """Keys with at least so many good rows, and their count (FLT-09)."""
+    return rows.where(good).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
