@@ -16,8 +16,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Bound of the training sample: about so many texts of each language are counted, chosen by a hash of doc_id.
 TEXTS_PER_LANGUAGE = 4000
-#: The log-probability matrix is broadcast: 4 bytes * BUCKETS * languages, 128 MB at most.
-MOST_LANGUAGES = 512
+#: The log-probability matrix is broadcast: 4 bytes * BUCKETS * languages, 32 MB at most.
+MOST_LANGUAGES = 128
 
 
 def fold(doc_id) -> F.Column:
@@ -80,8 +80,10 @@ def learn(documents: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, bu
     u = (F.xxhash64("id", F.lit("language")).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
     sample = rows.where(u < F.element_at(share, F.col("lang")))
 
+    column = {name: i for i, name in enumerate(languages)}
+
     def count(batches):
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             names = batch.column(1).to_pylist()
             for low, high, data, offsets in kernels.chunks(batch.column(0)):
@@ -89,17 +91,16 @@ def learn(documents: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, bu
                 next(parts)
                 for bucket, limits in parts:
                     for i in range(high - low):
-                        total = totals.setdefault(names[low + i], np.zeros(buckets, np.int64))
+                        total = totals.setdefault(column[names[low + i]], np.zeros(buckets, np.int64))
                         total += np.bincount(bucket[limits[i] : limits[i + 1]], minlength=buckets)
-        for name, total in totals.items():
+        for i, total in totals.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
 
-    partial = sample.select("text", "lang").repartition(12).mapInArrow(count, "lang string, bucket int, n long")
+    partial = sample.select("text", "lang").repartition(12).mapInArrow(count, "lang int, bucket int, n long")
     total = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     matrix = np.full((buckets, len(languages)), smoothing)
-    column = {name: i for i, name in enumerate(languages)}
-    matrix[total["bucket"].to_numpy(), total["lang"].map(column).to_numpy()] += total["n"].to_numpy()
+    matrix[total["bucket"].to_numpy(), total["lang"].to_numpy()] += total["n"].to_numpy()
     matrix = np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
     n = np.array([counts[name] for name in languages], float)
     return languages, np.log(n / n.sum()), matrix

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from granary.llm import kernels
 
@@ -162,6 +163,16 @@ def fertility(data, offsets, starts, ends, first, hashes, letters, tokenizers) -
     }
 
 
+def _shared(documents: DataFrame, pieces: str, byte_pairs: str):
+    contents = []
+    for path in (pieces, byte_pairs):
+        if os.path.getsize(path) > VOCABULARY_BYTES:
+            raise ValueError(f"{path} is too large to be broadcast")
+        with open(path, "rb") as file:
+            contents.append(file.read())
+    return documents.sparkSession.sparkContext.broadcast(tuple(contents))
+
+
 def measured(documents: DataFrame, pieces: str = PIECES, byte_pairs: str = BYTE_PAIRS) -> DataFrame:
     """The counts and token measures of every whole text (SCHEMA), a row for each row of ``documents``.
 
@@ -169,25 +180,20 @@ def measured(documents: DataFrame, pieces: str = PIECES, byte_pairs: str = BYTE_
     the script is 'other'. Repeated rows and rows with a null doc_id are measured like any other;
     extra columns are ignored.
     """
-    contents = []
-    for path in (pieces, byte_pairs):
-        if os.path.getsize(path) > VOCABULARY_BYTES:
-            raise ValueError(f"{path} is too large to be broadcast")
-        with open(path, "rb") as file:
-            contents.append(file.read())
-    shared = documents.sparkSession.sparkContext.broadcast(tuple(contents))
+    shared = _shared(documents, pieces, byte_pairs)
 
     def run(batches):
         tokenizers = _tokenizers(*shared.value)
         for batch in batches:
             for low, high, data, offsets in kernels.chunks(batch.column(1), CHUNK):
-                yield _measured(batch.column(0).slice(low, high - low), data, offsets, tokenizers)
+                measures = _measured(data, offsets, tokenizers)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *measures.values()], ["doc_id", *measures])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def _measured(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, tokenizers) -> pa.RecordBatch:
-    n = len(offsets) - 1
+def _measured(data: np.ndarray, offsets: np.ndarray, tokenizers) -> dict[str, pa.Array]:
+    """The columns of SCHEMA after doc_id."""
     starts, ends, first = kernels.spans(data, offsets)
     hashes = kernels.span_hashes(data, starts, ends)
     lead = (data & 0xC0) != 0x80
@@ -216,8 +222,7 @@ def _measured(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, tokenizers)
         "entropy": tokens["entropy"],
         "entropy_share": tokens["entropy"] / most,
     }
-    assert len(ids) == n
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns.values())], ["doc_id", *columns])
+    return {name: pa.array(column) for name, column in columns.items()}
 
 
 def judged(measures: DataFrame, bands: Mapping[str, tuple[float, float, float, float, float]] = BANDS) -> DataFrame:
@@ -239,12 +244,24 @@ def judged(measures: DataFrame, bands: Mapping[str, tuple[float, float, float, f
     return measures.withColumn("base_failed", failed).withColumn("reason", reason).withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull())
 
 
-def filtered(documents: DataFrame, **parameters) -> DataFrame:
-    """The documents that are kept, with all their columns. A doc_id is kept if one of its rows is.
+def filtered(documents: DataFrame, pieces: str = PIECES, byte_pairs: str = BYTE_PAIRS, **bands) -> DataFrame:
+    """The rows that are kept, with all their columns. Every row is judged by its own text, one with a null doc_id too.
 
-    Rows with a null doc_id cannot be matched with their verdict and are dropped.
+    The columns pass through the measuring task, so that no text is shuffled.
     """
-    from granary.llm.common import keep, small
+    shared = _shared(documents, pieces, byte_pairs)
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    plain = documents.toDF(*names)
+    source = plain.withColumn("text", F.col(names[documents.columns.index("text")]).cast("string"))
+    extra = StructType.fromDDL(SCHEMA).fields[1:]
+
+    def run(batches):
+        tokenizers = _tokenizers(*shared.value)
+        for batch in batches:
+            own = batch.columns[:-1]
+            for low, high, data, offsets in kernels.chunks(batch.columns[-1], CHUNK):
+                measures = _measured(data, offsets, tokenizers)
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in own), *measures.values()], [*names, *measures])
 
-    kept = keep(judged(measured(documents, **parameters)).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct())
-    return documents.join(small(kept), F.col("doc_id") == F.col("__kept"), "left_semi")
+    rows = judged(source.mapInArrow(run, StructType([*plain.schema.fields, *extra])), **bands)
+    return rows.where("kept").select(*names).toDF(*documents.columns)
