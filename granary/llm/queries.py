@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.assigned(_table(spark, sf_dir, "documents"))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position")
+    rows = rows.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", first)
     return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
@@ -96,5 +97,51 @@ FROM sized s LEFT JOIN least_id l ON l.node = s.doc_id
 """
 
 
+#: Levels are tried in the order in which sources reach their limit; the curriculum's inverses are written out.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+w AS (SELECT *, CAST(list_extract([5, 2, 1], rank % 3 + 1) AS DOUBLE) AS weight, 3.0 * CAST(source_size AS DOUBLE) AS most FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY most / weight, rank) AS place FROM w),
+l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(most) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM p),
+f AS (SELECT min(place) AS place, arg_min(level, place) AS level FROM l WHERE level * weight <= most),
+t AS (SELECT l.source, source_size, rank, CASE WHEN f.place IS NULL OR l.place < f.place THEN most ELSE f.level * weight END AS target FROM l, f),
+b AS (SELECT doc_id, d.source, size, source_size, target, rank, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin,
+  CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(CASE WHEN size > 0 THEN passes + (CASE WHEN begin + size / 2.0 < target - passes * source_size THEN 1 ELSE 0 END) ELSE least(passes, 1) END AS INTEGER) AS copies,
+  CASE WHEN target > 0 THEN least(1.0, (begin + CAST(size AS DOUBLE) / 2) / target) END AS q FROM b)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken, copies,
+  CASE WHEN copies > 0 THEN round(least(1.0, CASE rank % 3
+    WHEN 0 THEN q
+    WHEN 1 THEN CASE WHEN q < 0.625 THEN 2 * q / (1.5 + sqrt(2.25 - 2 * q)) ELSE 0.5 + 2 * (q - 0.625) / (1 + sqrt(greatest(1 - 2 * (q - 0.625), 0))) END
+    ELSE CASE WHEN q < 0.375 THEN 2 * q / (0.5 + sqrt(0.25 + 2 * q)) ELSE 0.5 + 2 * (q - 0.375) / (1 + sqrt(1 + 2 * (q - 0.375))) END END), 9) END AS first_position
+FROM c
+"""
+
+
+def _op6_sql() -> str:
+    word, upper = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license.PHRASES)
+    templates = ", ".join(f"('{label}', '{text.lower()}')" for label, text in license.TEMPLATES)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS low FROM documents),
+w AS (SELECT rid, doc_id, regexp_extract_all(low, '{word}') AS words FROM t),
+p(phrase, label) AS (VALUES {phrases}),
+places AS (SELECT rid, label, unnest(list_filter(range(1, len(words) + 1), lambda i: list_slice(words, i, i + len(phrase) - 1) = phrase)) - 1 AS pos FROM w, p),
+base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS found FROM places GROUP BY rid),
+m AS (SELECT label, list_distinct(regexp_extract_all(line, '{word}')) AS tokens FROM (VALUES {templates}) v(label, line)),
+lines AS (SELECT rid, i AS block, list_distinct(regexp_extract_all(parts[i], '{word}')) AS have FROM (SELECT rid, string_split(low, chr(10)) AS parts FROM t), range(1, 100000) r(i) WHERE i <= len(parts)),
+near AS (SELECT rid, block, label, len(list_intersect(have, tokens)) / len(tokens) AS containment FROM lines, m WHERE len(list_intersect(have, tokens)) >= ceil(len(tokens) * 0.8 - 1e-9)),
+top AS (SELECT rid, block, max(containment) AS best FROM near GROUP BY ALL),
+own AS (SELECT n.rid, list(n.label) AS labels, max(best) AS best FROM near n JOIN top ON n.rid = top.rid AND n.block = top.block AND n.containment = top.best GROUP BY n.rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(found, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(found, labels))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0::DOUBLE) END AS score
+FROM w LEFT JOIN base ON w.rid = base.rid LEFT JOIN own ON w.rid = own.rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_circulant_minhash": OP4_SQL}
+    return {"op1_curriculum_mix": OP1_SQL, "op4_circulant_minhash": OP4_SQL, "op6_license_join": _op6_sql()}

@@ -63,7 +63,7 @@ def _quotas(wishes: DataFrame, room: dict[int, int], large: int, turn: int) -> D
     return fits.groupBy("shard", "wish").agg(F.max("part").alias("last"))
 
 
-def propagated(rows: DataFrame, shards: int = SHARDS, rounds: int = 6) -> DataFrame:
+def propagated(rows: DataFrame, shards: int = SHARDS, rounds: int = 12) -> DataFrame:
     """``rows`` of ``nodes`` with ``shard`` and ``members`` (rows of the group) after the moves.
 
     Only linked rows count against a shard's capacity: the others make up the difference at the end.
@@ -126,7 +126,7 @@ def evened(state: DataFrame, shards: int = SHARDS) -> DataFrame:
     return ranked.withColumn("slot", slot.cast("long")).withColumn("shard", shard.cast("int"))
 
 
-def assign(documents: DataFrame, shards: int = SHARDS, groups=None, rounds: int = 6) -> DataFrame:
+def assign(documents: DataFrame, shards: int = SHARDS, groups=None, rounds: int = 12) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, a row for each row of documents.
 
     law is 'rows': counts of rows are at most one apart. ``groups`` is a column whose equal values link
