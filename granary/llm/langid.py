@@ -18,6 +18,8 @@ ORDERS = (1, 2, 3)
 TEXTS_PER_LANGUAGE = 4000
 #: The log-probability matrix is broadcast: 4 bytes * BUCKETS * languages, 32 MB at most.
 MOST_LANGUAGES = 128
+#: So many log-probabilities are looked up at once.
+SCORED = 1 << 23
 
 
 def fold(doc_id) -> F.Column:
@@ -117,6 +119,7 @@ def predict(documents: DataFrame, languages: list[str], priors: np.ndarray, matr
     def run(batches):
         languages, priors, matrix = model.value
         names = np.array([*languages, "und"], object)
+        step = SCORED // max(len(languages), 1)
         for batch in batches:
             for low, high, data, offsets in kernels.chunks(batch.column(2)):
                 n = high - low
@@ -127,9 +130,10 @@ def predict(documents: DataFrame, languages: list[str], priors: np.ndarray, matr
                 if languages and worded.any():
                     total = np.tile(priors, (n, 1))
                     for bucket, limits in parts:
-                        have = np.flatnonzero(np.diff(limits))
-                        if len(have):
-                            total[have] += np.add.reduceat(matrix[bucket], limits[:-1][have], axis=0, dtype=np.float64)
+                        for start in range(0, len(bucket), step):
+                            part = np.clip(limits - start, 0, step)
+                            have = np.flatnonzero(np.diff(part))
+                            total[have] += np.add.reduceat(matrix[bucket[start : start + step]], part[:-1][have], axis=0, dtype=np.float64)
                     top = total.argmax(axis=1)
                     odds = np.exp(total - total.max(axis=1, keepdims=True))
                     best = np.where(worded, top, best)
