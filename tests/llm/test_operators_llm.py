@@ -471,7 +471,7 @@ def test_repeated_passages_are_found(spark):
             inserted = passage if d % 3 == 0 else other
             w = t.split()
             start = next(i for i in range(len(w)) if w[i : i + len(inserted)] == inserted)
-            assert any(start <= a and b <= start + len(inserted) and b - a >= 18 and kept == d % 3 for a, b, kept in spans[d])
+            assert any(start <= a and b <= start + len(inserted) and b - a >= 14 and kept == d % 3 for a, b, kept in spans[d])
     kinds = defaultdict(set)
     for r in found:
         kinds[r["cluster_id"]].add(r["doc_id"] % 3)
