@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import film, paths, vectors
-from granary.operators import images, metrics, pairing
+from granary.operators import images, layers, metrics, pairing
 from granary.session import table
-from granary.sources import links, manifest
+from granary.sources import datasets, links, manifest
 from granary.streaming import progress
 
 #: Width of the small images that rows of ``embeddings`` stand for.
@@ -239,6 +239,66 @@ def ot_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.transport(_paired(spark, sf_dir).withColumn("batch_id", batch), "batch_id", "vec_id", "x0", "x1").withColumn("cost", F.round("cost", 6))
 
 
+# sequences and matrices
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "f")).select("vec_id", "i", F.col("f").cast("double").alias("v"))
+
+
+POINTS = "e AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 4097) r(i) WHERE i <= len(embedding))"
+
+
+@query(f"""WITH {POINTS} SELECT vec_id, i, round(0.2 * coalesce(lag(v, 2) OVER w, 0) + 0.3 * coalesce(lag(v, 1) OVER w, 0) + 0.5 * v, 6) AS conv FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY i)""")
+def causal_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.causal(_points(spark, sf_dir), "vec_id", "i", "v", [0.2, 0.3, 0.5]).select("vec_id", "i", *_rounded("conv"))
+
+
+@query(f"""WITH {POINTS}, b AS (SELECT vec_id AS i, i AS r, v AS x FROM e WHERE i < 2), a AS (SELECT vec_id AS r, i AS j, v AS y FROM e WHERE vec_id < 2),
+d AS (SELECT b.i, a.j, sum(x * y) AS delta FROM b JOIN a ON b.r = a.r GROUP BY ALL)
+SELECT e.vec_id AS i, e.i AS j, round(v + 8.0 * delta, 6) AS value FROM e JOIN d ON e.vec_id = d.i AND e.i = d.j""")
+def lora_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _points(spark, sf_dir).select(F.col("vec_id").alias("i"), F.col("i").cast("long").alias("j"), F.col("v").alias("value"))
+    return layers.merged(cells, cells.where("i < 2"), cells.where("j < 2"), 16.0, 2).select("i", F.col("j").cast("int").alias("j"), *_rounded("value"))
+
+
+@query(f"""WITH {POINTS} SELECT vec_id, i, round(CASE WHEN v > 0.1 THEN v ELSE 0 END, 6) AS value FROM e""")
+def threshold_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).select("vec_id", "i", F.round(layers.threshold(F.col("v"), 0.1), 6).alias("value"))
+
+
+@query(f"""WITH {POINTS} SELECT vec_id, round(avg(greatest(0.0, -0.1 - v) + greatest(0.0, v - 0.1)), 6) AS penalty FROM e GROUP BY vec_id""")
+def range_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).groupBy("vec_id").agg(F.round(layers.out_of_range(F.col("v"), -0.1, 0.1), 6).alias("penalty"))
+
+
+@query()
+def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.ssim(_paired(spark, sf_dir), "vec_id", "x0", "x1", WIDTH)
+
+
+@query()
+def two_way_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_paired(spark, sf_dir), layers.two_way(F.col("x0"), 0.9))
+
+
+@query()
+def spline_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    knots = [0.0] * 3 + [0.0, 25.0, 50.0, 75.0, 100.0] + [100.0] * 3
+    return layers.spline(table(spark, sf_dir, "events").select("event_id", "value"), "value", knots, [0.0, 0.1, 0.4, 1.0, 1.6, 1.9, 2.0])
+
+
+@query("""
+SELECT n_name, stock, CAST(i AS INTEGER) AS sample FROM nation CROSS JOIN (VALUES ('colour'), ('tungsten'), ('mono')) t(stock) CROSS JOIN range(0, 20) s(i)""")
+def render_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.grid(table(spark, sf_dir, "nation").select("n_name"), ["colour", "tungsten", "mono"], 20)
+
+
+@query("SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM documents")
+def sample_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.indexed(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+
+
 # small images
 
 
