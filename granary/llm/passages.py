@@ -2,11 +2,11 @@
 
 Passages may be set into the middle of a line, so paragraphs are cut by content: before each word at
 which the hash of three words is smaller than at its neighbours on both sides. A passage has the same
-cuts in whatever text it stands. Bands of one circulant MinHash coordinate each give high recall, and
-a key is the whole hash of a five-word shingle, so only paragraphs that share words ever meet. Every
-bucket compares its members with one hub, its first paragraph; equal sets need no further look and
-others are confirmed by exact Jaccard on the full sets. Runs of neighbouring paragraphs that go to
-one document are passages, and passages that overlap are clustered by components.
+cuts in whatever text it stands. Bands of MinHash coordinates give high recall, and a key is made of
+whole hashes of five-word shingles, so only paragraphs that share words ever meet. Contents that meet
+are linked by exact Jaccard on the full sets, without loss whatever the hubs are; a class is a
+component of them. Neighbouring paragraphs whose classes are neighbours in an earlier document make
+runs, and passages that overlap are clustered by components.
 """
 
 from __future__ import annotations
@@ -19,15 +19,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import components, keep, map_batches
-from granary.llm.minhash import UNIVERSE, _lists, permutations, verified
+from granary.llm.common import components, keep, map_batches, small
+from granary.llm.minhash import UNIVERSE, _lists, link, permutations
 
 #: Words on either side at which a cut's hash is the smallest: a paragraph has 11 words on average and 6 at least.
 REACH = 5
 #: A paragraph without a cut is cut after so many words.
 LONGEST = 64
 SHINGLE = 5
-BANDS = 2
+#: Bands and coordinates of a band for the paragraphs of each level: content-defined ones, and lines.
+BANDS = ((2, 1), (12, 3))
+#: Words that a paragraph of each level has at least, and words beside it that are hashed.
+LEAST = (SHINGLE, 14)
+BESIDE = 3
+#: Levels in use, as bits.
+LEVELS = 1
 _LOW = np.uint64((1 << 44) - 1)
 
 
@@ -56,114 +62,198 @@ def cuts(words: np.ndarray, first: np.ndarray, reach: int = REACH, longest: int
     return at, np.searchsorted(at, first)
 
 
-def _paragraphs(texts: pa.Array):
-    """(rows of texts, first word, words, shingle hashes, their limits, set hash) of the paragraphs with a shingle."""
+def lines(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each line of a chunk that has words, and the index of each text's first line."""
+    at = np.concatenate((first[:-1][np.diff(first) > 0], np.searchsorted(starts, np.flatnonzero(data == 10))))
+    at = np.unique(at[at < len(starts)])
+    return at, np.searchsorted(at, first)
+
+
+def _paragraphs(texts: pa.Array, levels: int):
+    """(level, rows of texts, paragraph numbers, first word, words, shingle hashes, their limits, word hashes, paragraphs' limits in words) of the paragraphs with a shingle."""
     for low, _, data, offsets in kernels.chunks(texts):
         data = kernels.lowered(data)
         starts, ends, first = kernels.spans(data, offsets)
         words = kernels.span_hashes(data, starts, ends)
-        at, limits = cuts(words, first)
-        if not len(at):
-            continue
-        bounds = np.concatenate((at, [len(words)]))
-        shingles, inner = kernels.window_hashes(words, bounds, SHINGLE)
-        text = np.searchsorted(limits, np.arange(len(at)), "right") - 1
-        number = np.arange(len(at)) - limits[text]
-        filled = np.flatnonzero(np.diff(inner))
-        if not len(filled):
-            continue
-        yield low + text[filled], number[filled], at[filled] - first[text[filled]], np.diff(bounds)[filled], shingles, np.concatenate((inner[filled], inner[-1:]))
+        for level in range(2):
+            if not levels >> level & 1:
+                continue
+            at, limits = lines(data, starts, first) if level else cuts(words, first)
+            if not len(at):
+                continue
+            bounds = np.concatenate((at, [len(words)]))
+            shingles, inner = kernels.window_hashes(words, bounds, SHINGLE)
+            text = np.searchsorted(limits, np.arange(len(at)), "right") - 1
+            number = np.arange(len(at)) - limits[text]
+            filled = np.flatnonzero(np.diff(inner))
+            if not len(filled):
+                continue
+            inner = np.concatenate((inner[filled], inner[-1:]))
+            yield level, low + text[filled], number[filled], at[filled] - first[text[filled]], np.diff(bounds)[filled], shingles, inner, words, at[filled]
+
 
+def _content(shingles: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """A hash of each paragraph's sequence of shingles: equal hashes mean equal words."""
+    place = np.arange(len(shingles)) - np.repeat(inner[:-1], np.diff(inner))
+    return kernels.mix(np.add.reduceat(kernels.mix(shingles + kernels.mix(place.astype(np.uint64))), inner[:-1])).view(np.int64)
 
-def _banded(batch: pa.RecordBatch, seed: int, near: int):
-    """A row for each paragraph and band; ``exact`` marks the band of equal paragraphs."""
+
+def _keyed(batch: pa.RecordBatch, level: int, seed: int, near: int):
+    """A row for each paragraph with its band keys; they are null where no unequal paragraph can be similar enough."""
     ids = batch.column(0)
-    sigma, shifted = permutations(BANDS, seed)
-    for row, number, start, size, shingles, inner in _paragraphs(batch.column(1)):
-        rank = shifted[sigma[(shingles & np.uint64(UNIVERSE - 1)).astype(np.int64)]].astype(np.uint64)
-        value = (rank << np.uint64(44)) | (shingles & _LOW)[:, None]
-        least = np.minimum.reduceat(value, inner[:-1], axis=0) & _LOW
-        # of the sequence of shingles: equal hashes mean equal words
-        place = np.arange(len(shingles)) - np.repeat(inner[:-1], np.diff(inner))
-        whole = np.add.reduceat(kernels.mix(shingles + kernels.mix(place.astype(np.uint64))), inner[:-1])
-        others = np.flatnonzero(np.diff(inner) >= near)
-        at = np.concatenate([np.arange(len(row))] + [others] * BANDS)
-        parts = [whole * np.uint64(BANDS + 1) + np.uint64(BANDS)] + [least[others, j] * np.uint64(BANDS + 1) + np.uint64(j) for j in range(BANDS)]
-        keys = kernels.mix(np.concatenate(parts)).view(np.int64)
-        exact = np.arange(len(at)) < len(row)
-        columns = [ids.take(pa.array(row[at])), *(pa.array(x[at], pa.int32()) for x in (number, start, size))]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *columns, pa.array(exact)], ["key", "doc", "unit", "start", "size", "exact"])
+    bands, rows = BANDS[level]
+    sigma, shifted = permutations(bands * rows, seed)
+    for _, row, _, _, size, shingles, inner, *_ in _paragraphs(batch.column(1), 1 << level):
+        at = sigma[(shingles & np.uint64(UNIVERSE - 1)).astype(np.int64)]
+        low = shingles & _LOW
+        keys = []
+        for band in range(bands):
+            key = np.full(len(row), band + 1, np.uint64)
+            for j in range(band * rows, band * rows + rows):
+                least = np.minimum.reduceat((shifted[at, j].astype(np.uint64) << np.uint64(44)) | low, inner[:-1]) & _LOW
+                key = kernels.mix(key * np.uint64(0xD6E8FEB86659FD93) + least)
+            keys.append(pa.array(key.view(np.int64), mask=np.diff(inner) < near))
+        use = pa.array(np.flatnonzero(size >= LEAST[level]))
+        columns = [ids.take(pa.array(row)), pa.array(_content(shingles, inner)), *keys]
+        yield pa.RecordBatch.from_arrays([c.take(use) for c in columns], ["doc", "content", *(f"k{j}" for j in range(bands))])
+
+
+def _units(batch: pa.RecordBatch, levels: int):
+    """A row for each paragraph: its place, and hashes of the words after it and before it."""
+    ids, texts = batch.column(0), batch.column(2)
+    for level, row, number, start, size, shingles, inner, words, at in _paragraphs(batch.column(1), levels):
+        use = np.flatnonzero(size >= LEAST[level])
+        after, before = _beside(words, at + size), _beside(words, at - BESIDE)
+        columns = [pa.array(x[use], t) for x, t in ((number, pa.int32()), (start, pa.int32()), (size, pa.int32()), (_content(shingles, inner), pa.int64()), (after, pa.int32()), (before, pa.int32()))]
+        rows = pa.array(row[use])
+        yield pa.RecordBatch.from_arrays([ids.take(rows), texts.take(rows), pa.array(np.full(len(use), level), pa.int32()), *columns], ["doc", "text", "level", "unit", "start", "size", "content", "after", "before"])
+
+
+def _beside(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of a few words from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(BESIDE):
+        out = kernels.mix(out + words[np.clip(at + j, 0, len(words) - 1)])
+    return (out >> np.uint64(33)).astype(np.int32)
 
 
 def _sets(batch: pa.RecordBatch):
-    """The sets of the wanted paragraphs: columns doc, text and units (a list of paragraph numbers)."""
-    ids, units = batch.column(0), batch.column(2)
-    limits, wanted = units.offsets.to_numpy(), units.values.to_numpy()
-    for row, number, _, _, shingles, inner in _paragraphs(batch.column(1)):
-        keys = row.astype(np.int64) << 32 | number
-        rows = np.arange(row[0], row[-1] + 1)
-        low, high = limits[rows[0]], limits[rows[-1] + 1]
-        mine = np.repeat(rows, limits[rows + 1] - limits[rows]) << 32 | wanted[low:high]
-        at = np.flatnonzero(np.isin(keys, mine))
-        sets = [np.unique(shingles[inner[i] : inner[i + 1]]) for i in at]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at])), pa.array(number[at], pa.int32()), _lists(sets)], ["doc", "unit", "elements"])
-
-
-def _similar(documents: DataFrame, percent: int, seed: int) -> DataFrame:
-    """doc, unit, start, size, hub_doc, hub_unit: paragraphs similar to their bucket's hub in another document."""
-    source = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    """The shingle sets of the wanted paragraphs: columns id (the content's hash) and elements."""
+    contents = batch.column(2)
+    limits, wanted = contents.offsets.to_numpy(), contents.values.to_numpy()
+    for level, row, _, _, size, shingles, inner, *_ in _paragraphs(batch.column(1), 3):
+        content = _content(shingles, inner)
+        at = np.flatnonzero(np.isin(content, wanted[limits[row[0]] : limits[row[-1] + 1]]) & (size >= LEAST[level]))
+        for part in np.array_split(at, 1 + int(np.diff(inner)[at].sum()) // 2_000_000):
+            yield pa.RecordBatch.from_arrays([pa.array(content[part]), _lists([np.unique(shingles[inner[i] : inner[i + 1]]) for i in part])], ["id", "elements"])
+
+
+def _hash(*parts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for x in parts:
+        out = kernels.mix(out * np.uint64(0xD6E8FEB86659FD93) + x.astype(np.int64).view(np.uint64))
+    return out.view(np.int64)
+
+
+def _pieces(batch: pa.RecordBatch, core_words: int):
+    """A row for each piece of a text that may be repeated: long paragraphs, and neighbouring ones.
+
+    A key is of the classes of the paragraphs, so that pieces with one key are copies of each other.
+    """
+    docs, units = batch.column(0), batch.column(1)
+    if not len(units.values):
+        return
+    of = kernels.owners(units.offsets.to_numpy() - units.offsets[0].as_py())
+    unit, start, size, kind, after, before = (units.flatten().field(x).to_numpy() for x in ("unit", "start", "size", "class", "after", "before"))
+    del after, before
+    long = np.flatnonzero(size >= core_words)
+    parts = [(long, long, _hash(kind[long]))]
+    i = np.flatnonzero((of[1:] == of[:-1]) & (unit[1:] - unit[:-1] == 1))
+    parts.append((i, i + 1, _hash(kind[i], kind[i + 1])))
+    a, b, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(keys), docs.take(pa.array(of[a])), pa.array(start[a], pa.int32()), pa.array(start[b] + size[b], pa.int32())], ["key", "doc", "start", "end"])
+
+
+def _classes(source: DataFrame, percent: int, seed: int, levels: int) -> DataFrame:
+    """content, class: the paragraphs' contents that stand in two documents or more, or are similar to another content.
+
+    Contents that share a band key are linked as in near-dedup: a few hubs, then an exact prefix join.
+    """
     # unequal sets of fewer shingles than this are never similar enough: n of n + 1 is the most
     near = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
-    rows = map_batches(source, partial(_banded, seed=seed, near=near), "key long, doc long, unit int, start int, size int, exact boolean")
-    hubs = rows.groupBy("key").agg(F.min(F.struct("doc", "unit")).alias("hub"), F.max("doc").alias("last"))
-    hubs = keep(hubs.where("hub.doc < last").select("key", F.col("hub.doc").alias("hub_doc"), F.col("hub.unit").alias("hub_unit")))
-    pairs = rows.join(hubs, "key").where("doc <> hub_doc").groupBy("doc", "unit", "hub_doc", "hub_unit")
-    pairs = keep(pairs.agg(F.first("start").alias("start"), F.first("size").alias("size"), F.bool_or("exact").alias("equal")))
-    unequal = pairs.where("NOT equal").select(F.struct("doc", "unit").alias("a"), F.struct(F.col("hub_doc").alias("doc"), F.col("hub_unit").alias("unit")).alias("b"))
-    wanted = unequal.select("a.*").union(unequal.select("b.*")).groupBy("doc").agg(F.collect_set("unit").alias("units"))  # of one document
-    once = source.join(keep(wanted), "doc").groupBy("doc").agg(F.first("text").alias("text"), F.first("units").alias("units"))
-    sets = keep(map_batches(once, _sets, "doc long, unit int, elements array<long>"))
-    good = verified(unequal, sets.select(F.struct("doc", "unit").alias("id"), "elements"), percent)
-    good = good.select("a.doc", "a.unit", F.col("b.doc").alias("hub_doc"), F.col("b.unit").alias("hub_unit"))
-    near = pairs.where("NOT equal").join(good, ["doc", "unit", "hub_doc", "hub_unit"], "left_semi")
-    return pairs.where("equal").unionByName(near).drop("equal")
+    told, buckets = None, None
+    for level in range(2):
+        if not levels >> level & 1:
+            continue
+        names = [f"k{j}" for j in range(BANDS[level][0])]
+        rows = map_batches(source, partial(_keyed, level=level, seed=seed, near=near), "doc long, content long, " + ", ".join(f"{k} long" for k in names))
+        contents = keep(rows.groupBy("content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(k).alias(k) for k in names]))
+        one, two = contents.select("content", "low", "high"), contents.where("k0 IS NOT NULL").select(F.explode(F.array(*names)).alias("key"), F.col("content").alias("id"))
+        told, buckets = (one, two) if told is None else (told.union(one), buckets.union(two))
+    shared = keep(buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key"))
+    members = keep(buckets.join(small(shared), "key"))
+    wanted = told.join(members.select(F.col("id").alias("content")).distinct(), "content", "left_semi")
+    wanted = keep(wanted.groupBy(F.col("low").alias("doc")).agg(F.collect_set("content").alias("contents")))  # of one document
+    sets = source.join(small(wanted), "doc").select("doc", "words", "contents")
+    sets = keep(map_batches(sets, _sets, "id long, elements array<long>").dropDuplicates(["id"]))
+    labels = link(members.join(sets.select("id", F.size("elements").cast("long").alias("n")), "id"), sets, percent)
+    if labels is None:
+        return told.where("low < high").select("content", F.col("content").alias("class")).distinct()
+    told = told.join(labels, F.col("content") == F.col("node"), "left").where("low < high OR component IS NOT NULL")
+    return told.select("content", F.coalesce("component", "content").alias("class")).distinct()
 
 
 def repeated(documents: DataFrame, percent: int = 80, core_words: int = 14, seed: int = 23) -> DataFrame:
     """doc_id, first_word, n_words, kept_doc_id, cluster_id: the passages to remove, each but the one that stays.
 
-    Words are counted from 0. A passage is a run of neighbouring paragraphs, each similar to one of
-    the same other document, of at least ``core_words`` words; the cuts take up to a paragraph off
-    either end, so passages of more than 50 words are found and spans lie within them. The document
-    with the smallest doc_id keeps its copy; cluster_id joins passages that overlap anywhere.
+    Words are counted from 0. Paragraphs are of one class if they are equal or linked by similar ones.
+    A passage is a run of neighbouring paragraphs each two of which, or a paragraph of ``core_words``
+    words, stand in an earlier document too, whichever it is; a run has at least ``core_words`` words. A
+    row is the part of a run that one earlier document has. The cuts take up to a paragraph off either
+    end, so passages of more than 50 words are found and spans lie within them. The document with the
+    smallest doc_id keeps its copy; cluster_id joins passages that overlap anywhere.
 
     Null and empty texts, texts of fewer than five words and rows with a null doc_id have no passages;
     rows that repeat a doc_id are one document; extra columns are ignored.
     """
-    similar = keep(_similar(documents, percent, seed))
-    within = Window.partitionBy("doc", "hub_doc").orderBy("unit", "hub_unit")
-    once = similar.groupBy("doc", "unit", "hub_doc").agg(F.min("hub_unit").alias("hub_unit"), F.min("start").alias("start"), F.min("size").alias("size"))
-    begins = (F.col("unit") - F.lag("unit").over(within) == 1) & F.col("hub_unit").between(F.lag("hub_unit").over(within) - 1, F.lag("hub_unit").over(within) + 2)
-    marked = once.withColumn("begins", F.when(begins, 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("begins").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc", "hub_doc", "run").agg(
-        F.min("unit").alias("low"), F.max("unit").alias("high"), F.min("hub_unit").alias("hub_low"), F.max("hub_unit").alias("hub_high"),
-        F.min("start").alias("first_word"), F.sum("size").alias("n_words"),
-    )
-    runs = keep(runs.where(F.col("n_words") >= core_words).drop("run"))
+    source = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("words")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    classes = keep(_classes(source, percent, seed, LEVELS))
+    units = map_batches(
+        source.withColumn("text", F.xxhash64("words")), partial(_units, levels=LEVELS), "doc long, text long, level int, unit int, start int, size int, content long, after int, before int"
+    )
+    hits = units.join(classes, "content").groupBy("doc", "text", "level")
+    hits = hits.agg(F.array_sort(F.collect_set(F.struct("unit", "start", "size", "class", "after", "before"))).alias("units"))  # of one document
+    pieces = keep(map_batches(hits.select("doc", "units"), partial(_pieces, core_words=core_words), "key long, doc long, start int, end int"))
+    hubs = pieces.groupBy("key").agg(F.min(F.struct("doc", "start", "end")).alias("hub"), F.max("doc").alias("last")).where("hub.doc < last")
+    hubs = hubs.select("key", F.col("hub.doc").alias("hub_doc"), F.col("hub.start").alias("hub_start"), F.col("hub.end").alias("hub_end"))
+    matches = pieces.join(hubs, "key").where("doc <> hub_doc").select("doc", "start", "end", "hub_doc", "hub_start", "hub_end").distinct()
+    # pieces that touch in both documents are one part of a run
+    within = Window.partitionBy("doc", "hub_doc").orderBy("start", "end", "hub_start", "hub_end")
+    most = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    joins = (most >= F.col("start")) & F.col("hub_start").between(F.lag("hub_start").over(within), F.lag("hub_end").over(within))
+    marked = matches.withColumn("begins", F.when(joins, 0).otherwise(1))
+    marked = marked.withColumn("run", F.sum("begins").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = marked.groupBy("doc", "hub_doc", "run").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.min("hub_start").alias("hub_low"), F.max("hub_end").alias("hub_high"))
+    # parts that overlap are one run, whatever documents they go to
+    along = Window.partitionBy("doc").orderBy("low", "high", "hub_doc")
+    begins = F.coalesce(F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("low"), F.lit(True))
+    parts = parts.withColumn("run", F.sum(begins.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc", "run")
+    runs = parts.withColumn("words", F.max("high").over(whole) - F.min("low").over(whole)).where(F.col("words") >= core_words).drop("run", "words")
+    runs = keep(runs.withColumn("first_word", F.col("low")).withColumn("n_words", F.col("high") - F.col("low")))
     # spans of the hubs that overlap are one place
     spans = runs.groupBy("hub_doc", "hub_low", "hub_high").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("hub_doc").orderBy("hub_low", "hub_high")
     reach = F.max("hub_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.when(reach >= F.col("hub_low"), 0).otherwise(1)).withColumn("place", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumn("new", F.when(reach > F.col("hub_low"), 0).otherwise(1)).withColumn("place", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = keep(spans.withColumn("node", F.xxhash64("hub_doc", "place")).drop("n", "new"))
     placed = keep(runs.join(spans.select("hub_doc", "hub_low", "hub_high", "node"), ["hub_doc", "hub_low", "hub_high"]))
     places = spans.groupBy("hub_doc", "node").agg(F.min("hub_low").alias("from"), F.max("hub_high").alias("to"))
     places = places.select(F.col("hub_doc").alias("at"), F.col("node").alias("other"), "from", "to")
-    over = placed.join(places, F.col("doc") == F.col("at")).where((F.col("low") <= F.col("to")) & (F.col("from") <= F.col("high")) & (F.col("node") != F.col("other")))
+    over = placed.join(places, F.col("doc") == F.col("at")).where((F.col("low") < F.col("to")) & (F.col("from") < F.col("high")) & (F.col("node") != F.col("other")))
     other = placed.select(F.col("doc").alias("at"), F.col("node").alias("other"), F.col("low").alias("from"), F.col("high").alias("to"))
     edges = over.select(F.col("node").alias("a"), F.col("other").alias("b"))
-    twice = placed.join(other, F.col("doc") == F.col("at")).where((F.col("low") <= F.col("to")) & (F.col("from") <= F.col("high")) & (F.col("node") < F.col("other")))
+    twice = placed.join(other, F.col("doc") == F.col("at")).where((F.col("low") < F.col("to")) & (F.col("from") < F.col("high")) & (F.col("node") < F.col("other")))
     edges = keep(edges.union(twice.select(F.col("node").alias("a"), F.col("other").alias("b"))).distinct())
     out = placed.select(F.col("doc").alias("doc_id"), F.col("first_word").cast("long"), F.col("n_words").cast("long"), F.col("hub_doc").alias("kept_doc_id"), F.col("node"))
     if edges.isEmpty():

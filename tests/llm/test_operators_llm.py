@@ -5,10 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import html, langid, license, minhash, mixing, passages, pu, quality, queries, sharding, tiling
+from granary.llm import html, kernels, langid, license, minhash, mixing, passages, pu, quality, queries, sharding, tiling
 from granary.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -478,6 +479,28 @@ def test_repeated_passages_are_found(spark):
     assert sorted(map(len, kinds.values())) == [1] * len(kinds) and set.union(*kinds.values()) == {0, 1}
 
 
+def test_passage_with_a_paragraph_elsewhere(spark):
+    random = np.random.default_rng(3)
+    draw = lambda n: [f"t{i}" for i in random.integers(0, 10**6, n)]
+    while True:  # a passage with three inner paragraphs, each too short to be a passage
+        passage = draw(55)
+        data, offsets = kernels.buffers(pa.array([" ".join(passage)]))
+        starts, ends, first = kernels.spans(data, offsets)
+        at, _ = passages.cuts(kernels.span_hashes(data, starts, ends), first)
+        at = at[(at >= 7) & (at <= 47)]  # the same cuts in any text
+        if len(at) == 4 and max(np.diff(at)) < 14:
+            break
+    middle = 1
+    # document 1 has one paragraph of the middle with the words by which it is cut
+    inner = passage[max(at[middle] - 7, 0) : at[middle + 1] + 8]
+    texts = {1: draw(30) + inner + draw(30), 5: draw(40) + passage + draw(20), 6: draw(25) + passage + draw(35)}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    covered = set()
+    for r in passages.repeated(docs).where("doc_id = 6").collect():
+        covered |= set(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert covered <= set(range(25, 80)) and covered >= set(range(25 + int(at[0]), 25 + int(at[-1])))
+
+
 def test_passages_of_the_tables_repeat(spark, data, texts):
     found = queries.op9_passage_banding(spark, data).collect()
     words = {d: [w.translate(LOWER) for w in WORD.findall(t)] for d, t, *_ in texts}
