@@ -33,7 +33,7 @@ BANDS = ((2, 1), (12, 3))
 LEAST = (SHINGLE, 14)
 BESIDE = 3
 #: Levels in use, as bits.
-LEVELS = 1
+LEVELS = 3
 _LOW = np.uint64((1 << 44) - 1)
 
 
@@ -158,18 +158,24 @@ def _hash(*parts: np.ndarray) -> np.ndarray:
 def _pieces(batch: pa.RecordBatch, core_words: int):
     """A row for each piece of a text that may be repeated: long paragraphs, and neighbouring ones.
 
-    A key is of the classes of the paragraphs, so that pieces with one key are copies of each other.
+    A key is of the classes of the paragraphs (and of the words beside them where a differing paragraph
+    lies between), so that pieces with one key are copies of each other.
     """
     docs, units = batch.column(0), batch.column(1)
     if not len(units.values):
         return
     of = kernels.owners(units.offsets.to_numpy() - units.offsets[0].as_py())
     unit, start, size, kind, after, before = (units.flatten().field(x).to_numpy() for x in ("unit", "start", "size", "class", "after", "before"))
-    del after, before
     long = np.flatnonzero(size >= core_words)
     parts = [(long, long, _hash(kind[long]))]
     i = np.flatnonzero((of[1:] == of[:-1]) & (unit[1:] - unit[:-1] == 1))
     parts.append((i, i + 1, _hash(kind[i], kind[i + 1])))
+    # one paragraph that differs lies between (two where a changed word makes or moves a cut): it begins or ends with the same words
+    for d in (1, 2, 3):
+        i = np.flatnonzero(of[d:] == of[:-d])
+        for gap in (2, 3):
+            x = i[unit[i + d] - unit[i] == gap]
+            parts += [(x, x + d, _hash(kind[x], kind[x + d], after[x])), (x, x + d, ~_hash(kind[x], kind[x + d], before[x + d]))]
     a, b, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
     yield pa.RecordBatch.from_arrays([pa.array(keys), docs.take(pa.array(of[a])), pa.array(start[a], pa.int32()), pa.array(start[b] + size[b], pa.int32())], ["key", "doc", "start", "end"])
 
@@ -206,9 +212,10 @@ def _classes(source: DataFrame, percent: int, seed: int, levels: int) -> DataFra
 def repeated(documents: DataFrame, percent: int = 80, core_words: int = 14, seed: int = 23) -> DataFrame:
     """doc_id, first_word, n_words, kept_doc_id, cluster_id: the passages to remove, each but the one that stays.
 
-    Words are counted from 0. Paragraphs are of one class if they are equal or linked by similar ones.
+    Words are counted from 0. Paragraphs are content-defined ones, and lines of 14 words or more; they are of one class if they are equal or linked by similar ones.
     A passage is a run of neighbouring paragraphs each two of which, or a paragraph of ``core_words``
-    words, stand in an earlier document too, whichever it is; a run has at least ``core_words`` words. A
+    words, stand in an earlier document too, whichever it is; a run has at least ``core_words`` words and
+    goes on over one paragraph that differs if it begins or ends with the same three words. A
     row is the part of a run that one earlier document has. The cuts take up to a paragraph off either
     end, so passages of more than 50 words are found and spans lie within them. The document with the
     smallest doc_id keeps its copy; cluster_id joins passages that overlap anywhere.

@@ -501,6 +501,54 @@ def test_passage_with_a_paragraph_elsewhere(spark):
     assert covered <= set(range(25, 80)) and covered >= set(range(25 + int(at[0]), 25 + int(at[-1])))
 
 
+def test_passages_with_a_changed_word(spark):
+    random = np.random.default_rng(5)
+    draw = lambda n: [f"t{i}" for i in random.integers(0, 10**6, n)]
+    rows = []
+    for i in range(30):
+        line = draw(50 + i % 11)
+        changed = [*line]
+        changed[len(line) // 2] = "changed"
+        rows.append((i, "\n".join(map(" ".join, (draw(20), line, draw(9))))))
+        rows.append((100 + i, "\n".join(map(" ".join, (draw(9), changed, draw(20))))))
+    # and in the middle of a line, where the edges are lost
+    for i in range(30):
+        passage = draw(90)
+        rows.append((200 + i, " ".join(draw(30) + passage + draw(30))))
+        passage[45] = "changed"
+        rows.append((300 + i, " ".join(draw(25) + passage + draw(35))))
+    covered = defaultdict(set)
+    for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["kept_doc_id"] == r["doc_id"] - 100
+        covered[r["doc_id"]] |= set(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert all(covered[100 + i] >= set(range(9, 59 + i % 11)) for i in range(30))
+    assert all(70 in covered[300 + i] and covered[300 + i] <= set(range(25, 115)) for i in range(30))
+
+
+def test_similar_lines_of_the_tables_are_of_one_class(spark, data, texts):
+    """Recall against all pairs of lines; similar lines of a bucket whose first line is like neither count too."""
+    split = lambda line: tuple(w.translate(LOWER) for w in WORD.findall(line))
+    found = defaultdict(set)
+    for d, t, *_ in texts:
+        for line in map(split, t.split("\n")):
+            if len(line) >= 14:
+                found[line].add(d)
+    sets = {line: {line[i : i + 5] for i in range(len(line) - 4)} for line in found}
+    at = defaultdict(list)
+    for line, have in sets.items():
+        for x in have:
+            at[x].append(line)
+    pairs = {(a, b) for same in at.values() for i, a in enumerate(same) for b in same[:i] if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))}
+    want = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    source = spark.createDataFrame([(d, t) for d, t, *_ in texts], "doc long, words string")
+    classes = {r["content"]: r["class"] for r in passages._classes(source, 80, 23, 3).collect()}
+    order = sorted(found)
+    hashes = {}
+    for _, row, _, _, size, shingles, inner, *_ in passages._paragraphs(pa.array(map(" ".join, order)), 2):
+        hashes.update({order[r]: int(c) for r, c in zip(row, passages._content(shingles, inner), strict=True)})
+    assert want and all(classes[hashes[a]] == classes[hashes[b]] for a, b in want)
+
+
 def test_passages_of_the_tables_repeat(spark, data, texts):
     found = queries.op9_passage_banding(spark, data).collect()
     words = {d: [w.translate(LOWER) for w in WORD.findall(t)] for d, t, *_ in texts}
