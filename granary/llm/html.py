@@ -2,7 +2,7 @@
 
 Parser events become lines, one for each block of the page; each line has the number of characters
 and of tags since the line before. The ratio of the two is smoothed along the page and lines above a
-threshold form clusters; the element that holds most of the clusters' text is the content region, and
+threshold form clusters; the element that holds all of the clusters' text is the content region, and
 every block in it is main text, short ones included. Blocks inside navigation, headers, footers,
 sidebars, forms, notices, adverts and comments are no content wherever they stand.
 """
@@ -148,8 +148,8 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
     """The main text of a page: its blocks in page order, one a line; empty if it has none.
 
     The threshold is a share of the standard deviation of the line ratios. The articles that hold
-    text of a cluster are the content, else the main element, else the smallest element that holds two
-    thirds of the clusters' text.
+    text of a cluster are the content, with the clusters' lines beside them (in the main element or in an
+    article's parent), else the main element, else the smallest element that holds all clusters' text.
     """
     if not html:
         return ""
@@ -166,14 +166,18 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
     np.add.at(weight, np.array([element for element, _, _ in lines])[content], size[content])
     for element in range(len(names) - 1, 0, -1):
         weight[parents[element]] += weight[element]
-    named = {e for e in range(1, len(names)) if weight[e] and names[e] == "article"} or {e for e in range(1, len(names)) if weight[e] and names[e] == "main"}
+    articles = {e for e in range(1, len(names)) if weight[e] and names[e] == "article"}
+    mains = {e for e in range(1, len(names)) if weight[e] and names[e] == "main"}
+    named = articles or mains
     if not named:
-        held = [e for e in range(1, len(names)) if weight[e] >= 2 / 3 * weight[0] and names[e] not in INLINE]
+        held = [e for e in range(1, len(names)) if weight[e] == weight[0] and names[e] not in INLINE]
         named = {max(held)} if held else {0}
-    inside = [0 in named]
+    around = mains | {parents[e] for e in articles}
+    inside, beside = [0 in named], [0 in around]
     for element in range(1, len(names)):
         inside.append(element in named or inside[parents[element]])
-    return "\n".join(text for element, text, _ in lines if inside[element])
+        beside.append(element in around or beside[parents[element]])
+    return "\n".join(text for (element, text, _), chosen in zip(lines, content, strict=True) if inside[element] or (chosen and beside[element]))
 
 
 def extract(pages: DataFrame, **parameters) -> DataFrame:

@@ -178,6 +178,18 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+def test_main_text_keeps_every_cluster():
+    draw = lambda name, n: [f"{name} {i} " + "some words of a long paragraph " * 4 for i in range(n)]
+    mark = lambda parts: "".join(f"<p>{p}</p>" for p in parts)
+    want = lambda *parts: "\n".join(p.strip() for p in sum(parts, []))
+    one, two = draw("first", 20), draw("second", 8)
+    page = f"<body><nav>menu</nav><div id=content><div>{mark(one)}</div><div>{mark(two)}</div></div><footer>f</footer></body>"
+    assert html.main_text(page) == want(one, two)
+    for outer in ("main", "div"):
+        page = f"<body><p>x</p><{outer}><section>{mark(two)}</section><article><h1>T</h1>{mark(one)}</article></{outer}><p>y</p></body>"
+        assert html.main_text(page) == want(two, ["T"], one)
+
+
 def test_pages_whole_article(spark, data):
     import html as entities
 
