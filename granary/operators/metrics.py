@@ -79,15 +79,25 @@ def frechet(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fid(rows: DataFrame, group: str, vector: str) -> DataFrame:
-    """a, b, fid of every pair of groups. A few hundred groups at most: their moments go to the driver."""
-    spark, found = rows.sparkSession, []
-    for r in moments(rows, group, vector).orderBy("g").limit(512).collect():
-        sums, n = np.array(r["sums"]), r["n"]
+    """a, b, fid of every pair of groups; a group of nulls comes first. The pairs are computed in tasks."""
+
+    def gaussian(sums: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         d = int((np.sqrt(1 + 4 * len(sums)) - 1) / 2)
         mean = sums[:d] / n
-        found.append((r["g"], (mean, (sums[d:].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1))))
-    pairs = [(a, b, frechet(x, y)) for i, (a, x) in enumerate(found) for b, y in found[i + 1 :]]
-    return spark.createDataFrame(pairs, "a long, b long, fid double")
+        return mean, (sums[d:].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(1).to_pylist(), batch.column(4).to_pylist()
+            of = lambda column, i: column[i].values.to_numpy(zero_copy_only=False)
+            found = [frechet(gaussian(of(batch.column(2), i), na[i]), gaussian(of(batch.column(5), i), nb[i])) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(found, pa.float64())], ["a", "b", "fid"])
+
+    told = moments(rows, group, vector)
+    one = told.select(F.col("g").alias("a"), F.col("n").alias("na"), F.col("sums").alias("of_a"))
+    two = told.select(F.col("g").alias("b"), F.col("n").alias("nb"), F.col("sums").alias("of_b"))
+    pairs = one.join(two, (F.col("a") < F.col("b")) | (F.col("a").isNull() & F.col("b").isNotNull()))
+    return pairs.mapInArrow(run, "a long, b long, fid double")
 
 
 def preference(trials: DataFrame, pair: str, choice: str, z: float = 1.96) -> DataFrame:

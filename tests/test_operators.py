@@ -100,6 +100,11 @@ def test_frechet_of_equal_and_shifted():
     assert metrics.frechet((np.zeros(3), eye), (np.ones(3), 4 * eye)) == pytest.approx(3 + 3)
 
 
+def test_fid_of_more_than_512_groups(spark):
+    rows = spark.range(2 * 520).selectExpr("id % 520 AS g", "array(CAST(id AS DOUBLE), CAST(id % 7 AS DOUBLE)) AS v")
+    assert metrics.fid(rows, "g", "v").count() == 520 * 519 // 2
+
+
 def test_fid_against_numpy(spark):
     random = np.random.default_rng(3)
     x = random.random((60, 3))
