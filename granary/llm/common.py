@@ -41,8 +41,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is. ``df`` should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is. ``df`` is a kept table, which is counted by its footers."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Substring dedup: MinHash banding of content-defined paragraphs, exact Jaccard, clustered removals.
-
-Passages may be set into the middle of a line, so paragraphs are cut by content: before each word at
-which the hash of three words is smaller than at its neighbours on both sides. A passage has the same
-cuts in whatever text it stands. Bands of MinHash coordinates give high recall, and a key is made of
-whole hashes of five-word shingles, so only paragraphs that share words ever meet. Contents that meet
-are linked by exact Jaccard on the full sets, without loss whatever the hubs are; a class is a
-component of them. Neighbouring paragraphs whose classes are neighbours in an earlier document make
-runs, and passages that overlap are clustered by components.
+"""Substring dedup: MinHash banding of paragraphs, exact Jaccard, removals clustered by components.
+
+Paragraphs are of two kinds. Lines are banded by MinHash coordinates (bands tuned for high recall),
+lines that share a band key are joined and linked by exact Jaccard on their full shingle sets, and a
+class is a component of them. Passages may also be set into the middle of a line, so texts are cut by
+content too: at every shingle that is the MinHash of some window of ten shingles, which is the same
+shingle in whatever text the window stands. Those paragraphs overlap by a shingle and collide in their
+one band if they are equal.
+
+Paragraphs with a copy in an earlier document are chained where they overlap, or where they lie
+close by on both sides; a chain that is long enough is a passage, and passages whose copies overlap
+are clustered by components.
 """
 
 from __future__ import annotations
@@ -15,51 +18,51 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
 from granary.llm.common import components, keep, map_batches, small
 from granary.llm.minhash import UNIVERSE, _lists, link, permutations
 
-#: Words on either side at which a cut's hash is the smallest: a paragraph has 11 words on average and 6 at least.
-REACH = 5
-#: A paragraph without a cut is cut after so many words.
-LONGEST = 64
 SHINGLE = 5
-#: Bands and coordinates of a band for the paragraphs of each level: content-defined ones, and lines.
-BANDS = ((2, 1), (12, 3))
-#: Words that a paragraph of each level has at least, and words beside it that are hashed.
-LEAST = (SHINGLE, 14)
-BESIDE = 3
-#: Levels in use, as bits.
-LEVELS = 3
+#: Shingles of a window, each of which has a cut: a paragraph begins every 5.5 words on average, and a
+#: passage is covered but for 9 words at either end at most.
+WINDOW = 10
+#: In texts that repeat a few words for long no shingle is the least; there a cut follows so many words on.
+LONGEST = 64
+#: Bands of lines and coordinates of each: lines at 0.8 meet with probability 0.998, at 0.85 with 0.9996.
+BANDS, ROWS = 7, 2
+#: Words that a line has at least, to be a paragraph.
+LINE = 14
+#: Chains go on over so many words between paragraphs that lie alike (within DRIFT words) in the same earlier document.
+HOLE, DRIFT = 40, 4
 _LOW = np.uint64((1 << 44) - 1)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+SCHEMA = "doc long, text int, level int, start int, size int, content long, keys array<long>"
 
 
-def cuts(words: np.ndarray, first: np.ndarray, reach: int = REACH, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """The first word of each paragraph of a chunk, and the index of each text's first paragraph."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(len(first), np.int64)
-    value = words.copy()
-    for j in (1, 2):
-        value[: n - j] = value[: n - j] * np.uint64(0xD6E8FEB86659FD93) + words[j:]
-    value = kernels.mix(value)
-    text = kernels.owners(first)
-    least = np.ones(n, bool)
-    for d in range(1, min(reach, n - 1) + 1):
-        same = text[d:] == text[:-d]
-        least[d:] &= ~same | (value[d:] < value[:-d])
-        least[:-d] &= ~same | (value[:-d] < value[d:])
-    least[first[:-1][np.diff(first) > 0]] = True
-    at = np.flatnonzero(least)
-    gaps = np.diff(np.concatenate((at, [n])))
-    # text ends are starts of the next text, so no gap spans two texts
-    extra = np.maximum((gaps - 1) // longest, 0)
+def cuts(shingles: np.ndarray, limits: np.ndarray, window: int = WINDOW, longest: int = LONGEST) -> np.ndarray:
+    """The shingles at which the texts of a chunk are cut; the first and the last of a text are always among them.
+
+    A shingle is a cut if it alone is the least of a window of its own text.
+    """
+    n = len(shingles)
+    text = kernels.owners(limits)
+    at = np.arange(n)
+    left, right = np.minimum(at - limits[:-1][text] + 1, window), np.minimum(limits[1:][text] - at, window)
+    for d in range(1, min(window, n)):
+        np.minimum(left[d:], np.where(shingles[:-d] <= shingles[d:], d, window), out=left[d:])
+        np.minimum(right[:-d], np.where(shingles[d:] <= shingles[:-d], d, window), out=right[:-d])
+    chosen = left + right > window
+    filled = np.diff(limits) > 0
+    chosen[limits[:-1][filled]] = True
+    chosen[limits[1:][filled] - 1] = True
+    at = np.flatnonzero(chosen)
+    extra = (np.diff(np.concatenate((at, at[-1:]))) - 1) // longest
+    extra = np.maximum(extra, 0)
     step = np.arange(int(extra.sum())) - np.repeat(np.cumsum(extra) - extra, extra) + 1
-    at = np.sort(np.concatenate((at, np.repeat(at, extra) + step * longest)))
-    return at, np.searchsorted(at, first)
+    return np.sort(np.concatenate((at, np.repeat(at, extra) + step * longest)))
 
 
 def lines(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,200 +72,227 @@ def lines(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.n
     return at, np.searchsorted(at, first)
 
 
-def _paragraphs(texts: pa.Array, levels: int):
-    """(level, rows of texts, paragraph numbers, first word, words, shingle hashes, their limits, word hashes, paragraphs' limits in words) of the paragraphs with a shingle."""
+def _sequence(shingles: np.ndarray, begins: np.ndarray, level: int) -> np.ndarray:
+    """A hash of the sequence of shingles from each begin to the next."""
+    place = np.arange(len(shingles)) - np.repeat(begins, np.diff(np.concatenate((begins, [len(shingles)]))))
+    return kernels.mix(np.add.reduceat(kernels.mix(shingles + kernels.mix(place.astype(np.uint64))), begins) + np.uint64(level))
+
+
+def _words(texts: pa.Array):
     for low, _, data, offsets in kernels.chunks(texts):
         data = kernels.lowered(data)
         starts, ends, first = kernels.spans(data, offsets)
-        words = kernels.span_hashes(data, starts, ends)
-        for level in range(2):
-            if not levels >> level & 1:
-                continue
-            at, limits = lines(data, starts, first) if level else cuts(words, first)
-            if not len(at):
-                continue
-            bounds = np.concatenate((at, [len(words)]))
-            shingles, inner = kernels.window_hashes(words, bounds, SHINGLE)
-            text = np.searchsorted(limits, np.arange(len(at)), "right") - 1
-            number = np.arange(len(at)) - limits[text]
-            filled = np.flatnonzero(np.diff(inner))
-            if not len(filled):
-                continue
-            inner = np.concatenate((inner[filled], inner[-1:]))
-            yield level, low + text[filled], number[filled], at[filled] - first[text[filled]], np.diff(bounds)[filled], shingles, inner, words, at[filled]
-
-
-def _content(shingles: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """A hash of each paragraph's sequence of shingles: equal hashes mean equal words."""
-    place = np.arange(len(shingles)) - np.repeat(inner[:-1], np.diff(inner))
-    return kernels.mix(np.add.reduceat(kernels.mix(shingles + kernels.mix(place.astype(np.uint64))), inner[:-1])).view(np.int64)
-
-
-def _keyed(batch: pa.RecordBatch, level: int, seed: int, near: int):
-    """A row for each paragraph with its band keys; they are null where no unequal paragraph can be similar enough."""
-    ids = batch.column(0)
-    bands, rows = BANDS[level]
-    sigma, shifted = permutations(bands * rows, seed)
-    for _, row, _, _, size, shingles, inner, *_ in _paragraphs(batch.column(1), 1 << level):
-        at = sigma[(shingles & np.uint64(UNIVERSE - 1)).astype(np.int64)]
-        low = shingles & _LOW
-        keys = []
-        for band in range(bands):
-            key = np.full(len(row), band + 1, np.uint64)
-            for j in range(band * rows, band * rows + rows):
-                least = np.minimum.reduceat((shifted[at, j].astype(np.uint64) << np.uint64(44)) | low, inner[:-1]) & _LOW
-                key = kernels.mix(key * np.uint64(0xD6E8FEB86659FD93) + least)
-            keys.append(pa.array(key.view(np.int64), mask=np.diff(inner) < near))
-        use = pa.array(np.flatnonzero(size >= LEAST[level]))
-        columns = [ids.take(pa.array(row)), pa.array(_content(shingles, inner)), *keys]
-        yield pa.RecordBatch.from_arrays([c.take(use) for c in columns], ["doc", "content", *(f"k{j}" for j in range(bands))])
-
-
-def _units(batch: pa.RecordBatch, levels: int):
-    """A row for each paragraph: its place, and hashes of the words after it and before it."""
-    ids, texts = batch.column(0), batch.column(2)
-    for level, row, number, start, size, shingles, inner, words, at in _paragraphs(batch.column(1), levels):
-        use = np.flatnonzero(size >= LEAST[level])
-        after, before = _beside(words, at + size), _beside(words, at - BESIDE)
-        columns = [pa.array(x[use], t) for x, t in ((number, pa.int32()), (start, pa.int32()), (size, pa.int32()), (_content(shingles, inner), pa.int64()), (after, pa.int32()), (before, pa.int32()))]
-        rows = pa.array(row[use])
-        yield pa.RecordBatch.from_arrays([ids.take(rows), texts.take(rows), pa.array(np.full(len(use), level), pa.int32()), *columns], ["doc", "text", "level", "unit", "start", "size", "content", "after", "before"])
-
-
-def _beside(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of a few words from each place on."""
-    out = np.zeros(len(at), np.uint64)
-    for j in range(BESIDE):
-        out = kernels.mix(out + words[np.clip(at + j, 0, len(words) - 1)])
-    return (out >> np.uint64(33)).astype(np.int32)
+        yield low, data, starts, first, kernels.span_hashes(data, starts, ends)
+
+
+def _cut(words: np.ndarray, first: np.ndarray):
+    """(rows of texts, first word, words, content) of the content-defined paragraphs of a chunk."""
+    shingles, limits = kernels.window_hashes(words, first, SHINGLE)
+    if not len(shingles):
+        return
+    at = cuts(shingles, limits)
+    text = np.searchsorted(limits, at, "right") - 1
+    pair = np.flatnonzero(text[1:] == text[:-1])
+    content = kernels.mix(_sequence(shingles, at, 0)[pair] * _STEP + shingles[at[pair + 1]]).view(np.int64)
+    row = text[pair]
+    yield row, at[pair] - limits[row], at[pair + 1] - at[pair] + SHINGLE, content
+
+
+def _lined(data: np.ndarray, starts: np.ndarray, words: np.ndarray, first: np.ndarray):
+    """(rows of texts, first word, words, content, shingles, index of each line's first shingle) of the lines of a chunk."""
+    at, limits = lines(data, starts, first)
+    bounds = np.concatenate((at, [len(words)]))
+    long = np.flatnonzero(np.diff(bounds) >= LINE)
+    if not len(long):
+        return
+    shingles, inner = kernels.window_hashes(words, bounds, SHINGLE)
+    wanted = np.repeat(np.diff(bounds) >= LINE, np.diff(inner))
+    shingles, inner = shingles[wanted], np.concatenate(([0], np.cumsum(np.diff(inner)[long])))
+    row = np.searchsorted(limits, long, "right") - 1
+    yield row, at[long] - first[row], np.diff(bounds)[long], _sequence(shingles, inner[:-1], 1).view(np.int64), shingles, inner
+
+
+def _bands(shingles: np.ndarray, inner: np.ndarray, seed: int) -> np.ndarray:
+    """Band keys, a row for each line. A coordinate is the least shingle by one of the circulant permutations, with its whole hash."""
+    sigma, shifted = permutations(BANDS * ROWS, seed)
+    at = sigma[(shingles & np.uint64(UNIVERSE - 1)).astype(np.int64)]
+    low = shingles & _LOW
+    keys = np.empty((len(inner) - 1, BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(keys), band + 1, np.uint64)
+        for j in range(band * ROWS, band * ROWS + ROWS):
+            least = np.minimum.reduceat((shifted[at, j].astype(np.uint64) << np.uint64(44)) | low, inner[:-1]) & _LOW
+            key = kernels.mix(key * _STEP + least)
+        keys[:, band] = key
+    return keys.view(np.int64)
+
+
+def _units(batch: pa.RecordBatch, seed: int):
+    """A row for each paragraph of SCHEMA; keys are null but for lines."""
+    docs, texts = batch.column(0), batch.column(2)
+    for low, data, starts, first, words in _words(batch.column(1)):
+        found = [(0, *x, None) for x in _cut(words, first)] + [(1, *x[:4], _bands(*x[4:], seed)) for x in _lined(data, starts, words, first)]
+        for level, row, start, size, content, keys in found:
+            rows = pa.array(low + row)
+            lists = pa.nulls(len(row), pa.list_(pa.int64())) if keys is None else pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            columns = [pa.array(np.full(len(row), level), pa.int32()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(content), lists]
+            yield pa.RecordBatch.from_arrays([docs.take(rows), texts.take(rows), *columns], ["doc", "text", "level", "start", "size", "content", "keys"])
 
 
 def _sets(batch: pa.RecordBatch):
-    """The shingle sets of the wanted paragraphs: columns id (the content's hash) and elements."""
-    contents = batch.column(2)
+    """The shingle sets of the wanted lines: columns id (the content) and elements."""
+    contents = batch.column(1)
     limits, wanted = contents.offsets.to_numpy(), contents.values.to_numpy()
-    for level, row, _, _, size, shingles, inner, *_ in _paragraphs(batch.column(1), 3):
-        content = _content(shingles, inner)
-        at = np.flatnonzero(np.isin(content, wanted[limits[row[0]] : limits[row[-1] + 1]]) & (size >= LEAST[level]))
-        for part in np.array_split(at, 1 + int(np.diff(inner)[at].sum()) // 2_000_000):
-            yield pa.RecordBatch.from_arrays([pa.array(content[part]), _lists([np.unique(shingles[inner[i] : inner[i + 1]]) for i in part])], ["id", "elements"])
+    for low, data, starts, first, words in _words(batch.column(0)):
+        for row, _, _, content, shingles, inner in _lined(data, starts, words, first):
+            here = wanted[limits[low + row[0]] : limits[low + row[-1] + 1]]
+            at = np.flatnonzero(np.isin(content, here))
+            for part in np.array_split(at, 1 + int(np.diff(inner)[at].sum()) // 2_000_000):
+                yield pa.RecordBatch.from_arrays([pa.array(content[part]), _lists([np.unique(shingles[inner[i] : inner[i + 1]]) for i in part])], ["id", "elements"])
+
+
+def source(documents: DataFrame) -> DataFrame:
+    """doc, words (the text) and text (a hash of it) of the rows with both."""
+    words = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), words.alias("words"), F.hash(words).alias("text"))
+    return rows.where("doc IS NOT NULL AND words IS NOT NULL")
+
+
+def line_classes(texts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """content, class, low, high (smallest and largest document) of all lines: equal lines and linked ones are of one class."""
+    names = [f"k{j}" for j in range(BANDS)]
+    keyed = units.where("level = 1").select("doc", "content", *[F.col("keys")[j].alias(k) for j, k in enumerate(names)])
+    contents = keep(keyed.groupBy("content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(k).alias(k) for k in names]))
+    buckets = contents.select(F.explode(F.array(*names)).alias("key"), F.col("content").alias("id"))
+    shared = keep(buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key"))
+    members = keep(buckets.join(small(shared), "key"))
+    met = members.select(F.col("id").alias("content")).distinct()
+    wanted = keep(contents.join(met, "content", "left_semi").groupBy(F.col("low").alias("doc")).agg(F.collect_set("content").alias("contents")))  # of one document
+    sets = texts.join(small(wanted), "doc").select("words", "contents")
+    sets = keep(map_batches(sets, _sets, "id long, elements array<long>").dropDuplicates(["id"]))
+    labels = link(members.join(sets.select("id", F.size("elements").cast("long").alias("n")), "id"), sets, percent)
+    told = contents.select("content", "low", "high")
+    if labels is None:
+        return told.withColumn("class", F.col("content"))
+    told = told.join(labels.select(F.col("node").alias("content"), "component"), "content", "left").withColumn("class", F.coalesce("component", "content"))
+    ends = told.where("component IS NOT NULL").groupBy("class").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    return told.join(ends, "class", "left").select("content", "class", F.coalesce("least", "low").alias("low"), F.coalesce("most", "high").alias("high"))
 
 
-def _hash(*parts: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(parts[0]), np.uint64)
-    for x in parts:
-        out = kernels.mix(out * np.uint64(0xD6E8FEB86659FD93) + x.astype(np.int64).view(np.uint64))
-    return out.view(np.int64)
+def _merged(group: np.ndarray, start: np.ndarray, end: np.ndarray, overlap: int) -> np.ndarray:
+    """The number of the run of each interval; intervals are sorted by group and start, and those of a run overlap by so much."""
+    top = np.int64(1) << 40
+    reach = np.maximum.accumulate(group * top + end)
+    begins = np.ones(len(start), bool)
+    begins[1:] = (group[1:] != group[:-1]) | (start[1:] > reach[:-1] - group[1:] * top - overlap)
+    return np.cumsum(begins) - 1
 
 
-def _pieces(batch: pa.RecordBatch, core_words: int):
-    """A row for each piece of a text that may be repeated: long paragraphs, and neighbouring ones.
+def _runs(batch: pa.RecordBatch, least: int, bridged: int):
+    """The parts of each run of copied paragraphs, by the earlier document: where they lie here and there.
 
-    A key is of the classes of the paragraphs (and of the words beside them where a differing paragraph
-    lies between), so that pieces with one key are copies of each other.
+    A run has ``least`` words, or ``bridged`` if paragraphs that lie apart support each other, and a third of its words are in copies.
     """
     docs, units = batch.column(0), batch.column(1)
     if not len(units.values):
         return
     of = kernels.owners(units.offsets.to_numpy() - units.offsets[0].as_py())
-    unit, start, size, kind, after, before = (units.flatten().field(x).to_numpy() for x in ("unit", "start", "size", "class", "after", "before"))
-    long = np.flatnonzero(size >= core_words)
-    parts = [(long, long, _hash(kind[long]))]
-    i = np.flatnonzero((of[1:] == of[:-1]) & (unit[1:] - unit[:-1] == 1))
-    parts.append((i, i + 1, _hash(kind[i], kind[i + 1])))
-    # one paragraph that differs lies between (two where a changed word makes or moves a cut): it begins or ends with the same words
-    for d in (1, 2, 3):
-        i = np.flatnonzero(of[d:] == of[:-d])
-        for gap in (2, 3):
-            x = i[unit[i + d] - unit[i] == gap]
-            parts += [(x, x + d, _hash(kind[x], kind[x + d], after[x])), (x, x + d, ~_hash(kind[x], kind[x + d], before[x + d]))]
-    a, b, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
-    yield pa.RecordBatch.from_arrays([pa.array(keys), docs.take(pa.array(of[a])), pa.array(start[a], pa.int32()), pa.array(start[b] + size[b], pa.int32())], ["key", "doc", "start", "end"])
-
-
-def _classes(source: DataFrame, percent: int, seed: int, levels: int) -> DataFrame:
-    """content, class: the paragraphs' contents that stand in two documents or more, or are similar to another content.
-
-    Contents that share a band key are linked as in near-dedup: a few hubs, then an exact prefix join.
-    """
-    # unequal sets of fewer shingles than this are never similar enough: n of n + 1 is the most
-    near = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
-    told, buckets = None, None
-    for level in range(2):
-        if not levels >> level & 1:
-            continue
-        names = [f"k{j}" for j in range(BANDS[level][0])]
-        rows = map_batches(source, partial(_keyed, level=level, seed=seed, near=near), "doc long, content long, " + ", ".join(f"{k} long" for k in names))
-        contents = keep(rows.groupBy("content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(k).alias(k) for k in names]))
-        one, two = contents.select("content", "low", "high"), contents.where("k0 IS NOT NULL").select(F.explode(F.array(*names)).alias("key"), F.col("content").alias("id"))
-        told, buckets = (one, two) if told is None else (told.union(one), buckets.union(two))
-    shared = keep(buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key"))
-    members = keep(buckets.join(small(shared), "key"))
-    wanted = told.join(members.select(F.col("id").alias("content")).distinct(), "content", "left_semi")
-    wanted = keep(wanted.groupBy(F.col("low").alias("doc")).agg(F.collect_set("content").alias("contents")))  # of one document
-    sets = source.join(small(wanted), "doc").select("doc", "words", "contents")
-    sets = keep(map_batches(sets, _sets, "id long, elements array<long>").dropDuplicates(["id"]))
-    labels = link(members.join(sets.select("id", F.size("elements").cast("long").alias("n")), "id"), sets, percent)
-    if labels is None:
-        return told.where("low < high").select("content", F.col("content").alias("class")).distinct()
-    told = told.join(labels, F.col("content") == F.col("node"), "left").where("low < high OR component IS NOT NULL")
-    return told.select("content", F.coalesce("component", "content").alias("class")).distinct()
-
-
-def repeated(documents: DataFrame, percent: int = 80, core_words: int = 14, seed: int = 23) -> DataFrame:
-    """doc_id, first_word, n_words, kept_doc_id, cluster_id: the passages to remove, each but the one that stays.
-
-    Words are counted from 0. Paragraphs are content-defined ones, and lines of 14 words or more; they are of one class if they are equal or linked by similar ones.
-    A passage is a run of neighbouring paragraphs each two of which, or a paragraph of ``core_words``
-    words, stand in an earlier document too, whichever it is; a run has at least ``core_words`` words and
-    goes on over one paragraph that differs if it begins or ends with the same three words. A
-    row is the part of a run that one earlier document has. The cuts take up to a paragraph off either
-    end, so passages of more than 50 words are found and spans lie within them. The document with the
-    smallest doc_id keeps its copy; cluster_id joins passages that overlap anywhere.
+    start, size, hub, there = (units.flatten().field(x).to_numpy().astype(np.int64) for x in ("start", "size", "hub", "hub_start"))
+    end, drift = start + size, start - there
+    # a part of its own for each earlier document, bridges over what differs included
+    order = np.lexsort((end, start, hub, of))
+    of, start, end, hub, there, drift = (x[order] for x in (of, start, end, hub, there, drift))
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (of[1:] != of[:-1]) | (hub[1:] != hub[:-1])
+    group = np.cumsum(fresh) - 1
+    top = np.int64(1) << 40
+    reach = np.maximum.accumulate(group * top + end)
+    before = np.concatenate(([0], reach[:-1])) - group * top
+    near = np.zeros(len(of), bool)
+    near[1:] = ~fresh[1:] & (start[1:] - before[1:] <= HOLE) & (np.abs(drift[1:] - drift[:-1]) <= DRIFT)
+    begin = np.where(near, np.minimum(start, before - SHINGLE), start)
+    own = np.maximum(end - np.maximum(start, np.where(fresh, 0, before)), 0)
+    part = np.cumsum(fresh | (begin > before)) - 1
+    head = np.flatnonzero(np.diff(part, prepend=-1))
+    of, hub = of[head], hub[head]
+    low, high = np.minimum.reduceat(begin, head), np.maximum.reduceat(end, head)
+    there_low, there_high = np.minimum.reduceat(there, head), np.maximum.reduceat(there + (end - start), head)
+    own, bridge = np.add.reduceat(own, head), np.logical_or.reduceat(near & (start > before), head)
+    # parts that overlap by a shingle are one run, whatever documents they go to
+    order = np.lexsort((high, low, of))
+    of, hub, low, high, there_low, there_high, own, bridge = (x[order] for x in (of, hub, low, high, there_low, there_high, own, bridge))
+    run = _merged(of, low, high, SHINGLE)
+    head = np.flatnonzero(np.diff(run, prepend=-1))
+    length = np.maximum.reduceat(high, head) - np.minimum.reduceat(low, head)
+    enough = np.where(np.logical_or.reduceat(bridge, head), bridged, least)
+    good = ((length >= enough) & (3 * np.add.reduceat(own, head) >= length))[run]
+    at = np.flatnonzero(good)
+    if len(at):
+        columns = [low, high, hub, there_low, there_high, low[head][run]]
+        yield pa.RecordBatch.from_arrays([docs.take(pa.array(of[at])), *[pa.array(x[at]) for x in columns]], ["doc", "low", "high", "hub_doc", "hub_low", "hub_high", "run"])
+
+
+def _placed(runs: DataFrame) -> DataFrame:
+    """``runs`` with node: the place in the earlier document that a part goes to; places that overlap are one."""
+    spans = runs.select("hub_doc", "hub_low", "hub_high").distinct()
+    order = Window.partitionBy("hub_doc").orderBy("hub_low", "hub_high")  # of one document
+    reach = F.max("hub_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(reach > F.col("hub_low"), 0).otherwise(1))
+    spans = spans.withColumn("place", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumn("node", F.xxhash64("hub_doc", "place")).drop("new", "place")
+    return runs.join(spans, ["hub_doc", "hub_low", "hub_high"])
+
+
+def _linked(placed: DataFrame) -> DataFrame:
+    """(a, b) of the places that belong together: those of one run, and those whose words are part of a run themselves."""
+    runs = placed.groupBy("doc", "text", "run").agg(F.min("node").alias("a"))
+    within = placed.join(runs, ["doc", "text", "run"]).select("a", F.col("node").alias("b"))
+    places = placed.groupBy("hub_doc", "node").agg(F.min("hub_low").alias("from"), F.max("hub_high").alias("to"))
+    # both sides in order along a document: a part and the places open at its start, or opened within it
+    parts = placed.select(F.col("doc").alias("at"), F.col("low").alias("from"), F.col("high").alias("to"), F.lit(0).alias("kind"), F.col("node"))
+    spans = places.join(parts.select(F.col("at").alias("hub_doc")).distinct(), "hub_doc", "left_semi").select(F.col("hub_doc").alias("at"), "from", "to", F.lit(1).alias("kind"), "node")
+    both = parts.union(spans)
+    along = Window.partitionBy("at").orderBy("from", "to", "kind", "node")
+    reach = F.max("to").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    swept = both.withColumn("stretch", F.sum(F.when(reach > F.col("from"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = swept.groupBy("at", "stretch").agg(F.min("node").alias("a"))
+    across = swept.join(ends, ["at", "stretch"]).select("a", F.col("node").alias("b"))
+    return within.union(across).where("a <> b").distinct()
+
+
+def repeated(documents: DataFrame, percent: int = 80, least: int = 26, bridged: int = 20, seed: int = 23, within: bool = False) -> DataFrame:
+    """doc_id, first_word, n_words, kept_doc_id, cluster_id: the passages to remove, each but the copy that stays.
+
+    Words are counted from 0. Paragraphs are content-defined ones, and lines of 14 words or more that
+    are equal or linked at ``percent``. A passage is a run of at least ``least`` words of paragraphs that
+    have a copy in an earlier document (by doc_id), whichever it is; they overlap by five words, or lie at most
+    40 words apart and as far in one earlier document (then ``bridged`` words are enough, a third of them in paragraphs). A row is the
+    part of a run that goes to one earlier document. Content-defined cuts take up to 9 words off either end,
+    so every passage of more than 50 words is found and spans lie within it. The document with
+    the smallest doc_id keeps its copy. With ``within`` a later copy in the same document is found too.
+    cluster_id joins passages whose places overlap anywhere.
 
     Null and empty texts, texts of fewer than five words and rows with a null doc_id have no passages;
-    rows that repeat a doc_id are one document; extra columns are ignored.
+    rows that repeat a doc_id are one document, each with its own spans; extra columns are ignored.
     """
-    source = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("words")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    classes = keep(_classes(source, percent, seed, LEVELS))
-    units = map_batches(
-        source.withColumn("text", F.xxhash64("words")), partial(_units, levels=LEVELS), "doc long, text long, level int, unit int, start int, size int, content long, after int, before int"
-    )
-    hits = units.join(classes, "content").groupBy("doc", "text", "level")
-    hits = hits.agg(F.array_sort(F.collect_set(F.struct("unit", "start", "size", "class", "after", "before"))).alias("units"))  # of one document
-    pieces = keep(map_batches(hits.select("doc", "units"), partial(_pieces, core_words=core_words), "key long, doc long, start int, end int"))
-    hubs = pieces.groupBy("key").agg(F.min(F.struct("doc", "start", "end")).alias("hub"), F.max("doc").alias("last")).where("hub.doc < last")
-    hubs = hubs.select("key", F.col("hub.doc").alias("hub_doc"), F.col("hub.start").alias("hub_start"), F.col("hub.end").alias("hub_end"))
-    matches = pieces.join(hubs, "key").where("doc <> hub_doc").select("doc", "start", "end", "hub_doc", "hub_start", "hub_end").distinct()
-    # pieces that touch in both documents are one part of a run
-    within = Window.partitionBy("doc", "hub_doc").orderBy("start", "end", "hub_start", "hub_end")
-    most = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    joins = (most >= F.col("start")) & F.col("hub_start").between(F.lag("hub_start").over(within), F.lag("hub_end").over(within))
-    marked = matches.withColumn("begins", F.when(joins, 0).otherwise(1))
-    marked = marked.withColumn("run", F.sum("begins").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = marked.groupBy("doc", "hub_doc", "run").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.min("hub_start").alias("hub_low"), F.max("hub_end").alias("hub_high"))
-    # parts that overlap are one run, whatever documents they go to
-    along = Window.partitionBy("doc").orderBy("low", "high", "hub_doc")
-    begins = F.coalesce(F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("low"), F.lit(True))
-    parts = parts.withColumn("run", F.sum(begins.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc", "run")
-    runs = parts.withColumn("words", F.max("high").over(whole) - F.min("low").over(whole)).where(F.col("words") >= core_words).drop("run", "words")
-    runs = keep(runs.withColumn("first_word", F.col("low")).withColumn("n_words", F.col("high") - F.col("low")))
-    # spans of the hubs that overlap are one place
-    spans = runs.groupBy("hub_doc", "hub_low", "hub_high").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("hub_doc").orderBy("hub_low", "hub_high")
-    reach = F.max("hub_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.when(reach > F.col("hub_low"), 0).otherwise(1)).withColumn("place", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = keep(spans.withColumn("node", F.xxhash64("hub_doc", "place")).drop("n", "new"))
-    placed = keep(runs.join(spans.select("hub_doc", "hub_low", "hub_high", "node"), ["hub_doc", "hub_low", "hub_high"]))
-    places = spans.groupBy("hub_doc", "node").agg(F.min("hub_low").alias("from"), F.max("hub_high").alias("to"))
-    places = places.select(F.col("hub_doc").alias("at"), F.col("node").alias("other"), "from", "to")
-    over = placed.join(places, F.col("doc") == F.col("at")).where((F.col("low") < F.col("to")) & (F.col("from") < F.col("high")) & (F.col("node") != F.col("other")))
-    other = placed.select(F.col("doc").alias("at"), F.col("node").alias("other"), F.col("low").alias("from"), F.col("high").alias("to"))
-    edges = over.select(F.col("node").alias("a"), F.col("other").alias("b"))
-    twice = placed.join(other, F.col("doc") == F.col("at")).where((F.col("low") < F.col("to")) & (F.col("from") < F.col("high")) & (F.col("node") < F.col("other")))
-    edges = keep(edges.union(twice.select(F.col("node").alias("a"), F.col("other").alias("b"))).distinct())
-    out = placed.select(F.col("doc").alias("doc_id"), F.col("first_word").cast("long"), F.col("n_words").cast("long"), F.col("hub_doc").alias("kept_doc_id"), F.col("node"))
+    texts = source(documents)
+    units = keep(map_batches(texts, partial(_units, seed=seed), SCHEMA))
+    cut = units.where("level = 0").groupBy("content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.count(F.lit(1)).alias("n")] * within)
+    lined = line_classes(texts, units, percent)
+    twice: Column = F.col("low") < F.col("high")
+    cut = cut.where(twice | (F.col("n") > 1) if within else twice).select("content", F.col("content").alias("class"), F.col("low").alias("hub"))
+    lined = (lined if within else lined.where(twice)).select("content", "class", F.col("low").alias("hub"))
+    copied = keep(cut.union(lined))
+    places = keep(units.select("doc", "text", "start", "size", "content").join(small(copied), "content").select("doc", "text", "start", "size", "class", "hub"))
+    firsts = places.where("doc = hub").groupBy("class").agg(F.min("start").alias("hub_start"))
+    later = (F.col("doc") != F.col("hub")) | (F.lit(within) & (F.col("start") >= F.col("hub_start") + F.col("size")))
+    hits = places.join(firsts, "class").where(later).groupBy("doc", "text")
+    hits = hits.agg(F.collect_list(F.struct("start", "size", "hub", "hub_start")).alias("units"))  # of one document
+    runs = map_batches(hits.select(F.struct("doc", "text").alias("doc"), "units"), partial(_runs, least=least, bridged=bridged), "doc struct<doc: long, text: int>, low long, high long, hub_doc long, hub_low long, hub_high long, run long")
+    runs = keep(runs.select("doc.doc", "doc.text", "low", "high", "hub_doc", "hub_low", "hub_high", "run").distinct())
+    placed = keep(_placed(runs))
+    out = placed.select(F.col("doc").alias("doc_id"), F.col("low").alias("first_word"), (F.col("high") - F.col("low")).alias("n_words"), F.col("hub_doc").alias("kept_doc_id"), "node")
+    edges = keep(_linked(placed))
     if edges.isEmpty():
         return out.withColumnRenamed("node", "cluster_id")
     labels = components(edges).select(F.col("node").alias("of"), "component")
