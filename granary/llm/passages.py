@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import components, keep, map_batches, small
+from granary.llm.common import components, forget, keep, map_batches, small
 from granary.llm.minhash import UNIVERSE, _lists, link, permutations
 
 SHINGLE = 5
@@ -31,14 +31,15 @@ SHINGLE = 5
 WINDOW = 10
 #: In texts that repeat a few words for long no shingle is the least; there a cut follows so many words on.
 LONGEST = 64
-#: Bands of lines and coordinates of each: lines at 0.8 meet with probability 0.998, at 0.85 with 0.9996.
-BANDS, ROWS = 7, 2
-#: Words that a line has at least, to be a paragraph.
-LINE = 14
+#: Bands of lines and coordinates of each: lines at 0.8 meet with probability 0.998, at 0.85 with 0.9998.
+BANDS, ROWS = 9, 3
+#: Words that a line has at least, to be a paragraph: in a shorter one a changed word leaves less than 0.8 of the shingles.
+LINE = 49
 #: Chains go on over so many words between paragraphs that lie alike (within DRIFT words) in the same earlier document.
 HOLE, DRIFT = 40, 4
 _LOW = np.uint64((1 << 44) - 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+HITS = ("doc", "text", "start", "size", "hub", "hub_start")
 SCHEMA = "doc long, text int, level int, start int, size int, content long, keys array<long>"
 
 
@@ -152,10 +153,10 @@ def _sets(batch: pa.RecordBatch):
 
 
 def source(documents: DataFrame) -> DataFrame:
-    """doc, words (the text) and text (a hash of it) of the rows with both."""
-    words = F.col("text").cast("string")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), words.alias("words"), F.hash(words).alias("text"))
-    return rows.where("doc IS NOT NULL AND words IS NOT NULL")
+    """doc, words (the text) and text (a hash of it, 0 if no doc_id stands twice) of the rows with both."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("words")).where("doc IS NOT NULL AND words IS NOT NULL")
+    alone = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return rows.withColumn("text", F.lit(0) if alone else F.hash("words"))
 
 
 def line_classes(texts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +177,68 @@ def line_classes(texts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
         return told.withColumn("class", F.col("content"))
     told = told.join(labels.select(F.col("node").alias("content"), "component"), "content", "left").withColumn("class", F.coalesce("component", "content"))
     ends = told.where("component IS NOT NULL").groupBy("class").agg(F.min("low").alias("least"), F.max("high").alias("most"))
-    return told.join(ends, "class", "left").select("content", "class", F.coalesce("least", "low").alias("low"), F.coalesce("most", "high").alias("high"))
+    told = keep(told.join(ends, "class", "left").select("content", "class", F.coalesce("least", "low").alias("low"), F.coalesce("most", "high").alias("high")))
+    forget(contents, shared, members, wanted, sets)
+    return told
+
+
+def line_copies(texts: DataFrame, units: DataFrame, percent: int, within: bool) -> DataFrame:
+    """doc, text, start, size, hub, hub_start of the lines of a class that has a line in an earlier document, the hub."""
+    classes = line_classes(texts, units, percent)
+    lined = units.where("level = 1").select("doc", "text", "start", "size", "content")
+    lined = lined.join(classes if within else classes.where("low < high"), "content").select("doc", "text", "start", "size", "class", F.col("low").alias("hub"))
+    firsts = lined.where("doc = hub").groupBy("class").agg(F.min("start").alias("hub_start"))
+    return lined.join(firsts, "class").where(_later(within)).select(*HITS)
+
+
+def _later(within: bool) -> Column:
+    return (F.col("doc") != F.col("hub")) | (F.lit(within) & (F.col("start") >= F.col("hub_start") + F.col("size")))
+
+
+def _sorted_copies(batches, within: bool):
+    """Rows of sorted paragraphs with the first of their content as hub: kind 0, those that are copies of it.
+
+    A content may be spread over partitions, so all rows of a partition's first content go out as kind 1, and
+    the hubs of its first and last contents as kind 2. Nothing is held but the current hub.
+    """
+    names = ["kind", *HITS, "content"]
+    first = last = None  # (content, doc, start, size, text) of the first row of the first and of the current content
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        doc, text, start, size, content = (batch.column(i).to_numpy() for i in range(5))
+        row = lambda i: tuple(int(x[i]) for x in (content, doc, start, size, text))  # noqa: E731, B023
+        first = first or row(0)
+        last = last or first
+        begins = np.concatenate(([content[0] != last[0]], content[1:] != content[:-1]))
+        of = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+        hub, hub_start = np.where(of >= 0, doc[of], last[1]), np.where(of >= 0, start[of], last[2])
+        early = content == first[0]
+        at = np.flatnonzero(early | (doc != hub) | (within & (start >= hub_start + size)))
+        columns = [early.astype(np.int32), doc, text, start, size, hub, hub_start, content]
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in columns], names)
+        if of[-1] >= 0:
+            last = row(of[-1])
+    for x in {first, last} - {None}:
+        columns = [2, x[1], x[4], x[2], x[3], x[1], x[2], x[0]]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(columns, types, strict=True)], names)
+
+
+def cut_copies(units: DataFrame, within: bool) -> DataFrame:
+    """doc, text, start, size, hub, hub_start of the content-defined paragraphs that stand in an earlier document, the hub.
+
+    One sort by content, dealt by ranges of (content, doc, start), so that a content of many rows lies in many partitions.
+    """
+    order = ["content", "doc", "start"]
+    dealt = units.where("level = 0").select("doc", "text", "start", "size", "content").repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "kind int, doc long, text int, start int, size int, hub long, hub_start int, content long"
+    found = keep(dealt.mapInArrow(partial(_sorted_copies, within=within), schema))
+    # two rows for each partition
+    ends = found.where("kind = 2").groupBy("content").agg(F.min(F.struct("hub", "hub_start")).alias("hub")).select("content", "hub.hub", "hub.hub_start")
+    spread = found.where("kind = 1").drop("hub", "hub_start").join(F.broadcast(ends), "content").where(_later(within))
+    return found.where("kind = 0").select(*HITS).union(spread.select(*HITS))
 
 
 def _merged(group: np.ndarray, start: np.ndarray, end: np.ndarray, overlap: int) -> np.ndarray:
@@ -277,19 +339,11 @@ def repeated(documents: DataFrame, percent: int = 80, least: int = 26, bridged:
     """
     texts = source(documents)
     units = keep(map_batches(texts, partial(_units, seed=seed), SCHEMA))
-    cut = units.where("level = 0").groupBy("content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.count(F.lit(1)).alias("n")] * within)
-    lined = line_classes(texts, units, percent)
-    twice: Column = F.col("low") < F.col("high")
-    cut = cut.where(twice | (F.col("n") > 1) if within else twice).select("content", F.col("content").alias("class"), F.col("low").alias("hub"))
-    lined = (lined if within else lined.where(twice)).select("content", "class", F.col("low").alias("hub"))
-    copied = keep(cut.union(lined))
-    places = keep(units.select("doc", "text", "start", "size", "content").join(small(copied), "content").select("doc", "text", "start", "size", "class", "hub"))
-    firsts = places.where("doc = hub").groupBy("class").agg(F.min("start").alias("hub_start"))
-    later = (F.col("doc") != F.col("hub")) | (F.lit(within) & (F.col("start") >= F.col("hub_start") + F.col("size")))
-    hits = places.join(firsts, "class").where(later).groupBy("doc", "text")
+    hits = cut_copies(units, within).union(line_copies(texts, units, percent, within)).groupBy("doc", "text")
     hits = hits.agg(F.collect_list(F.struct("start", "size", "hub", "hub_start")).alias("units"))  # of one document
     runs = map_batches(hits.select(F.struct("doc", "text").alias("doc"), "units"), partial(_runs, least=least, bridged=bridged), "doc struct<doc: long, text: int>, low long, high long, hub_doc long, hub_low long, hub_high long, run long")
     runs = keep(runs.select("doc.doc", "doc.text", "low", "high", "hub_doc", "hub_low", "hub_high", "run").distinct())
+    forget(units)
     placed = keep(_placed(runs))
     out = placed.select(F.col("doc").alias("doc_id"), F.col("low").alias("first_word"), (F.col("high") - F.col("low")).alias("n_words"), F.col("hub_doc").alias("kept_doc_id"), "node")
     edges = keep(_linked(placed))
