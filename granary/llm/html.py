@@ -3,14 +3,16 @@
 Parser events become lines, one for each block of the page; each line has the number of characters
 and of tags since the line before. The ratio of the two is smoothed along the page and lines above a
 threshold form clusters; the element that holds all of the clusters' text is the content region, and
-every block in it is main text, short ones included. Blocks inside navigation, headers, footers,
-sidebars, forms, notices, adverts and comments are no content wherever they stand.
+every block in it is main text, short ones included. Where that element is the whole page, the clusters
+alone decide: parts of the page with little text in clusters, and lines before the first cluster and
+after the last, are no content. Blocks inside navigation, headers, footers, sidebars, forms, notices,
+adverts and comments are no content wherever they stand.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,12 +32,16 @@ INLINE = frozenset("p b i span em strong a li td th tr u font".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
-#: Words of a class or id that mark an element as no content.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer header masthead topbar comment comments comments-list commentlist disqus replies reply respond related recommended share sharing social subscribe newsletter signup login paywall toolbar pagination pager skip hidden".split())
+#: Words of a class or id that mark an element as no content, if the name has no other words than these and those of PLAIN.
+MARKS = frozenset("ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer header masthead topbar comment comments commentlist disqus replies reply respond related recommended share sharing social subscribe newsletter signup login paywall toolbar pagination pager skip hidden".split())
 #: Those that hold for an article element too: remarks of readers and teasers.
 REMARKS = frozenset("ad ads advert advertisement comment comments reply replies respond related promo sponsored teaser".split())
-#: Names with one of these words describe the page's layout.
-LAYOUT = frozenset("has with without no layout wrapper container".split())
+#: Words that say nothing of what an element holds.
+PLAIN = frozenset("area articles bar block box buttons col column container content form group inner item items left right top bottom link links list main media outer page panel post posts primary reader readers row secondary section site slot stories thread unit user users wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that end the reach of an implied end tag.
+BARRIERS = BLOCKS - frozenset("p li dt dd td th tr option".split())
+ROOTS = frozenset(["", "html", "body"])
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar note".split())
 #: An article's own heading may stand in a header.
 INNER_HEADER = frozenset(["header", "hgroup"])
@@ -51,7 +57,8 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []  # name, number of the element, hidden, in an article or main
-        self.opened: Counter[str] = Counter()
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in ``open`` by name
+        self.barriers: list[int] = []
         self.lines: list[tuple[int, str, int]] = []
         self.names: list[str] = [""]
         self.parents: list[int] = [0]
@@ -66,9 +73,11 @@ class _Lines(HTMLParser):
             self.tags = 0
 
     def leave(self, upto: int) -> None:
-        for name, *_ in self.open[upto:]:
-            self.opened[name] -= 1
-        del self.open[upto:]
+        while len(self.open) > upto:
+            name = self.open.pop()[0]
+            self.at[name].pop()
+            if name in BARRIERS:
+                self.barriers.pop()
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self.tags += 1
@@ -78,29 +87,25 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        ends = SAME.get(tag, "").split() + ["p"] * (tag in CLOSES_P)
-        if any(self.opened[e] for e in ends):
-            for i in range(len(self.open) - 1, -1, -1):
-                name = self.open[i][0]
-                if name in ends:
-                    self.leave(i)
-                    break
-                if name in BLOCKS and name not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
-                    break
+        ended = [self.at[e][-1] for e in (*SAME.get(tag, "").split(), *["p"] * (tag in CLOSES_P)) if self.at[e]]
+        if ended and max(ended) > (self.barriers[-1] if self.barriers else -1):
+            self.leave(max(ended))
         _, above, hidden, within = self.open[-1] if self.open else ("", 0, False, False)
         said = dict(attrs)
         apart = tag in NEVER or (tag in INNER_HEADER and not within) or (tag not in ("html", "body") and marked(said, tag, within))
         self.names.append(tag)
         self.parents.append(above)
-        self.opened[tag] += 1
+        self.at[tag].append(len(self.open))
+        if tag in BARRIERS:
+            self.barriers.append(len(self.open))
         self.open.append((tag, len(self.names) - 1, apart or hidden, within or tag in ("article", "main")))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
-        if self.opened[tag]:
-            self.leave(max(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag))
+        if self.at[tag]:
+            self.leave(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][2]):
@@ -113,11 +118,13 @@ def marked(said: dict, tag: str, within: bool) -> bool:
         return True
     if _UNSEEN.search(said.get("style") or ""):
         return True
+    if tag in HEADINGS:  # ids of headings are anchors
+        return False
     for name in f"{said.get('class') or ''} {said.get('id') or ''}".lower().split():
-        parts = set(_PART.findall(name))
+        parts = {part for part in _PART.findall(name) if len(part) > 1}
         found = parts & (REMARKS if tag in ("article", "main") else MARKS)
-        # a header within an article holds its heading; layout names tell what else the page has
-        if found - ({"header"} if within or tag[:1] + tag[2:] == "h" else set()) and not parts & LAYOUT:
+        # a header within an article holds its heading
+        if found - ({"header"} if within else set()) and parts <= MARKS | REMARKS | PLAIN:
             return True
     return False
 
@@ -149,7 +156,8 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
 
     The threshold is a share of the standard deviation of the line ratios. The articles that hold
     text of a cluster are the content, with the clusters' lines beside them (in the main element or in an
-    article's parent), else the main element, else the smallest element that holds all clusters' text.
+    article's parent), else the main element, else the smallest element that holds all clusters' text. If that is
+    the page itself, its parts with most of their text in clusters are the content, and single lines between clusters.
     """
     if not html:
         return ""
@@ -162,8 +170,9 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
     content = ratios >= threshold * ratios.std() if len(lines) > 1 else np.ones(1, bool)
     if not content.any():
         content[:] = True
+    of = np.array([element for element, _, _ in lines])
     weight = np.zeros(len(names))
-    np.add.at(weight, np.array([element for element, _, _ in lines])[content], size[content])
+    np.add.at(weight, of[content], size[content])
     for element in range(len(names) - 1, 0, -1):
         weight[parents[element]] += weight[element]
     articles = {e for e in range(1, len(names)) if weight[e] and names[e] == "article"}
@@ -171,7 +180,10 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
     named = articles or mains
     if not named:
         held = [e for e in range(1, len(names)) if weight[e] == weight[0] and names[e] not in INLINE]
-        named = {max(held)} if held else {0}
+        region = max(held) if held else 0
+        if names[region] in ROOTS:
+            return "\n".join(text for (_, text, _), chosen in zip(lines, _clustered(of, size, content, names, parents), strict=True) if chosen)
+        named = {region}
     around = mains | {parents[e] for e in articles}
     inside, beside = [0 in named], [0 in around]
     for element in range(1, len(names)):
@@ -180,6 +192,28 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
     return "\n".join(text for (element, text, _), chosen in zip(lines, content, strict=True) if inside[element] or (chosen and beside[element]))
 
 
+def _clustered(of: np.ndarray, size: np.ndarray, content: np.ndarray, names: list[str], parents: list[int]) -> np.ndarray:
+    """Which lines of a whole page are content: those of its parts with most of their text in clusters, and single ones between clusters."""
+    part = [0]  # the child of the page's body that an element is in
+    for element in range(1, len(names)):
+        above = part[parents[element]]
+        part.append(above or (0 if names[element] in ROOTS else element))
+    parts = np.array(part)[of]
+    # smoothing lifts the lines beside a paragraph too: most of a part's text is in clusters
+    among = (2 * np.bincount(parts, size * content, len(names)) >= np.bincount(parts, size, len(names)))[parts] & (parts > 0)
+    at = np.flatnonzero(content & (among | (parts == 0)))
+    at = at if len(at) else np.flatnonzero(content)
+    between = np.zeros(len(of), bool)
+    between[at[0] : at[-1] + 1] = True
+    # a heading that leads to the first cluster
+    for i in range(at[0] - 1, -1, -1):
+        if names[of[i]] not in HEADINGS:
+            break
+        between[i] = True
+    single = np.array([names[e] in ROOTS or names[e] in INLINE or names[e] in HEADINGS for e in np.where(parts > 0, parts, of)])
+    return among | (between & (single | (parts == 0)))
+
+
 def extract(pages: DataFrame, **parameters) -> DataFrame:
     """page_id, url, text, n_chars (code points), a row for each row of pages.
 

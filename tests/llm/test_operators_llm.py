@@ -190,6 +190,31 @@ def test_main_text_keeps_every_cluster():
         assert html.main_text(page) == want(two, ["T"], one)
 
 
+def test_clusters_decide_without_telling_names():
+    long = "some words of a paragraph that is long enough to stand out " * 3
+    links = "".join(f"<div><a href=/{i}>link {i}</a></div>" for i in range(12))
+    page = f"<body><div>{links}</div><h2>T</h2><p>{long}</p><p>short one</p><p>{long}</p><div>{links}</div><p>{long}</p><div>{links}</div></body>"
+    want = "\n".join(["T", long.strip(), "short one", long.strip(), long.strip()])
+    assert html.main_text(page) == want
+    # without the threshold, or smoothed away, every line is content
+    assert "link 3" in html.main_text(page, threshold=0.0) and "link 3" in html.main_text(page, sigma=30.0)
+
+
+def test_names_of_an_article_mean_no_layout():
+    inner = '<h2 id="navigation">N</h2><section class="side-effects"><p>one</p></section><p class="share-price">two</p><div class="comment-list"><p>bad</p></div><div class="ad">bad</div>'
+    assert html.main_text(f"<body><article><p>zero</p>{inner}</article><div class='cookie-notice'>bad</div></body>") == "zero\nN\none\ntwo"
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    n = 100_000
+    for page in ("<span>" * n + "x" + "</span>" * n, "<p><div>" + "<span>" * n + "<p>x</p>" * n, "<b><i>" * n + "</b>" * n + "x"):
+        began = time.perf_counter()
+        assert html.main_text(page).startswith("x")
+        assert time.perf_counter() - began < 20
+
+
 def test_pages_whole_article(spark, data):
     import html as entities
 
