@@ -12,11 +12,11 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import components, keep, map_batches, small
+from granary.llm.common import components, forget, keep, map_batches, small
 
 UNIVERSE = 1 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -72,15 +72,21 @@ def shingle_sets(texts: pa.Array, k: int):
                 yield np.zeros(0, np.uint64)
 
 
+def _sums(elements: np.ndarray, seed: int) -> tuple[int, int]:
+    """Sum and exclusive or of a set's mixed elements: with its size they stand for the set."""
+    with np.errstate(over="ignore"):
+        mixed = kernels.mix(elements + np.uint64(seed + 1))
+        return int(mixed.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed).view(np.int64)) if len(mixed) else 0
+
+
 def _signed(batch: pa.RecordBatch, k: int, bands: int, rows: int, seed: int):
     sizes, sums, others, keys = [], [], [], []
-    with np.errstate(over="ignore"):
-        for elements in shingle_sets(batch.column(1), k):
-            mixed = kernels.mix(elements + np.uint64(seed + 1))
-            sizes.append(len(elements))
-            sums.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
-            others.append(int(np.bitwise_xor.reduce(mixed).view(np.int64)) if len(mixed) else 0)
-            keys.append(band_keys(signature(elements, bands * rows, seed), bands, rows) if len(elements) else np.zeros(0, np.int64))
+    for elements in shingle_sets(batch.column(1), k):
+        one, other = _sums(elements, seed)
+        sizes.append(len(elements))
+        sums.append(one)
+        others.append(other)
+        keys.append(band_keys(signature(elements, bands * rows, seed), bands, rows) if len(elements) else np.zeros(0, np.int64))
     yield pa.RecordBatch.from_arrays(
         [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(others, pa.int64()), _lists(keys)],
         ["id", "n", "set_sum", "set_xor", "keys"],
@@ -93,18 +99,22 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(limits), pa.array(values.view(np.int64), pa.int64()))
 
 
-def _sets(batch: pa.RecordBatch, k: int):
+def _sets(batch: pa.RecordBatch, k: int, seed: int):
     """Batches of at most 2 million elements, so that no output batch grows with the texts."""
     ids, n, out, at = batch.column(0), 0, [], 0
-    with np.errstate(over="ignore"):
-        for elements in shingle_sets(batch.column(1), k):
-            out.append(elements)
-            n += len(elements)
-            if n > 2_000_000:
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), _lists(out)], ["id", "elements"])
-                at, n, out = at + len(out), 0, []
+
+    def rows():
+        sums, others = zip(*(_sums(x, seed) for x in out), strict=True)
+        return pa.RecordBatch.from_arrays([ids.slice(at, len(out)), pa.array(sums, pa.int64()), pa.array(others, pa.int64()), _lists(out)], ["doc", "set_sum", "set_xor", "elements"])
+
+    for elements in shingle_sets(batch.column(1), k):
+        out.append(elements)
+        n += len(elements)
+        if n > 2_000_000:
+            yield rows()
+            at, n, out = at + len(out), 0, []
     if out:
-        yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), _lists(out)], ["id", "elements"])
+        yield rows()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,16 +161,17 @@ def _remaining(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 3, hubs: int = 4) -> DataFrame | None:
+def link(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 3, hubs: int = 4, given: DataFrame | None = None) -> DataFrame | None:
     """(node, component) of the items that share a band key and whose sets are similar enough.
 
     ``members`` (key, id, n): the buckets with more than one item. In each of a few rounds every
     bucket has one hub and an item of another component is compared with one hub only (after the first
     round with a few), so a bucket of m items costs about m comparisons. What is left (buckets with more
-    than one component) goes through an exact join: no link is lost. Returns None if no pair is similar.
+    than one component) goes through an exact join: no link is lost. ``given`` (a, b) are links from the start.
+    Returns None if there is no link.
     """
     sized = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
-    edges, labels = None, None
+    edges, labels = given, None if given is None else components(given)
 
     def labelled() -> DataFrame:
         if labels is None:
@@ -204,31 +215,50 @@ def near_duplicates(
     With 40 bands of 5 rows a pair at similarity 0.8 escapes with probability below 2e-7. Equal sets are
     merged before banding, so exact copies cost one row each. A text without words is linked with
     nothing; so is a row whose doc_id is null, which is kept. Rows that repeat a doc_id are one
-    document. Extra columns are ignored.
+    document: what is similar to one of its texts is linked with it. Extra columns are ignored.
     """
-    source = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    source = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     signed = keep(
         map_batches(source, partial(_signed, k=k, bands=bands, rows=rows, seed=seed), "id long, n long, set_sum long, set_xor long, keys array<long>")
     )
     present = signed.where("n > 0 AND id IS NOT NULL")
-    groups = keep(
-        present.groupBy("n", "set_sum", "set_xor").agg(F.min(F.struct("id", "keys")).alias("first")).select("n", "set_sum", "set_xor", F.col("first.id").alias("id"), F.col("first.keys").alias("keys"))
-    )
+    content = ["n", "set_sum", "set_xor"]
+    groups = present.groupBy(*content).agg(F.min(F.struct("id", "keys")).alias("first")).select(*content, F.col("first.id").alias("doc"), F.col("first.keys").alias("keys"))
+    ends = present.groupBy("id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in content for f in (F.min, F.max)])
+    several = keep(ends.where(" OR ".join(f"{c}_min < {c}_max" for c in content)).select(F.col("id").alias("doc")))
+    plain, given = several.isEmpty(), None
+    if plain:
+        groups = keep(groups.withColumn("id", F.col("doc")))
+    else:  # ids with unequal texts: a node for each of their sets
+        rank = F.row_number().over(Window.partitionBy("doc").orderBy(*content))
+        groups = keep(groups.withColumn("id", F.when(rank == 1, F.col("doc")).otherwise(F.xxhash64(F.lit("set"), "doc", *content))))
+        nodes = present.join(small(several), F.col("id") == F.col("doc"), "left_semi").select(F.col("id").alias("of"), *content).join(groups.select(*content, "id"), content)
+        given = nodes.groupBy("of").agg(F.min("id").alias("a"), F.collect_set("id").alias("all")).select("a", F.explode("all").alias("b")).where("a <> b")  # of one document
+        given = keep(given)
+        given = None if given.isEmpty() else given
     buckets = groups.select(F.explode("keys").alias("key"), "id", "n")
     shared = keep(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("items")).where("items > 1").select("key"))
     members = keep(buckets.join(small(shared), "key"))
-    wanted = keep(members.select("id").distinct())
-    sets = keep(map_batches(source.join(small(wanted), "id", "left_semi"), partial(_sets, k=k), "id long, elements array<long>").dropDuplicates(["id"]))
-    labels = link(members, sets, percent, rounds)
-    firsts = groups.select("n", "set_sum", "set_xor", F.col("id").alias("first"))
-    out = signed.select("id", "n", "set_sum", "set_xor").join(firsts, ["n", "set_sum", "set_xor"], "left")
-    if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "first"), "first", "left")
+    wanted = keep(groups.join(members.select("id").distinct(), "id", "left_semi").select("doc", "id", "set_sum", "set_xor"))
+    texts = source.join(small(keep(wanted.select("doc").distinct())), F.col("id") == F.col("doc"), "left_semi")
+    sets = map_batches(texts, partial(_sets, k=k, seed=seed), "doc long, set_sum long, set_xor long, elements array<long>")
+    sets = sets.withColumn("id", F.col("doc")) if plain else sets.join(small(wanted), ["doc", "set_sum", "set_xor"])
+    sets = keep(sets.select("id", "elements").dropDuplicates(["id"]))
+    labels = link(members, sets, percent, rounds, given=given)
+    out = signed.select("id", *content).join(groups.select(*content, F.col("id").alias("node"), "doc"), content, "left")
+    if labels is None:
+        out = out.withColumn("component", F.col("doc"))
     else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "first", "id"))
+        firsts = labels.withColumnRenamed("node", "of")
+        if not plain:  # nodes are not all doc_ids
+            least = firsts.join(groups.select(F.col("id").alias("of"), "doc"), "of").groupBy("component").agg(F.min("doc").alias("least"))
+            firsts = firsts.join(least, "component").select("of", F.col("least").alias("component"))
+        out = out.join(firsts, F.col("node") == F.col("of"), "left")
+    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc", "id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    forget(shared, members, wanted, sets)
+    return out
 
 
 def deduplicated(documents: DataFrame, **parameters) -> DataFrame:

@@ -308,6 +308,15 @@ def test_near_duplicates_edges(edges, nothing):
     assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == [0, 1, 2, 3, 4, 4, 7, 8, 9]
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    draw = random_words(np.random.default_rng(4))
+    a, b = draw(60), draw(60)
+    copy = lambda words, i: " ".join([*words, f"more{i}"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, copy(b, 1)), (7, copy(a, 2)), (3, " ".join(b)), (11, "c d e f"), (11, "g h i j"), (12, "g h i j"), (13, "k l m"), (13, "k l m")]
+    got = by(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=2))
+    assert {d: r["component_id"] for d, r in got.items()} == {3: 3, 5: 3, 7: 3, 9: 3, 11: 11, 12: 11, 13: 13}
+
+
 def test_components_of_a_path(spark):
     n = 40
     links = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(None, 3), (100, 101)], "a long, b long")
