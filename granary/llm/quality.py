@@ -27,8 +27,6 @@ BYTE_PAIRS = os.environ.get("GRANARY_BYTE_PAIRS", "/opt/tokenizers/byte_bpe_mult
 VOCABULARY_BYTES = 64 << 20
 #: Fixed value: the split pattern that belongs to the byte-pair vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A longer word is measured in pieces of so many code points: tokenising stays linear in the text.
-LONGEST = 128
 #: Texts are measured in chunks of about so many bytes.
 CHUNK = 4 << 20
 
@@ -135,14 +133,8 @@ def fertility(data, offsets, starts, ends, first, hashes, letters, tokenizers) -
     _, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
     words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
-    long = [i for i, w in enumerate(words) if len(w) > LONGEST]
-    cut = {i: [words[i][j : j + LONGEST] for j in range(0, len(words[i]), LONGEST)] for i in long}
-    short = [w[:LONGEST] for w in words]
-    ids = model.encode(short, num_threads=1)
-    pairs = np.array([len(coding.encode_ordinary(f" {w}")) for w in short], np.int64)
-    for i, parts in cut.items():
-        ids[i] = [x for part in model.encode(parts, num_threads=1) for x in part]
-        pairs[i] = sum(len(coding.encode_ordinary(part)) for part in parts)
+    ids = model.encode(words, num_threads=1)
+    pairs = np.array([len(coding.encode_ordinary(f" {w}")) for w in words], np.int64)
     sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
     flat = np.fromiter((t for x in ids for t in x), np.int64, int(sizes.sum()))
     head = np.cumsum(sizes) - sizes
