@@ -1,10 +1,11 @@
 """Benchmark decontamination by greedy string tiling over running Karp-Rabin hashes.
 
 The benchmark is a stated query set: it is read in blocks of bounded size and each block is broadcast
-and run against all documents, so no text is shuffled. Windows of ``min_match`` words that a document
-shares with an item are seeds; along a diagonal they join into matches, and the longest match that no
-earlier tile overlaps becomes the next tile, until none is left. Tiles may stand in any order, so
-reordered passages count in full.
+and run against all documents, so no text is shuffled. Windows of ``min_match`` words, hashed by rolling
+(Karp-Rabin), that a document shares with an item are seeds. Items of which seeds can cover too little
+are left out; for the others seeds join along a diagonal into matches, which are compared word by word,
+and the longest match that no earlier tile overlaps becomes the next tile, until none is left. Tiles may
+stand in any order, so reordered passages count in full.
 """
 
 from __future__ import annotations
@@ -23,6 +24,23 @@ from granary.llm.common import keep, small
 #: Words of benchmark text that are broadcast at once (about 40 bytes a word).
 BLOCK_WORDS = 2_000_000
 _BITS = 1 << 22
+#: Pairs of a seed and an item that are laid out at once.
+_PAIRS = 1 << 22
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def rolled(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Karp-Rabin hashes of the windows of k words within a text, from running sums, and the index of each text's first window."""
+    n = len(words)
+    windows = np.maximum(np.diff(first) - k + 1, 0)
+    limits = np.concatenate(([0], np.cumsum(windows)))
+    at = np.arange(int(limits[-1]), dtype=np.int64) + np.repeat(first[:-1] - limits[:-1], windows)
+    if not len(at):
+        return np.zeros(0, np.uint64), limits
+    up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (_BASE, _INVERSE))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:n])))
+    return kernels.mix((total[at + k] - total[at]) * down[at]), limits
 
 
 def tile(pairs: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -64,50 +82,59 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield low, kernels.span_hashes(data, starts, ends), first
 
 
-def _blocks(benchmark: DataFrame, k: int, block_words: int) -> Iterator[tuple]:
-    """(item ids, words of each, sorted seed hashes, item of each seed, place of each seed) of one block after another."""
-    ids, sizes, seeds, items, places, total = [], [], [], [], [], 0
-
-    def block():
-        seed = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(seed, kind="stable")
-        return np.array(ids), np.array(sizes), seed[order], np.concatenate(items)[order], np.concatenate(places)[order]
-
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+class _Block:
+    """Items of a block: their words, and their seeds in the order of the items and of the hashes."""
+
+    def __init__(self, ids: list[int], words: list[np.ndarray], k: int) -> None:
+        self.ids = np.array(ids)
+        self.sizes = np.array([len(w) for w in words])
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.words = np.concatenate(words)
+        seeds, self.limits = rolled(self.words, self.first, k)
+        item = kernels.owners(self.limits)
+        place = np.arange(len(seeds)) - self.limits[:-1][item]
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.items, self.places = seeds[order], item[order], place[order]
+        self.marks = np.zeros(_BITS, bool)
+        self.marks[(seeds & np.uint64(_BITS - 1)).astype(np.int64)] = True
+        self.short: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero((self.sizes < k) & (self.sizes > 0)):
+            self.short.setdefault(self.of(i).tobytes(), []).append(int(i))
+
+    def of(self, item: int) -> np.ndarray:
+        return self.words[self.first[item] : self.first[item + 1]]
+
+
+def _blocks(benchmark: DataFrame, k: int, block_words: int) -> Iterator[_Block]:
+    ids, words, total = [], [], 0
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     for row in rows.toLocalIterator():
-        for _, words, first in _words(pa.array([row["text"]])):
-            windows, limits = kernels.window_hashes(words, first, k)
-            if not len(windows):
-                continue
-            seeds.append(windows)
-            items.append(np.full(len(windows), len(ids), np.int64))
-            places.append(np.arange(len(windows)))
-            ids.append(row["item_id"])
-            sizes.append(len(words))
-            total += len(words)
+        for _, found, _ in _words(pa.array([row["text"]])):
+            if len(found):
+                ids.append(row["item_id"])
+                words.append(found)
+                total += len(found)
         if total >= block_words:
-            yield block()
-            ids, sizes, seeds, items, places, total = [], [], [], [], [], 0
+            yield _Block(ids, words, k)
+            ids, words, total = [], [], 0
     if ids:
-        yield block()
+        yield _Block(ids, words, k)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, n_words (of the item), n_covered, n_tiles, coverage: the pairs at or above the coverage.
 
-    ``coverage`` is the share of the item's words in tiles of at least ``min_match`` words. Items with
-    fewer words than that, null items and items with a null item_id are never found; null and empty
-    texts contain nothing; a null doc_id is reported as null. Repeated rows of documents are each
+    ``coverage`` is the share of the item's words in tiles of at least ``min_match`` words. An item with
+    fewer words than that is found in texts that have its words and no others. Items without a word, null items and items
+    with a null item_id are never found; null and empty texts contain nothing; a null doc_id is reported as null. Repeated rows of documents are each
     reported, repeated item_ids each compared. Extra columns are ignored.
     """
     spark = documents.sparkSession
     schema = "doc_id long, item_id long, n_words long, n_covered long, n_tiles long, coverage double"
     found = []
-    for parts in _blocks(benchmark, min_match, block_words):
-        marks = np.zeros(_BITS, bool)
-        marks[(parts[2] & np.uint64(_BITS - 1)).astype(np.int64)] = True
-        shared = spark.sparkContext.broadcast((*parts, marks))
-        found.append(documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_run(shared, min_match, coverage), schema))
+    for block in _blocks(benchmark, min_match, block_words):
+        shared = spark.sparkContext.broadcast(block)
+        found.append(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_run(shared, min_match, coverage), schema))
     if not found:
         return spark.createDataFrame([], schema)
     out = found[0]
@@ -116,39 +143,65 @@ def contamination(documents: DataFrame, benchmark: DataFrame, min_match: int = 5
     return out
 
 
+def _hopeful(block: _Block, windows: np.ndarray, limits: np.ndarray, k: int, least: float) -> Iterator[tuple[int, int]]:
+    """(text, item) where the item's words under seeds of the text are enough; each seed of a text counts once."""
+    near = np.flatnonzero(block.marks[(windows & np.uint64(_BITS - 1)).astype(np.int64)])
+    left = np.searchsorted(block.seeds, windows[near], "left")
+    count = np.searchsorted(block.seeds, windows[near], "right") - left
+    text = np.searchsorted(limits, near[count > 0], "right") - 1
+    text, left = np.unique(np.stack((text, left[count > 0])), axis=1)
+    count = np.searchsorted(block.seeds, block.seeds[left], "right") - left
+    # whole texts at a time
+    total = np.cumsum(count)
+    edges = np.flatnonzero(np.diff(text)) + 1
+    cuts = edges[np.flatnonzero(np.diff((total[edges - 1]) // _PAIRS, prepend=0))] if len(edges) else edges
+    for part in np.split(np.arange(len(text)), cuts):
+        n = count[part]
+        seed = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left[part], n)
+        of, item, place = np.repeat(text[part], n), block.items[seed], block.places[seed]
+        order = np.lexsort((place, item, of))
+        of, item, place = of[order], item[order], place[order]
+        begins = np.ones(len(of), bool)
+        begins[1:] = (of[1:] != of[:-1]) | (item[1:] != item[:-1])
+        step = np.full(len(of), k)
+        step[:-1] = np.where(begins[1:], k, np.minimum(np.diff(place), k))
+        head = np.flatnonzero(begins)
+        if len(head):
+            good = np.add.reduceat(step, head) >= least * block.sizes[item[head]]
+            yield from zip(of[head][good].tolist(), item[head][good].tolist(), strict=True)
+
+
 def _run(shared, k: int, least: float):
+    def compared(block: _Block, item: int, words: np.ndarray, windows: np.ndarray):
+        """The tiles of a text and an item, each equal word by word."""
+        own, _ = rolled(block.of(item), np.array([0, block.sizes[item]]), k)
+        order = np.argsort(own, kind="stable")
+        left = np.searchsorted(own[order], windows, "left")
+        count = np.searchsorted(own[order], windows, "right") - left
+        at = np.repeat(np.arange(len(windows)), count)
+        place = order[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)]
+        same = np.ones(len(at), bool)
+        for j in range(k):
+            same &= words[at + j] == block.of(item)[place + j]
+        return tile(np.stack((at[same], place[same]), axis=1), k) if same.any() else []
+
     def run(batches):
-        ids, sizes, seeds, items, places, marks = shared.value
+        block = shared.value
         for batch in batches:
             rows = []
             names = batch.column(0)
             for low, words, first in _words(batch.column(1)):
-                windows, limits = kernels.window_hashes(words, first, k)
-                near = np.flatnonzero(marks[(windows & np.uint64(_BITS - 1)).astype(np.int64)])
-                left = np.searchsorted(seeds, windows[near], "left")
-                count = np.searchsorted(seeds, windows[near], "right") - left
-                near, left, count = near[count > 0], left[count > 0], count[count > 0]
-                if not len(near):
-                    continue
-                seed = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
-                window = np.repeat(near, count)
-                text = np.searchsorted(limits, window, "right") - 1
-                key = text * len(ids) + items[seed]
-                order = np.argsort(key, kind="stable")
-                edges = np.flatnonzero(np.diff(key[order])) + 1
-                for part in np.split(order, edges):
-                    t, item = int(text[part[0]]), int(items[seed[part[0]]])
-                    n = int(sizes[item])
-                    # no more words can be covered than lie under seeds
-                    under = np.zeros(n + 1, np.int64)
-                    np.add.at(under, places[seed[part]], 1)
-                    np.add.at(under, np.minimum(places[seed[part]] + k, n), -1)
-                    if np.count_nonzero(np.cumsum(under[:-1])) < least * n:
-                        continue
-                    tiles = tile(np.stack((window[part] - limits[t], places[seed[part]]), axis=1), k)
+                for t in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < k)) if block.short else ():
+                    for item in block.short.get(words[first[t] : first[t + 1]].tobytes(), ()):
+                        n = int(block.sizes[item])
+                        rows.append((names[low + int(t)].as_py(), int(block.ids[item]), n, n, 1, 1.0))
+                windows, limits = rolled(words, first, k)
+                for t, item in _hopeful(block, windows, limits, k, least) if len(windows) else ():
+                    n = int(block.sizes[item])
+                    tiles = compared(block, item, words[first[t] : first[t + 1]], windows[limits[t] : limits[t + 1]])
                     covered = sum(x[2] for x in tiles)
-                    if covered >= least * n:
-                        rows.append((names[low + t].as_py(), int(ids[item]), n, covered, len(tiles), covered / n))
+                    if covered and covered >= least * n:
+                        rows.append((names[low + t].as_py(), int(block.ids[item]), n, covered, len(tiles), covered / n))
             if rows:
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 5 + [pa.float64()]

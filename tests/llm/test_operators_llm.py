@@ -145,6 +145,19 @@ def test_fertility_of_one_text():
         assert out["chars_per_token"][i] == pytest.approx(len("".join(text.split())) / len(ids))
 
 
+def test_long_words_are_tokenised_whole():
+    import sentencepiece
+    import tiktoken
+
+    with open(quality.PIECES, "rb") as a, open(quality.BYTE_PAIRS, "rb") as b:
+        tokenizers = quality._tokenizers(a.read(), b.read())
+    word = "".join(np.random.default_rng(1).choice(list("abcdefgh"), 5000))
+    out = quality._measured(*kernels.buffers(pa.array([word])), tokenizers)
+    assert isinstance(tokenizers[0], sentencepiece.SentencePieceProcessor) and isinstance(tokenizers[1], tiktoken.Encoding)
+    assert out["n_tokens"].to_pylist() == [len(tokenizers[0].encode(word))]
+    assert out["chars_per_byte_pair"].to_pylist() == [pytest.approx(5000 / len(tokenizers[1].encode_ordinary(" " + word)))]
+
+
 def test_rules_edges(edges, nothing):
     assert quality.filtered(nothing).count() == 0
     rows = quality.judged(quality.measured(edges)).collect()
@@ -429,6 +442,32 @@ def test_reordered_passage_is_found(spark):
     assert tiling.contamination(docs, bench.where("false")).count() == 0 and tiling.contamination(docs.where("false"), bench).count() == 0
 
 
+def test_rolled_hashes():
+    random = np.random.default_rng(1)
+    words = random.integers(0, 3, 400).astype(np.uint64)
+    first = np.array([0, 3, 3, 250, 400])
+    hashes, limits = tiling.rolled(words, first, 5)
+    at = [i for a, b in zip(first[:-1], first[1:], strict=True) for i in range(a, b - 4)]
+    assert len(hashes) == len(at) == limits[-1]
+    seen = {}
+    for i, h in zip(at, hashes.tolist(), strict=True):
+        assert seen.setdefault(tuple(words[i : i + 5].tolist()), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_contamination_edges(spark, edges):
+    draw = random_words(np.random.default_rng(2))
+    stock = "which of the following statements is true of the"
+    many = [(i, f"{stock} {' '.join(draw(4))}") for i in range(300)]
+    bench = spark.createDataFrame([(1000, "One!"), (1001, "ab " * 12), (1002, PROSE), *many], "item_id long, text string")
+    docs = edges.select("doc_id", "text").union(spark.createDataFrame([(50, stock), (51, many[7][1] + " " + " ".join(draw(5000)))], "doc_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in tiling.contamination(docs, bench).collect()}
+    assert got >= {(3, 1000), (8, 1001), (4, 1002), (5, 1002), (6, 1002), (None, 1002), (51, 7)}
+    # the stock phrase is nine of thirteen words of every item
+    assert got - {x for x in got if x[1] < 300} == {(3, 1000), (8, 1001), (4, 1002), (5, 1002), (6, 1002), (10, 1002), (None, 1002)}
+    assert {x for x in got if x[1] < 300} == {(d, i) for d in (50, 51) for i in range(300)}
+
+
 def test_contamination_against_brute_force(spark, data, texts):
     split = lambda t: LICENSE_WORD.findall(t.translate(LOWER))
     items = {r["item_id"]: split(r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
