@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run`` writes
-each stage's rows as Parquet to the shared folder and reads them again as the next stage's documents.
+each stage's rows as Parquet to the shared folder, reads them again as the next stage's documents and
+deletes them when that stage is written. The order of the mix is the order of its files and their rows.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import minhash, mixing, quality, sharding, tiling
-from granary.llm.common import keep
+from granary.llm.common import forget, keep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot of every row; copies of a text are linked."""
-    return sharding.assign(docs).drop("grown_shard")
+    """doc_id, text, size, text_crc32, law, shard, slot of every row; copies of a text are linked, slots of a shard follow the curriculum."""
+    return sharding.sharded(docs)
 
 
 STAGES = [
@@ -52,6 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return docs

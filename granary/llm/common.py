@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,14 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+def located(df: DataFrame) -> DataFrame | None:
+    """``df`` with __file and __row, the place of each row in the files it is read from, or None if it is not a plain file table."""
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return None
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``keep`` wrote and nothing will read again."""
     for df in tables:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import keep
+from granary.llm.common import keep, located
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
@@ -77,20 +77,20 @@ def position(q: Column) -> Column:
     return F.least(F.lit(1.0), at("times", i) + step)
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """row (all columns as one struct), doc_id, source, size and the order key of every document."""
+def sized(documents: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size and the order key of every document, and with ``carry`` row, a struct of those columns."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        *[F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] * bool(carry),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"),
     )
 
 
-def assigned(documents: DataFrame, carry: bool = False, **parameters) -> DataFrame:
+def assigned(documents: DataFrame, carry: Sequence[str] = (), light: bool = False, **parameters) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and positions (one for each copy), a row for each document.
 
-    With ``carry`` also ``row``, the document's own columns. A source's target is that many whole
+    With ``carry`` also ``row``, a struct of those columns (``light``: they are few and small). A source's target is that many whole
     passes over its words and a rest; the rest takes documents in the order of a hash of their ids while
     the middle of a document lies within it, so a source's taken words are within half a document of
     its target. Running counts are summed in two steps, over hash buckets and within them, so that no
@@ -99,7 +99,8 @@ def assigned(documents: DataFrame, carry: bool = False, **parameters) -> DataFra
     Null texts have size 0; null is a source of its own, the last; an empty table gives no rows.
     Documents with equal doc_id are ordered by size and are all mixed. Extra columns are carried or ignored.
     """
-    narrow = keep(sized(documents).drop("row"))
+    table = sized(documents, carry)
+    narrow = keep(table if light or not carry else table.drop("row"))
     n = narrow.count()
     digits = max(1, math.ceil(math.log(max(n, 1) ** 0.5, 16))) if n > 1 else 1
     plan = keep(targets(narrow, **parameters))
@@ -108,7 +109,7 @@ def assigned(documents: DataFrame, carry: bool = False, **parameters) -> DataFra
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col("source").alias("of"), F.col("bucket").alias("from"), F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("start"))
     starts = keep(starts.join(plan, F.col("of").eqNullSafe(F.col("source"))).drop("source"))
-    rows = sized(documents) if carry else narrow
+    rows = table if carry and not light else narrow
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("bucket", bucket).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("from")))
@@ -121,11 +122,22 @@ def assigned(documents: DataFrame, carry: bool = False, **parameters) -> DataFra
     place = lambda copy: F.least(F.lit(1.0), ((copy - 1) * F.col("source_size") + F.col("begin") + F.col("size") / 2) / F.col("target"))
     positions = F.when((F.col("copies") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))), lambda c: position(place(c))))
     rows = rows.withColumn("positions", F.coalesce(positions, F.array().cast("array<double>"))).withColumn("taken", F.col("size") * F.col("copies"))
-    return rows.select(*["row"] * carry, "doc_id", "source", "size", "source_size", "target", "copies", "taken", "positions")
+    return rows.select(*["row"] * bool(carry), "doc_id", "source", "size", "source_size", "target", "copies", "taken", "positions")
 
 
 def mixed(documents: DataFrame, **parameters) -> DataFrame:
-    """The documents as they are to be trained on: a row for each copy, range-sorted by position, own columns only."""
-    rows = assigned(documents, carry=True, **parameters).where("copies > 0")
-    rows = rows.select("row", "key_of" if "key_of" in rows.columns else F.col("doc_id").alias("key_of"), F.explode("positions").alias("at"))
-    return rows.repartitionByRange("at", "key_of").sortWithinPartitions("at", "key_of").select("row.*")
+    """The documents as they are to be trained on: a row for each copy, range-sorted by position, own columns only.
+
+    Rows of a file table are found again by their place in the files, so that texts are moved twice only:
+    to their positions, and by range. Other tables carry their columns along.
+    """
+    names = documents.columns
+    table = located(documents)
+    if table is None:
+        rows = assigned(documents, carry=names, **parameters).where("copies > 0").select("row", "doc_id", F.explode("positions").alias("__at"))
+        rows = rows.select("row.*", F.col("doc_id").alias("__id"), "__at")
+    else:
+        placed = assigned(table, carry=["__file", "__row"], light=True, **parameters).where("copies > 0")
+        placed = keep(placed.select(F.col("row.__file").alias("__in"), F.col("row.__row").alias("__of"), F.col("doc_id").alias("__id"), F.col("positions").alias("__positions")))
+        rows = table.join(placed, (F.col("__file") == F.col("__in")) & (F.col("__row") == F.col("__of"))).select(*[F.col(f"`{c}`") for c in names], "__id", F.explode("__positions").alias("__at"))
+    return rows.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select(*[F.col(f"`{c}`") for c in names])

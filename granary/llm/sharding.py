@@ -13,17 +13,17 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import keep
+from granary.llm.common import forget, keep, located
 
 SHARDS = 8
 _PARTS = 1024
 
 
 def nodes(documents: DataFrame, groups=None) -> DataFrame:
-    """doc_id, size, text_crc32, group (a hash that linked rows share), order (a hash) of every row."""
+    """doc_id, size, text_crc32, group (a hash that linked rows share), order (a hash) of every row, and __file and __row if documents have them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     group = F.xxhash64(text) if groups is None else groups
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), group.alias("group"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), group.alias("group"), *[c for c in ("__file", "__row") if c in documents.columns])
     return rows.withColumn("order", F.xxhash64("doc_id", "group"))
 
 
@@ -66,16 +66,18 @@ def _quotas(wishes: DataFrame, room: dict[int, int], large: int, turn: int) -> D
 def propagated(rows: DataFrame, shards: int = SHARDS, rounds: int = 12) -> DataFrame:
     """``rows`` of ``nodes`` with ``shard`` and ``members`` (rows of the group) after the moves.
 
-    Only linked rows count against a shard's capacity: the others make up the difference at the end.
+    Only linked rows move and count against a shard's capacity: the others make up the difference at the end.
+    What a group has in a shard moves whole if it has 1 / 64 of the capacity at most (or 8 rows), else by parts.
     """
     capacity = rows.count() // shards
     # what a group has in a shard moves whole up to this size, beyond it row by row
     large = max(8, capacity // 64)
     groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     state = rows.join(groups, "group", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    state = keep(state.withColumn("shard", F.pmod(F.xxhash64("order", F.lit("shard")), F.lit(shards)).cast("int")))
+    start = keep(state.withColumn("shard", F.pmod(F.xxhash64("order", F.lit("shard")), F.lit(shards)).cast("int")))
+    state = keep(start.where("members > 1"))
     for turn in range(rounds):
-        votes = keep(state.where("members > 1").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")))
+        votes = keep(state.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")))
         used = {r["shard"]: r["n"] for r in votes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
         room = {s: capacity - used.get(s, 0) for s in range(shards)}
         wishes = keep(_wishes(votes, room, shards))
@@ -87,8 +89,9 @@ def propagated(rows: DataFrame, shards: int = SHARDS, rounds: int = 12) -> DataF
             break
         moved = state.join(going, ["group", "shard"], "left")
         goes = F.col("wish").isNotNull() & (F.col("last").isNull() | (part("order") <= F.col("last")))
-        state = keep(moved.select(*[c for c in state.columns if c != "shard"], F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
-    return state
+        before, state = state, keep(moved.select(*[c for c in state.columns if c != "shard"], F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
+        forget(before, votes, wishes, going)
+    return start.where("members = 1").unionByName(state)
 
 
 def evened(state: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -126,6 +129,16 @@ def evened(state: DataFrame, shards: int = SHARDS) -> DataFrame:
     return ranked.withColumn("slot", slot.cast("long")).withColumn("shard", shard.cast("int"))
 
 
+def in_order(placed: DataFrame) -> DataFrame:
+    """``placed`` with slots of each shard in the order of __file and __row: ranks are summed over files and within them."""
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", "__file", "__row")
+    totals = placed.groupBy("shard", "__file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("shard", "__file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("shard", "__file").orderBy("__row")) - 1
+    return placed.withColumn("within", within).join(starts, ["shard", "__file"]).withColumn("slot", F.col("start") + F.col("within"))
+
+
 def assign(documents: DataFrame, shards: int = SHARDS, groups=None, rounds: int = 12) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, a row for each row of documents.
 
@@ -136,4 +149,20 @@ def assign(documents: DataFrame, shards: int = SHARDS, groups=None, rounds: int
     """
     rows = keep(nodes(documents, groups))
     out = evened(propagated(rows, shards, rounds), shards)
+    return _told(out)
+
+
+def _told(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(documents: DataFrame, shards: int = SHARDS, groups=None, rounds: int = 12) -> DataFrame:
+    """``assign`` with the text of each row; rows of a file table keep their order: in a shard slots follow it."""
+    table = located(documents)
+    if table is None:
+        table = located(keep(documents))
+    rows = keep(nodes(table, groups))
+    out = in_order(evened(propagated(rows, shards, rounds), shards))
+    placed = keep(out.select(F.col("__file").alias("__in"), F.col("__row").alias("__of"), "doc_id", "size", "text_crc32", "shard", "slot"))
+    texts = table.select("__file", "__row", F.col("text").cast("string").alias("text"))
+    return texts.join(placed, (F.col("__file") == F.col("__in")) & (F.col("__row") == F.col("__of"))).select("text", "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot")

@@ -30,3 +30,36 @@ def test_run_equals_its_stages(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.keep(stage(spark, docs, data))
     assert sorted(map(tuple, corpus_pipeline.run(spark, data).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_on_odd_rows(spark, data, tmp_path):
+    """Nulls, empty and repeated rows, and extra columns with the stages' own names go through all of them."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, "s", 0), (None, docs.first()["text"], "en", None, 3), (2, None, "en", "s", 1)], docs.schema)
+    docs = docs.union(docs.limit(5)).union(odd)
+    for name in ("size", "shard", "slot", "key", "row", "id", "n", "component", "copies", "at", "positions", "kept", "content"):
+        docs = docs.selectExpr("*", f"'x' AS `{name}`")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.keep(stage(spark, docs, data))
+        assert docs.columns == columns and docs.count() and not docs.where("n <> 'x' OR slot <> 'x'").count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, data)
+    assert last.count() == docs.count() and set(last.columns) >= {"doc_id", "text", "shard", "slot"}
+
+
+def test_slots_follow_the_curriculum(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    mixed = corpus_pipeline.keep(dict(corpus_pipeline.STAGES)["mixing"](spark, docs, data))
+    order = mixed.selectExpr("doc_id", "text", "_metadata.file_path AS f", "_metadata.row_index AS r").orderBy("f", "r").collect()
+    out = dict(corpus_pipeline.STAGES)["sharding"](spark, mixed, data).orderBy("shard", "slot").collect()
+    at = {}
+    for i, r in enumerate(order):
+        at.setdefault(r["doc_id"], []).append(i)
+    for shard in range(8):
+        rows = [r for r in out if r["shard"] == shard]
+        assert [r["slot"] for r in rows] == list(range(len(rows)))
+        last = -1
+        for r in rows:  # each row can stand after the one before
+            last = min(i for i in at[r["doc_id"]] if i > last)
+    texts = {r["doc_id"]: r["text"] for r in order}
+    assert len(out) == len(order) and all(r["text"] == texts[r["doc_id"]] for r in out)
