@@ -57,6 +57,28 @@ def channel_scale(rgb: tuple[Column, Column, Column], c: float) -> list[Column]:
     return [rgb[0] * c, rgb[1], rgb[2] / max(c, 0.3)]
 
 
+def white_balance(rgb: tuple[Column, Column, Column], kelvin: Column) -> list[Column]:
+    """Gains that take daylight (6500 K) to another temperature, 2500 to 10000 K (PRJ-25; the square-root form is ours)."""
+    gain = F.sqrt(F.greatest(F.lit(2500.0), F.least(F.lit(10000.0), kelvin)) / F.lit(6500.0))
+    return [rgb[0] * gain, rgb[1], rgb[2] / gain]
+
+
+def vignette(value: Column, x: Column, y: Column, width: int, height: int, fall: float) -> Column:
+    """value less a share ``fall`` of it at the corners, by the squared distance from the centre (PRJ-33; the form is ours)."""
+    u, v = (x - (width - 1) / 2) / (width / 2), (y - (height - 1) / 2) / (height / 2)
+    return value * (1 - F.lit(float(fall)) * (u * u + v * v) / 2)
+
+
+def overrides(strength: Column, factor: float | None) -> Column:
+    """A style's strength, scaled by a caller's factor if there is one (PRJ-23; scaling is our reading)."""
+    return strength if factor is None else strength * F.lit(float(factor))
+
+
+def exponential_decay(step: Column, rate: float, peak: float) -> Column:
+    """peak * exp(-rate * step) (PRJ-38)."""
+    return F.lit(peak) * F.exp(-F.lit(rate) * step)
+
+
 def warmup(step: Column, steps: int, peak: float) -> Column:
     """Linear warm-up of a rate (PRJ-38)."""
     return F.lit(peak) * F.least(F.lit(1.0), (step + 1) / F.lit(float(steps)))

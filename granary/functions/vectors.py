@@ -68,6 +68,22 @@ def midpoint(x0: Column, velocity, steps: int) -> Column:
     return F.aggregate(times, wide(x0), step)
 
 
+def rk4(x0: Column, velocity, steps: int) -> Column:
+    """The same by the classical Runge-Kutta rule (PRJ-39)."""
+    h = 1.0 / steps
+    times = F.array(*[F.lit(i * h) for i in range(steps)])
+    along = lambda x, v, by: F.zip_with(x, v, lambda a, b: a + F.lit(by) * b)
+
+    def step(x, t):
+        one = velocity(x, t)
+        two = velocity(along(x, one, h / 2), t + F.lit(h / 2))
+        three = velocity(along(x, two, h / 2), t + F.lit(h / 2))
+        four = velocity(along(x, three, h), t + F.lit(h))
+        return along(along(along(along(x, one, h / 6), two, h / 3), three, h / 3), four, h / 6)
+
+    return F.aggregate(times, wide(x0), step)
+
+
 def sinusoidal(t: Column, size: int, base: float = 10_000.0) -> Column:
     """Sine and cosine time embedding (PRJ-13); the frequency base is our choice."""
     rate = [base ** (-i / (size // 2)) for i in range(size // 2)]

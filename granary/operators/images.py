@@ -44,6 +44,16 @@ def convolved(image: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFra
     return both.groupBy("image_id", "x", "y").agg(F.sum("value").alias("value"), F.bool_or("inside").alias("inside")).where("inside").drop("inside")
 
 
+def blurred(image: DataFrame, sigma: float, size: int | None = None) -> DataFrame:
+    """Gaussian blur. Kernels over 7 wide go as two one-dimensional passes: 2 k rows for each pixel, not k * k; smaller ones in one shuffle."""
+    size = size or int(6 * sigma + 1) // 2 * 2 + 1
+    if size <= 7:
+        return convolved(image, gaussian(sigma, size))
+    raw = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in range(-(size // 2), size // 2 + 1)}
+    line = {d: w / sum(raw.values()) for d, w in raw.items()}
+    return convolved(convolved(image, {(d, 0): w for d, w in line.items()}), {(0, d): w for d, w in line.items()})
+
+
 def highlights(image: DataFrame, k: float = 1.5, batch: str = "image_id") -> DataFrame:
     """Pixels above mean + k sample standard deviations of the image, or of an explicit batch column (FLT-10, AGG-06)."""
     stats = image.groupBy(batch).agg((F.avg("value") + k * F.stddev_samp("value")).alias("level"))
@@ -54,7 +64,7 @@ def halation(image: DataFrame, sigma: float, intensity: float, k: float = 1.5) -
     """Highlights, blurred and added at an intensity (WIN-07)."""
     lit = highlights(image, k).select("image_id", "x", "y", F.lit(True).alias("lit"))
     bright = image.join(lit, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.when(F.col("lit"), F.col("value")).otherwise(0.0).alias("value"))
-    glow = convolved(bright, gaussian(sigma)).withColumnRenamed("value", "glow")
+    glow = blurred(bright, sigma).withColumnRenamed("value", "glow")
     return image.join(glow, ["image_id", "x", "y"]).select("image_id", "x", "y", (F.col("value") + intensity * F.col("glow")).alias("value"))
 
 
@@ -62,7 +72,7 @@ def dir_contrast(image: DataFrame, sigma: float, strength: float, threshold: flo
     """Where the Laplacian exceeds the threshold, add strength times the difference from the blur (WIN-08, PRJ-15)."""
     at = ["image_id", "x", "y"]
     edge = convolved(image, LAPLACIAN).withColumnRenamed("value", "edge")
-    blur = convolved(image, gaussian(sigma)).withColumnRenamed("value", "blur")
+    blur = blurred(image, sigma).withColumnRenamed("value", "blur")
     mask = F.when(F.abs("edge") > threshold, 1.0).otherwise(0.0)
     return image.join(edge, at).join(blur, at).select(*at, (F.col("value") + strength * mask * (F.col("value") - F.col("blur"))).alias("value"))
 
@@ -85,7 +95,7 @@ def cropped(image: DataFrame, x: int, y: int, size: int) -> DataFrame:
 
 
 def power_spectrum(rows: DataFrame, id_col: str, vector: str, width: int) -> DataFrame:
-    """image_id, u, v, power: squared magnitude of the two-dimensional transform over the pixel count (AGG-20)."""
+    """image_id, u, v, power: squared magnitude of the two-dimensional transform over the pixel count (AGG-20); a null vector has none."""
 
     def run(batches):
         for batch in batches:
@@ -99,7 +109,14 @@ def power_spectrum(rows: DataFrame, id_col: str, vector: str, width: int) -> Dat
             tile = lambda a: np.tile(a.ravel(), len(ids)).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"image_id": np.repeat(ids, height * width), "u": tile(u), "v": tile(v), "power": power.ravel()})
 
-    return rows.select(F.col(id_col).cast("long"), vector).mapInArrow(run, "image_id long, u int, v int, power double")
+    return rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), vector).mapInArrow(run, "image_id long, u int, v int, power double")
+
+
+def spectrum_correlation(one: DataFrame, two: DataFrame) -> DataFrame:
+    """image_id, correlation of two power spectra over their frequencies, the constant one left out (AGG-20)."""
+    at = ["image_id", "u", "v"]
+    both = one.join(two.select(*at, F.col("power").alias("other")), at).where("u > 0 OR v > 0")
+    return both.groupBy("image_id").agg(F.corr("power", "other").alias("correlation"))
 
 
 def grain(image: DataFrame, width: int, height: int, strength: float, fc: float, p: float, seed: int = 0) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -69,6 +72,39 @@ def noise(mu: Column, sigma: float, key: Column, seed: int = 0) -> Column:
     return mu + F.lit(float(sigma)) * F.sqrt(-2 * F.log(u[0])) * F.cos(2 * F.pi() * u[1])
 
 
+def uniform(key: Column, seed: int = 0) -> Column:
+    """A number from 0 to 1 that depends on the key and the seed alone (PRJ-12)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def shot_noise(value: Column, gain: float, floor: float, key: Column, seed: int = 0) -> Column:
+    """value with noise of variance gain * value + floor^2, the normal limit of Poisson and Gaussian noise (PRJ-26)."""
+    unit = noise(F.lit(0.0), 1.0, key, seed)
+    return value + F.sqrt(F.lit(gain) * F.greatest(value, F.lit(0.0)) + F.lit(floor * floor)) * unit
+
+
+class Step(Protocol):
+    """A transform of a table that leaves its columns as they are (UDF-03)."""
+
+    def __call__(self, rows: DataFrame) -> DataFrame: ...
+
+
+def augmented(rows: DataFrame, key: str, steps: Sequence[tuple[Step, float]], seed: int = 0) -> DataFrame:
+    """``rows`` after each step for the keys that draw it, with the step's probability (UDF-04, PRJ-27)."""
+    for i, (step, probability) in enumerate(steps):
+        drawn = uniform(F.col(key), seed + i) < probability
+        rows = step(rows.where(drawn)).unionByName(rows.where(~drawn))
+    return rows
+
+
+def integrated(rows: DataFrame, key: str, order: str, rate: str, start: float = 0.0) -> DataFrame:
+    """``integral``: start plus the trapezoids of a rate along a curve (PRJ-43)."""
+    w = Window.partitionBy(key).orderBy(order)
+    area = (F.col(order) - F.lag(order).over(w)) * (F.col(rate) + F.lag(rate).over(w)) / 2
+    pieces = rows.withColumn("area", F.coalesce(area, F.lit(0.0)))
+    return pieces.withColumn("integral", F.lit(start) + F.sum("area").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("area")
+
+
 def threshold(x: Column, level: float) -> Column:
     """x above the level, else 0 (PRJ-14)."""
     return F.when(x > level, x).otherwise(F.lit(0.0))
@@ -80,7 +116,7 @@ def out_of_range(g: Column, low: float = 0.3, high: float = 1.5) -> Column:
 
 
 def ssim(rows: DataFrame, id_col: str, a: str, b: str, width: int, window: int = 7, peak: float = 1.0) -> DataFrame:
-    """id, ssim: mean structural similarity of two images as row-major arrays, over all whole windows (AGG-13)."""
+    """id, ssim: mean structural similarity of two images as row-major arrays, over all whole windows (AGG-13); rows without either have none."""
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
 
     def run(batches):
@@ -95,4 +131,4 @@ def ssim(rows: DataFrame, id_col: str, a: str, b: str, width: int, window: int =
             value = (2 * mx * my + c1) * (2 * cov + c2) / ((mx**2 + my**2 + c1) * (vx + vy + c2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.mean(axis=(1, 2)))], [id_col, "ssim"])
 
-    return rows.select(F.col(id_col).cast("long"), a, b).mapInArrow(run, f"{id_col} long, ssim double")
+    return rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(id_col).cast("long"), a, b).mapInArrow(run, f"{id_col} long, ssim double")

@@ -161,10 +161,18 @@ def delta_e2000(one: tuple[Column, Column, Column], two: tuple[Column, Column, C
 def kid(rows: DataFrame, id_col: str, vector: str, side, block: int = 256) -> DataFrame:
     """Unbiased polynomial-kernel discrepancy of the rows of side 0 and side 1 (AGG-17): mean and deviation over blocks.
 
-    Rows are dealt into blocks of about ``block`` by a hash of their id and every row counts in one;
-    the kernel matrix of a block is its only quadratic part.
+    Each side's rows are ranked by a hash of their id (over hash buckets, then within them) and dealt evenly
+    into blocks, so every block has both sides and every row counts in one. The kernel matrix of a block of about
+    ``block`` rows is its only quadratic part. Rows without a vector or a side are left out; a side of one row or none gives no block.
     """
-    blocks = max(1, rows.count() // block)
+    dealt = rows.where(F.col(vector).isNotNull() & side.isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), side.cast("int").alias("s"), F.col(vector).alias("v"))
+    bucket = F.pmod("h", F.lit(1024)).alias("b")
+    sizes = dealt.groupBy("s", bucket).agg(F.count(F.lit(1)).alias("n"))
+    # a row for each side and bucket
+    starts = sizes.select("s", "b", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    totals = {r["s"]: r["n"] for r in sizes.where("s IN (0, 1)").groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    least = min(totals.get(0, 0), totals.get(1, 0))
+    blocks = max(1, min(sum(totals.values()) // block, least // 2))
 
     def one(frame):
         x, y = (np.stack(part.to_numpy()).astype(float) if len(part) else np.zeros((0, 1)) for part in (frame["v"][frame["s"] == 0], frame["v"][frame["s"] == 1]))
@@ -174,12 +182,18 @@ def kid(rows: DataFrame, id_col: str, vector: str, side, block: int = 256) -> Da
         alone = lambda a: (k(a, a).sum() - np.trace(k(a, a))) / (len(a) * (len(a) - 1))
         return frame.iloc[:1].assign(mmd=alone(x) + alone(y) - 2 * k(x, y).mean())[["mmd"]]
 
-    part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("part")
-    dealt = rows.where(F.col(vector).isNotNull()).select(part, side.cast("int").alias("s"), F.col(vector).alias("v"))
-    found = dealt.groupBy("part").applyInPandas(one, "mmd double")
+    within = F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "i")) - 1
+    ranked = dealt.withColumn("b", bucket).withColumn("within", within).join(F.broadcast(starts), ["s", "b"])
+    found = ranked.select(F.pmod(F.col("start") + F.col("within"), F.lit(blocks)).alias("part"), "s", "v").groupBy("part").applyInPandas(one, "mmd double")
     return found.agg(F.count(F.lit(1)).alias("blocks"), F.avg("mmd").alias("kid"), F.stddev_samp("mmd").alias("sd"))
 
 
+def memory_estimate(parts: DataFrame, key: str, size: str, target: float, margin: float, factor: float = 3.5) -> DataFrame:
+    """key, needed (the sum of sizes times a factor) and fits: whether that is at most the target less a margin (AGG-26)."""
+    needed = F.sum(F.col(size).cast("double")) * F.lit(factor)
+    return parts.groupBy(key).agg(needed.alias("needed")).withColumn("fits", F.col("needed") <= F.lit(float(target - margin)))
+
+
 def throughput(rows: DataFrame, time: str, *keys: str) -> DataFrame:
     """Rows by key and their rate a second, over one second at least (AGG-01)."""
     seconds = (F.unix_micros(F.max(F.col(time).cast("timestamp"))) - F.unix_micros(F.min(F.col(time).cast("timestamp")))) / 1e6

@@ -69,6 +69,13 @@ def index_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.jobs(links.matching(links.anchors(table(spark, sf_dir, "pages")), "/"), "https://example.org", "index")
 
 
+@query(f"""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '{links.ANCHOR}', 1) AS h FROM pages)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS href FROM l, range(1, 10000) r(i) WHERE i <= len(h)""")
+def strict_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.anchors_strict(table(spark, sf_dir, "pages"))
+
+
 @query(f"SELECT page_id, CAST(len(regexp_extract_all(html, '{links.ANCHOR}', 1)) AS INTEGER) AS n FROM pages")
 def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(links.ANCHOR), F.lit(1))).alias("n"))
@@ -272,12 +279,17 @@ def range_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).groupBy("vec_id").agg(F.round(layers.out_of_range(F.col("v"), -0.1, 0.1), 6).alias("penalty"))
 
 
-@query()
+@query(f"""WITH q AS (SELECT vec_id, CAST((i - 1) % {WIDTH} AS INTEGER) AS x, CAST((i - 1) // {WIDTH} AS INTEGER) AS y, CAST(embedding[i] AS DOUBLE) AS a, CAST(embedding[len(embedding) - i + 1] AS DOUBLE) AS b FROM embeddings, range(1, {WIDTH * WIDTH + 1}) r(i)),
+w AS (SELECT vec_id, ox, oy, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM q, range(0, 2) s(ox), range(0, 2) t(oy) WHERE x BETWEEN ox AND ox + 6 AND y BETWEEN oy AND oy + 6 GROUP BY ALL)
+SELECT vec_id, round(avg((2 * ma * mb + 0.0001) * (2 * c + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009))), 6) AS ssim FROM w GROUP BY vec_id""")
 def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layers.ssim(_paired(spark, sf_dir), "vec_id", "x0", "x1", WIDTH)
+    return layers.ssim(_paired(spark, sf_dir), "vec_id", "x0", "x1", WIDTH).select("vec_id", *_rounded("ssim"))
 
 
-@query()
+@query(f"""WITH {POINTS}, n AS (SELECT vec_id, max(i) AS m FROM e GROUP BY vec_id),
+f AS (SELECT a.vec_id, a.i, sum(b.v * pow(0.9, a.i - b.i) * CASE WHEN b.i = 0 THEN 1 ELSE 0.1 END) AS s FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i <= a.i GROUP BY ALL),
+g AS (SELECT a.vec_id, a.i, sum(b.v * pow(0.9, b.i - a.i) * CASE WHEN b.i = m THEN 1 ELSE 0.1 END) AS s FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i >= a.i JOIN n ON n.vec_id = a.vec_id GROUP BY ALL)
+SELECT f.vec_id, f.i, round((f.s + g.s) / 2, 6) AS value FROM f JOIN g ON f.vec_id = g.vec_id AND f.i = g.i""")
 def two_way_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(_paired(spark, sf_dir), layers.two_way(F.col("x0"), 0.9))
 
@@ -288,6 +300,49 @@ def spline_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.spline(table(spark, sf_dir, "events").select("event_id", "value"), "value", knots, [0.0, 0.1, 0.4, 1.0, 1.6, 1.9, 2.0])
 
 
+@query(_by_element("a * pow(1 - 0.1 + 0.005 - 0.001 / 6 + 0.0001 / 24, 10)"))
+def ode_rk4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_paired(spark, sf_dir), vectors.rk4(F.col("x0"), lambda x, t: F.transform(x, lambda a: -a), 10))
+
+
+@query(_by_element("(1 / (1 + exp(-a))) * a + (1 - 1 / (1 + exp(-a))) * b"))
+def gated_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = F.transform(vectors.wide(F.col("x0")), lambda v: 1 / (1 + F.exp(-v)))
+    return _elements(_paired(spark, sf_dir), vectors.gated(gate, F.col("x0"), F.col("x1")))
+
+
+@query("""SELECT event_id, CAST(j AS INTEGER) AS i, round(CASE WHEN j < 4 THEN sin(value / 100 * pow(10000, -j / 4.0)) ELSE cos(value / 100 * pow(10000, -(j - 4) / 4.0)) END, 6) AS value FROM events, range(0, 8) r(j) WHERE value IS NOT NULL""")
+def time_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", F.posexplode(vectors.sinusoidal(F.col("value") / 100, 8)).alias("i", "value"))
+    return rows.select("event_id", "i", *_rounded("value"))
+
+
+@query("SELECT event_id, round(CAST('0x' || substr(md5('7:' || CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0, 9) AS t FROM events")
+def random_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.round(layers.uniform(F.col("event_id"), 7), 9).alias("t"))
+
+
+@query(f"""WITH {POINTS}, a AS (SELECT vec_id, i, v, coalesce((v + lag(v) OVER w) / 2, 0) AS area FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, i, round(0.1 + sum(area) OVER (PARTITION BY vec_id ORDER BY i), 6) AS integral FROM a""")
+def curve_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.integrated(_points(spark, sf_dir), "vec_id", "i", "v", 0.1).select("vec_id", "i", *_rounded("integral"))
+
+
+@query("SELECT p_brand, CAST(sum(p_size) * 3.5 AS DOUBLE) AS needed, sum(p_size) * 3.5 <= 700.0 AS fits FROM part GROUP BY p_brand")
+def memory_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.memory_estimate(table(spark, sf_dir, "part"), "p_brand", "p_size", 800, 100)
+
+
+@query("SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 2 HOURS")
+def stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.stale(table(spark, sf_dir, "events"), "ts", F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")).select("event_id", "ts")
+
+
+@query("SELECT event_type, count(*) AS files, CAST(sum(event_id) AS BIGINT) AS bytes FROM events GROUP BY event_type")
+def bytes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.bytes_by(table(spark, sf_dir, "events").withColumn("length", F.col("event_id")), "event_type")
+
+
 @query("""
 SELECT n_name, stock, CAST(i AS INTEGER) AS sample FROM nation CROSS JOIN (VALUES ('colour'), ('tungsten'), ('mono')) t(stock) CROSS JOIN range(0, 20) s(i)""")
 def render_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +364,7 @@ def edge_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PIXELS}, {_convolution('c', 'p', images.gaussian(SIGMA))} SELECT image_id, x, y, round(value, 6) AS value FROM c")
 def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.convolved(_pixels(spark, sf_dir), images.gaussian(SIGMA)).select("image_id", "x", "y", *_rounded("value"))
+    return images.blurred(_pixels(spark, sf_dir), SIGMA).select("image_id", "x", "y", *_rounded("value"))
 
 
 HIGH = "h AS (SELECT image_id, avg(value) + 1.5 * stddev_samp(value) AS level FROM p GROUP BY image_id)"
@@ -360,6 +415,25 @@ def nps_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.power_spectrum(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", WIDTH).select("image_id", "u", "v", *_rounded("power"))
 
 
+@query(f"""WITH {PIXELS}, d AS (SELECT *, CAST('0x' || substr(md5('0:' || CAST(image_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.5 AS f, CAST('0x' || substr(md5('1:' || CAST(image_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.3 AS s FROM p)
+SELECT image_id, CASE WHEN f THEN CAST({WIDTH - 1} - x AS INTEGER) ELSE x END AS x, y, round(CASE WHEN s THEN value * 2 ELSE value END, 6) AS value FROM d""")
+def augment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [(lambda p: images.flipped(p, WIDTH), 0.5), (lambda p: p.withColumn("value", film.exposure_shift(F.col("value"), F.lit(1.0))), 0.3)]
+    return layers.augmented(_pixels(spark, sf_dir), "image_id", steps).select("image_id", "x", "y", *_rounded("value"))
+
+
+@query(f"""WITH {PIXELS} SELECT image_id, x, y, round(value * (1 - 0.4 * (pow((x - 3.5) / 4, 2) + pow((y - 3.5) / 4, 2)) / 2), 6) AS value FROM p""")
+def vignetted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(spark, sf_dir).select("image_id", "x", "y", F.round(film.vignette(F.col("value"), F.col("x"), F.col("y"), WIDTH, WIDTH, 0.4), 6).alias("value"))
+
+
+@query("""SELECT event_id, round(value * sqrt(greatest(2500.0, least(10000.0, value * 120)) / 6500), 6) AS red, round(value / sqrt(greatest(2500.0, least(10000.0, value * 120)) / 6500), 6) AS blue, round(0.5 * value, 6) AS strength FROM events WHERE value IS NOT NULL""")
+def white_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    red, _, blue = film.white_balance((v, v, v), v * 120)
+    return table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", F.round(red, 6).alias("red"), F.round(blue, 6).alias("blue"), F.round(film.overrides(v, 0.5), 6).alias("strength"))
+
+
 @query()
 def grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.grain(_pixels(spark, sf_dir), WIDTH, WIDTH, 0.05, 0.12, 1.2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import posixpath
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,9 +29,9 @@ def chosen(jobs: DataFrame, dataset: str, part: str = "all", limit: int = 0) ->
     return links.first(links.selected(jobs.where(F.col("dataset") == dataset), F.col("part"), part), limit, "pos", "url")
 
 
-def run(jobs: DataFrame, present: DataFrame | None = None, workers: int = 8) -> DataFrame:
+def run(jobs: DataFrame, present: DataFrame | None = None, workers: int = 8, resume: bool = False) -> DataFrame:
     """Outcomes of the jobs that have no present, non-empty result; ``present`` has dest and length (SRC-12 to SRC-19)."""
-    return fetch.fetched(jobs if present is None else links.pending(jobs, present, "dest"), workers)
+    return fetch.fetched(jobs if present is None else links.pending(jobs, present, "dest"), workers, resume)
 
 
 def progress(outcomes: DataFrame) -> DataFrame:
@@ -38,6 +39,46 @@ def progress(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed"), F.count_if(~F.col("status").isin("ok", "exists")).alias("failed"))
 
 
+def bytes_by(files: DataFrame, *keys: str) -> DataFrame:
+    """Files and bytes by key (AGG-03)."""
+    return files.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+def configs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, key (dotted), value (JSON) of YAML or JSON settings, those of the file that ``base`` names filled in (SRC-29, JOIN-10).
+
+    The settings are a stated set of small files. A base is a path relative to its file; a file's own values win.
+    """
+    import yaml
+
+    read = {row["path"]: yaml.safe_load(row["value"]) or {} for row in spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").collect()}
+
+    def flat(tree, prefix: str = "") -> dict:
+        if not isinstance(tree, dict):
+            return {prefix: json.dumps(tree, sort_keys=True, default=str)}
+        return {k: v for name, part in tree.items() for k, v in flat(part, f"{prefix}.{name}" if prefix else str(name)).items()}
+
+    def whole(path: str, seen: tuple[str, ...] = ()) -> dict:
+        if path in seen or path not in read:
+            raise ValueError(f"{path} is missing or its own base")
+        base = read[path].get("base")
+        scheme, _, rest = path.rpartition(":")
+        return (whole(f"{scheme}:{posixpath.normpath(posixpath.join(posixpath.dirname(rest), base))}", (*seen, path)) if base else {}) | flat(read[path])
+
+    rows = [(path, key, value) for path in sorted(read) for key, value in whole(path).items()]
+    return spark.createDataFrame(rows, "path string, key string, value string")
+
+
+def write_trials(trials: DataFrame, path: str) -> None:
+    """Answers of a study as Parquet by participant (SNK-10)."""
+    trials.write.mode("append").partitionBy("participant").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of an array store (Parquet with array columns) for the wanted keys (SRC-27)."""
+    return spark.read.parquet(path).join(keys.select(on).distinct(), on, "left_semi")
+
+
 def capture_meta(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
     """Capture metadata under a stated schema, from CSV with a header or JSON (SRC-26)."""
     return spark.read.schema(CAPTURE).csv(path, header=True) if form == "csv" else spark.read.schema(CAPTURE).json(path, multiLine=True)
@@ -127,9 +168,10 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--part", default="all")
     parser.add_argument("--workers", type=int, default=8)
     parser.add_argument("--limit", type=int, default=0)
+    parser.add_argument("--resume", action="store_true", help="keep the bytes of failed transfers and go on after them")
     args = parser.parse_args(argv)
     spark = session()
-    done = run(chosen(read_jobs(spark, args.jobs), args.dataset, args.part, args.limit), workers=args.workers)
+    done = run(chosen(read_jobs(spark, args.jobs), args.dataset, args.part, args.limit), workers=args.workers, resume=args.resume)
     print(json.dumps(progress(done).collect()[0].asDict()))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+import tarfile
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from io import BytesIO
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +59,31 @@ def matching(links: DataFrame, prefix: str, suffix: str = "") -> DataFrame:
 
 def jobs(links: DataFrame, base: str, folder: str) -> DataFrame:
     """``links`` with url (base joined with the href) and dest (folder and base name) (PRJ-03 to PRJ-05)."""
-    return links.withColumn("url", F.concat(F.lit(base), F.col("href"))).withColumn("dest", F.concat(F.lit(f"{folder}/"), base_name(F.col("href"))))
+    return links.withColumn("url", resolved(F.lit(base), F.col("href"))).withColumn("dest", F.concat(F.lit(f"{folder}/"), base_name(F.col("href"))))
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """The absolute URL of a link on a page: relative, rooted, scheme-relative and absolute ones (PRJ-04)."""
+    root = F.regexp_extract(base, r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^[A-Za-z][\w+.-]*://[^/?#]*(/(?:[^?#]*/)?)", 1)
+    path = F.when(href.startswith("/"), href).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href))
+    bare, tail = F.regexp_replace(path, "[?#].*$", ""), F.regexp_extract(path, "[?#].*$", 0)
+    parts = F.split(bare, "/")
+    upward = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+    step = lambda kept, x: F.when(x == "..", upward(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    flat = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, F.lit(1), F.lit(1)), step)
+    folders = F.when(F.element_at(parts, -1).isin("..", "."), F.concat(flat, F.array(F.lit("")))).otherwise(flat)
+    absolute = href.rlike(r"^[A-Za-z][\w+.-]*:")
+    return F.when(absolute, href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href)).when(href == "", base).otherwise(F.concat(root, F.array_join(folders, "/"), tail))
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """What was written to ``path`` before, else ``make()``, which is written there (SRC-06, SNK-04)."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.parquet(path)
+        return spark.read.parquet(path)
 
 
 def pending(work: DataFrame, present: DataFrame, on: str) -> DataFrame:
@@ -103,16 +130,26 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def unpacked(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """(path, member, length, content) of the members of ZIP files (SRC-31)."""
+    """(path, member, length, content) of the members of ZIP, TAR (packed or not) and GZ files (SRC-31)."""
+
+    def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+        if zipfile.is_zipfile(BytesIO(data)):
+            with zipfile.ZipFile(BytesIO(data)) as archive:
+                yield from ((i.filename, archive.read(i)) for i in archive.infolist() if not i.is_dir())
+            return
+        try:
+            with tarfile.open(fileobj=BytesIO(data)) as archive:
+                yield from ((i.name, archive.extractfile(i).read()) for i in archive if i.isfile())
+        except tarfile.ReadError:
+            if data[:2] != b"\x1f\x8b":
+                raise
+            yield name.rsplit("/", 1)[-1].removesuffix(".gz"), gzip.decompress(data)
 
     def run(batches):
         for batch in batches:
             for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(BytesIO(data)) as archive:
-                    for info in archive.infolist():
-                        if not info.is_dir():
-                            one = archive.read(info)
-                            yield pa.RecordBatch.from_pydict({"path": [p], "member": [info.filename], "length": [len(one)], "content": [one]})
+                for member, one in members(p, data):
+                    yield pa.RecordBatch.from_pydict({"path": [p], "member": [member], "length": [len(one)], "content": [one]})
 
     return files.select(path, content).mapInArrow(run, "path string, member string, length long, content binary")
 

@@ -14,23 +14,24 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
 
 
-def _drained(stream: DataFrame, out: str, mode: str) -> DataFrame:
-    """What the stream has now, appended to ``out`` as Parquet by batches."""
+def _drained(stream: DataFrame, out: str, mode: str, reduced=lambda batch: batch) -> DataFrame:
+    """What the stream has now, reduced by batches and appended to ``out`` as Parquet."""
     spark = stream.sparkSession
 
     def append(batch: DataFrame, number: int) -> None:
         # a batch that is run again after a failure overwrites its own folder
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        reduced(batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(append).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    return spark.read.schema(reduced(spark.createDataFrame([], stream.schema)).schema).parquet(f"{out}/rows")
 
 
 def totals(spark: SparkSession, folder: str, name: str, out: str | None = None) -> DataFrame:
     """event_type, n, total of all events so far. Every batch writes its partial sums; with the same ``out`` a rerun reads new files only (STR-02, STR-04)."""
     out = out or shared_path(spark, "totals")
-    parts = _drained(stream(spark, folder, name).select("event_type", "value"), out, "append")
-    return parts.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    summed = lambda batch: batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    parts = _drained(stream(spark, folder, name).select("event_type", "value"), out, "append", summed)
+    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def daily(spark: SparkSession, folder: str, name: str, out: str | None = None, late: str = "2 days") -> DataFrame:

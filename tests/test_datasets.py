@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import layers
-from granary.sources import datasets
+from granary.sources import datasets, fetch, links
 
 
 def test_jobs_by_dataset(spark, tmp_path):
@@ -74,3 +74,120 @@ def test_scans_noise_and_similarity(spark):
     same = layers.ssim(rows.limit(2).select("id", "a", F.col("a").alias("b")), "id", "a", "b", 8, peak=63.0).collect()
     flipped = layers.ssim(rows.limit(2).select("id", "a", F.reverse("a").alias("b")), "id", "a", "b", 8, peak=63.0).collect()
     assert all(r["ssim"] == pytest.approx(1) for r in same) and all(r["ssim"] < 0 for r in flipped)
+
+
+@pytest.fixture
+def server():
+    """Files and a paged listing; ranges are granted, and one file breaks off at the first request."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    body, asked = bytes(range(256)) * 40, []
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def do_GET(self):
+            url = urlparse(self.path)
+            asked.append((self.path, self.headers.get("Range")))
+            if url.path == "/list":
+                page = int(parse_qs(url.query).get("pageToken", ["0"])[0])
+                answer = {"datasetFiles": [{"name": f"f{page}{i}"} for i in range(3)] + [{"name": ""}]} | ({"nextPageToken": str(page + 1)} if page < 3 else {})
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(json.dumps(answer).encode())
+            elif url.path == "/missing":
+                self.send_error(404)
+            else:
+                start = int((self.headers.get("Range") or "bytes=0-")[6:-1])
+                self.send_response(206 if start else 200)
+                self.send_header("Content-Length", str(len(body) - start))
+                self.end_headers()
+                broken = url.path == "/broken" and not start
+                self.wfile.write(body[start : start + 3000] if broken else body[start:])
+
+    http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}", body, asked
+    http.shutdown()
+
+
+def test_transfers_and_resumed_ones(spark, server, tmp_path):
+    top, body, asked = server
+    jobs = spark.createDataFrame([(f"{top}/{n}", f"{tmp_path}/d/{n}") for n in ("a", "broken", "missing")], "url string, dest string")
+    first = {r["path"].rsplit("/", 1)[1]: r for r in datasets.run(jobs, resume=True).collect()}
+    assert (tmp_path / "d/a").read_bytes() == body and first["a"]["status"] == "ok" and first["a"]["changed"]
+    assert not first["broken"]["changed"] and "3000 of 10240 bytes" in first["broken"]["status"] and "404" in first["missing"]["status"]
+    again = {r["path"].rsplit("/", 1)[1]: r["status"] for r in datasets.run(jobs, resume=True).collect()}
+    assert (tmp_path / "d/broken").read_bytes() == body and again["broken"] == "ok" and again["a"] == "exists"
+    assert any(path == "/broken" and asked_range for path, asked_range in asked)
+    plain = fetch.transfer(f"{top}/broken", f"{tmp_path}/e/x")
+    assert not plain[1] and not list((tmp_path / "e").iterdir())
+
+
+def test_listing_is_followed_to_its_limit(spark, server):
+    top, _, asked = server
+    roots = spark.createDataFrame([(f"{top}/list",)], "url string")
+    assert sorted(r["name"] for r in fetch.listed(roots).collect()) == [f"f{p}{i}" for p in range(4) for i in range(3)]
+    asked.clear()
+    assert sorted(r["name"] for r in fetch.listed(roots, limit=4).collect()) == ["f00", "f01", "f02", "f10"]
+    assert len(asked) == 2
+
+
+def test_settings_with_a_base(spark, tmp_path):
+    (tmp_path / "base.yaml").write_text("train: {rate: 0.1, steps: 10}\nname: base\n")
+    (tmp_path / "own.yaml").write_text("base: base.yaml\ntrain: {rate: 0.5}\n")
+    got = {(r["path"].rsplit("/", 1)[1], r["key"]): r["value"] for r in datasets.configs(spark, str(tmp_path)).collect()}
+    assert got["own.yaml", "train.rate"] == "0.5" and got["own.yaml", "train.steps"] == "10" and got["own.yaml", "name"] == '"base"' and got["base.yaml", "train.rate"] == "0.1"
+
+
+def test_archives_links_and_caches(spark, tmp_path):
+    import gzip
+    import io
+    import tarfile
+
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as out:
+        info = tarfile.TarInfo("in/one.txt")
+        info.size = 3
+        out.addfile(info, io.BytesIO(b"abc"))
+    files = spark.createDataFrame([("x/t.tgz", bytearray(tar.getvalue())), ("x/n.txt.gz", bytearray(gzip.compress(b"hello")))], "path string, content binary")
+    assert sorted((r["member"], bytes(r["content"])) for r in links.unpacked(files).collect()) == [("in/one.txt", b"abc"), ("n.txt", b"hello")]
+    hrefs = spark.createDataFrame([("../x",), ("//h/y",), ("http://z/w",), ("a b",), (None,)], "href string")
+    assert [r["u"] for r in hrefs.select(links.resolved(F.lit("https://e.org/p/q/"), F.col("href")).alias("u")).collect()] == ["https://e.org/p/x", "https://h/y", "http://z/w", "https://e.org/p/q/a b", None]
+    made = []
+    for _ in range(2):
+        assert links.cached(spark, f"{tmp_path}/cache", lambda: made.append(1) or hrefs).count() == 5
+    assert made == [1]
+    trials = spark.createDataFrame([("p1", 1), ("p2", 0)], "participant string, choice int")
+    datasets.write_trials(trials, f"{tmp_path}/trials")
+    assert datasets.stored(spark, f"{tmp_path}/trials", trials.where("choice = 1"), "participant").count() == 1
+
+
+def test_blur_in_two_passes(spark):
+    from granary.operators import images
+
+    random = np.random.default_rng(1)
+    image = random.random((12, 15))
+    rows = spark.createDataFrame([(1, x, y, float(image[y, x])) for y in range(12) for x in range(15)], "image_id long, x int, y int, value double")
+    got = {(r["x"], r["y"]): r["value"] for r in images.blurred(rows, 1.5).collect()}
+    whole = {(r["x"], r["y"]): r["value"] for r in images.convolved(rows, images.gaussian(1.5)).collect()}
+    assert len(got) == 180 and all(got[k] == pytest.approx(whole[k]) for k in whole)
+
+
+def test_kid_counts_every_row(spark):
+    from granary.operators import metrics
+
+    random = np.random.default_rng(2)
+    x, y = random.normal(size=(40, 4)), random.normal(1, 1, size=(9, 4))
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(x)] + [(100 + i, 1, v.tolist()) for i, v in enumerate(y)] + [(999, 1, None), (998, None, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, side int, v array<double>")
+    k = lambda a, b: (a @ b.T / 4 + 1) ** 3
+    alone = lambda a: (k(a, a).sum() - np.trace(k(a, a))) / (len(a) * (len(a) - 1))
+    (one,) = metrics.kid(df, "id", "v", F.col("side")).collect()
+    assert one["blocks"] == 1 and one["kid"] == pytest.approx(alone(x) + alone(y) - 2 * k(x, y).mean())
+    (many,) = metrics.kid(df, "id", "v", F.col("side"), block=4).collect()
+    assert many["blocks"] == 4
