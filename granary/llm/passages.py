@@ -33,8 +33,8 @@ WINDOW = 10
 LONGEST = 64
 #: Bands of lines and coordinates of each: lines at 0.8 meet with probability 0.998, at 0.85 with 0.9998.
 BANDS, ROWS = 9, 3
-#: Words that a line has at least, to be a paragraph: in a shorter one a changed word leaves less than 0.8 of the shingles.
-LINE = 49
+#: Words that a line has at least, to be a paragraph: in one of ten shingles a changed word at an end leaves 0.8 of them.
+LINE = 14
 #: Chains go on over so many words between paragraphs that lie alike (within DRIFT words) in the same earlier document.
 HOLE, DRIFT = 40, 4
 _LOW = np.uint64((1 << 44) - 1)

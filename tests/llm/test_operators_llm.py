@@ -678,6 +678,21 @@ def test_lines_with_a_changed_word(spark):
     assert all(covered[100 + i] == set(range(9, 59 + i % 11)) for i in range(30))
 
 
+def test_short_lines_with_a_changed_end(spark):
+    """Lines of 14 to 48 words that differ in their last word are of one class; those that differ in the middle are not."""
+    draw = random_words(np.random.default_rng(12))
+    pairs = []
+    for n in range(14, 49):
+        line = draw(n)
+        pairs.append((line, [*line[:-1], "end"], [*line[: n // 2], "middle", *line[n // 2 + 1 :]]))
+    rows = [(3 * i + j, " ".join(x)) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    source = passages.source(spark.createDataFrame(rows, "doc_id long, text string"))
+    units = passages.keep(passages.map_batches(source, lambda batch: passages._units(batch, 23), passages.SCHEMA))
+    of = passages.line_classes(source, units, 80).join(units.where("level = 1"), "content").select("doc", "class").collect()
+    classes = {r["doc"]: r["class"] for r in of}
+    assert all(classes[3 * i] == classes[3 * i + 1] != classes[3 * i + 2] for i in range(len(pairs)))
+
+
 def test_copies_within_a_document(spark):
     draw = random_words(np.random.default_rng(6))
     passage = draw(60)
