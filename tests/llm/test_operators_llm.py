@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import html, kernels, langid, license, minhash, mixing, passages, pu, quality, queries, sharding, tiling
+from granary.llm import common, html, kernels, langid, license, minhash, mixing, passages, pu, quality, queries, sharding, tiling
 from granary.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -300,6 +300,23 @@ def test_chain_of_near_copies(spark):
     assert {d: r["component_id"] for d, r in by(minhash.near_duplicates(docs, k=2, rounds=1)).items()} == want
 
 
+def test_hot_keys_are_dealt_over_parts(spark, monkeypatch):
+    """Keys of more than three rows count as hot: buckets, hubs, equal sets and a repeated id."""
+    monkeypatch.setattr(common, "DEALT_ROWS", 3)
+    draw = random_words(np.random.default_rng(9))
+    base, other = draw(80), draw(80)
+    rows = [(i, " ".join([*base, f"tail{i}"])) for i in range(40, 20, -1)] + [(i, " ".join(other)) for i in range(50, 75)]
+    rows += [(i, " ".join([*other, *draw(2)])) for i in range(75, 90)] + [(i, "") for i in range(90, 100)] + [(i, " ".join(draw(30))) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = classes({i: shingles(t, 2) for i, t in rows}, 80)
+    got = by(minhash.near_duplicates(docs, k=2))
+    assert {d: (r["component_id"], r["kept"]) for d, r in got.items()} == {d: (c, c == d) for d, c in want.items()}
+    twice = docs.union(spark.createDataFrame([(21, " ".join(other)), (None, ""), (None, " ".join(base))], docs.schema))
+    rows = minhash.near_duplicates(twice, k=2).collect()
+    assert len(rows) == docs.count() + 3
+    assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == {d: 21 if c == 50 else c for d, c in want.items()}
+
+
 def test_circulant_signature_estimates_similarity():
     random = np.random.default_rng(3)
     a = random.integers(0, 2**63, 1000, dtype=np.uint64)
