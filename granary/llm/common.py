@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few longs that may be broadcast; beyond, the join is shuffled.
@@ -66,22 +66,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def hot_keys(sizes: DataFrame, *keys: str) -> DataFrame:
-    """(keys, parts) of the keys of more than DEALT_ROWS rows. ``sizes`` has a row for each key, with its number of rows as ``items``."""
-    parts = F.ceil(F.col("items") / DEALT_ROWS).cast("int").alias("parts")
-    return keep(sizes.where(F.col("items") > DEALT_ROWS).select(*keys, parts))
+def parts_of(items: Column) -> Column:
+    """``parts``: over how many parts the rows of a key of so many rows are dealt."""
+    return F.ceil(items / DEALT_ROWS).cast("int").alias("parts")
 
 
-def parted(rows: DataFrame, hot: DataFrame, by: str, *keys: str) -> DataFrame:
-    """``rows`` with ``part``: those of a hot key are dealt over its parts by a hash of ``by``, all others are in part 0."""
-    parts = F.coalesce("parts", F.lit(1)).cast("long")
-    return rows.join(small(hot), list(keys), "left").withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
-
-
-def in_parts(rows: DataFrame, hot: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` (one for each key) with ``part``: once for every part of their key."""
-    every = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-    return rows.join(small(hot), list(keys), "left").withColumn("part", F.explode(every)).drop("parts")
+def in_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` (one for each key, with its parts) with ``part``: once for every part of their key."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import components, forget, hot_keys, in_parts, keep, map_batches, parted, small
+from granary.llm.common import components, forget, in_parts, keep, map_batches, parts_of, small
 
 UNIVERSE = 1 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -118,13 +118,11 @@ def _sets(batch: pa.RecordBatch, k: int, seed: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union. A set ``b`` of many pairs meets them in several parts."""
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
     a = sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
     b = sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b"))
-    hot = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("items")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    joined = parted(pairs.select("a", "b"), hot, "a", "b").join(a, "a").join(in_parts(b, hot, "b"), ["b", "part"])
-    joined = joined.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
     return joined.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("both") - F.col("common"))).select("a", "b")
 
 
@@ -137,22 +135,22 @@ def _prefixed(items: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return items.join(ordered, "id").select(*items.columns, F.posexplode(F.slice("all", F.lit(1), length)).alias("i", "x")).withColumn("element", F.col("x.element")).drop("x")
 
 
-def _remaining(labelled: DataFrame, hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _remaining(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that may still be links: an item outside its bucket's largest component, and one of another component.
 
     They are met by an exact join of the sets: ``a`` and ``b`` share one of their rarest elements and
     neither their sizes nor the element's places rule the similarity out. Copies that differ by rare
     elements meet through those only, so a bucket of many near copies does not meet in full.
     """
-    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("items"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("items", "component")).alias("main"))
-    mixed = mixed.where("parts > 1").select("key", F.col("main.component").alias("main"))
-    rest = keep(labelled.join(in_parts(mixed, hot, "key"), ["key", "part"]))
+    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("items"), F.max("parts").alias("parts"))
+    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("items", "component")).alias("main"), F.max("parts").alias("parts"))
+    mixed = mixed.where("components > 1").select("key", F.col("main.component").alias("main"), "parts")
+    rest = keep(labelled.join(in_parts(mixed), ["key", "part"]))
     stray = rest.where("component <> main")
-    ranges = stray.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ranges = stray.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("parts").alias("parts"))
     fits = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
     strays = stray.select("id").distinct().withColumn("stray", F.lit(True))
-    items = rest.join(in_parts(ranges, hot, "key"), ["key", "part"]).where(fits).select("id", "n", "component").distinct().join(strays, "id", "left")
+    items = rest.join(in_parts(ranges), ["key", "part"]).where(fits).select("id", "n", "component").distinct().join(strays, "id", "left")
     prefixes = keep(_prefixed(keep(items), sets, percent))
     one = prefixes.where("stray").drop("stray")
     two = prefixes.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"), F.col("i").alias("j"), "element")
@@ -166,23 +164,22 @@ def _remaining(labelled: DataFrame, hot: DataFrame, sets: DataFrame, percent: in
 def link(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 3, hubs: int = 4, given: DataFrame | None = None) -> DataFrame | None:
     """(node, component) of the items that share a band key and whose sets are similar enough.
 
-    ``members`` (key, id, n): the buckets with more than one item. In each of a few rounds every
+    ``members`` (key, id, n, parts): the buckets with more than one item, and over how many parts each is dealt. In each of a few rounds every
     bucket has one hub and an item of another component is compared with one hub only (after the first
     round with a few), so a bucket of m items costs about m comparisons. What is left (buckets with more
-    than one component) goes through an exact join: no link is lost. A bucket of many items lies in several
-    parts, and its hub stands in each of them. ``given`` (a, b) are links from the start.
+    than one component) goes through an exact join: no link is lost. A bucket's hub stands in each of its
+    parts. ``given`` (a, b) are links from the start.
     Returns None if there is no link.
     """
     sized = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
     edges, labels = given, None if given is None else components(given)
-    hot = hot_keys(members.groupBy("key").agg(F.count(F.lit(1)).alias("items")), "key")
-    members = keep(parted(members.select("key", "id", "n"), hot, "id", "key"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
 
     def labelled() -> DataFrame:
         if labels is None:
             return members.withColumn("component", F.col("id"))
         of = labels.select(F.col("node").alias("id"), F.col("component").alias("of"))
-        return members.join(of, "id", "left").select("key", "part", "id", "n", F.coalesce("of", "id").alias("component"))
+        return members.join(of, "id", "left").select("key", "part", "parts", "id", "n", F.coalesce("of", "id").alias("component"))
 
     def found(pairs: DataFrame) -> None:
         nonlocal edges, labels
@@ -195,9 +192,9 @@ def link(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 3, hub
     for turn in range(rounds):
         order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         now = labelled()
-        hub = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-        hub = hub.where("low < high").select("key", F.col("hub.order").alias("order"), F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.component").alias("other_component"))
-        near = now.join(in_parts(hub, hot, "key"), ["key", "part"]).where(F.col("component") != F.col("other_component")).where(sized)
+        hub = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("parts").alias("parts"))
+        hub = hub.where("low < high").select("key", "parts", F.col("hub.order").alias("order"), F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.component").alias("other_component"))
+        near = now.join(in_parts(hub), ["key", "part"]).where(F.col("component") != F.col("other_component")).where(sized)
         to = F.slice(F.array_sort(F.collect_set(F.struct("order", "other"))), 1, hubs if turn else 1)  # of one for each band at most
         pairs = keep(near.groupBy("id").agg(to.alias("to")).select(F.col("id").alias("a"), F.explode("to").alias("to")).select("a", F.col("to.other").alias("b")))
         if pairs.isEmpty():
@@ -205,11 +202,10 @@ def link(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 3, hub
         found(pairs)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = pairs if tested is None else tested.union(pairs)
-    pairs = _remaining(labelled(), hot, sets, percent)
+    pairs = _remaining(labelled(), sets, percent)
     pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         found(pairs)
-    forget(members)
     return labels
 
 
@@ -229,8 +225,7 @@ def near_duplicates(
     )
     present = signed.where("n > 0 AND id IS NOT NULL")
     content = ["n", "set_sum", "set_xor"]
-    groups = present.groupBy(*content).agg(F.min(F.struct("id", "keys")).alias("first"), F.count(F.lit(1)).alias("items"))
-    groups = groups.select(*content, F.col("first.id").alias("doc"), F.col("first.keys").alias("keys"), "items")
+    groups = present.groupBy(*content).agg(F.min(F.struct("id", "keys")).alias("first")).select(*content, F.col("first.id").alias("doc"), F.col("first.keys").alias("keys"))
     ends = present.groupBy("id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in content for f in (F.min, F.max)])
     several = keep(ends.where(" OR ".join(f"{c}_min < {c}_max" for c in content)).select(F.col("id").alias("doc")))
     plain, given = several.isEmpty(), None
@@ -244,7 +239,7 @@ def near_duplicates(
         given = keep(given)
         given = None if given.isEmpty() else given
     buckets = groups.select(F.explode("keys").alias("key"), "id", "n")
-    shared = keep(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("items")).where("items > 1").select("key"))
+    shared = keep(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("items")).where("items > 1").select("key", parts_of(F.col("items"))))
     members = keep(buckets.join(small(shared), "key"))
     wanted = keep(groups.join(members.select("id").distinct(), "id", "left_semi").select("doc", "id", "set_sum", "set_xor"))
     texts = source.join(small(keep(wanted.select("doc").distinct())), F.col("id") == F.col("doc"), "left_semi")
@@ -261,10 +256,7 @@ def near_duplicates(
             least = firsts.join(groups.select(F.col("id").alias("of"), "doc"), "of").groupBy("component").agg(F.min("doc").alias("least"))
             firsts = firsts.join(least, "component").select("of", F.col("least").alias("component"))
         found = found.join(firsts, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "doc"))
-    # a set with many copies meets them in several parts
-    hot = hot_keys(groups.select(*content, "items"), *content)
-    columns = ["id", "n", "component"]
-    out = parted(present.select("id", *content), hot, "id", *content).join(in_parts(found.select(*content, "component"), hot, *content), [*content, "part"]).select(*columns)
+    out = present.select("id", *content).join(found.select(*content, "component"), content).select("id", "n", "component")
     out = out.union(signed.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component")))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import components, forget, keep, map_batches, small
+from granary.llm.common import components, forget, keep, map_batches, parts_of, small
 from granary.llm.minhash import UNIVERSE, _lists, link, permutations
 
 SHINGLE = 5
@@ -165,7 +165,7 @@ def line_classes(texts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     keyed = units.where("level = 1").select("doc", "content", *[F.col("keys")[j].alias(k) for j, k in enumerate(names)])
     contents = keep(keyed.groupBy("content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(k).alias(k) for k in names]))
     buckets = contents.select(F.explode(F.array(*names)).alias("key"), F.col("content").alias("id"))
-    shared = keep(buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key"))
+    shared = keep(buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("items")).where("first < last").select("key", parts_of(F.col("items"))))
     members = keep(buckets.join(small(shared), "key"))
     met = members.select(F.col("id").alias("content")).distinct()
     wanted = keep(contents.join(met, "content", "left_semi").groupBy(F.col("low").alias("doc")).agg(F.collect_set("content").alias("contents")))  # of one document
