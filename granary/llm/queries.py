@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import html, langid, license, minhash, mixing, passages, pu, quality, sharding, tiling
+from granary.llm import fim, html, langid, license, minhash, mixing, passages, pu, quality, sharding, tiling, turns, urls
+from granary.llm.sql_turns import repair_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,19 @@ def op10_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return turns.repairs(turns.damaged(rows), rows.select("conv_id"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transformed(_table(spark, sf_dir, "documents")))
+
+
+def op13_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_curriculum_mix": op1_curriculum_mix,
@@ -69,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_label_propagation": op8_label_propagation,
         "op9_passage_banding": op9_passage_banding,
         "op10_naive_bayes": op10_naive_bayes,
+        "op11_turn_repair": op11_turn_repair,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_url_cascade": op13_url_cascade,
     }
 
 
@@ -143,5 +160,35 @@ FROM w LEFT JOIN base ON w.rid = base.rid LEFT JOIN own ON w.rid = own.rid
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), h AS (
+  SELECT *, len(w) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(w) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), c AS (
+  SELECT *, array_to_string(w[1:least(a, b)], '') AS p, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(w[greatest(a, b) + 1:], '') AS r FROM h
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || r || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || r || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+def _op13_sql() -> str:
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    rules = " ".join(f"WHEN {fits(host, path)} THEN '{host}{path}'" for _, host, path in urls.by_length(urls.RULES))
+    verdicts = " ".join(f"WHEN '{host}{path}' THEN '{verdict}'" for verdict, host, path in urls.RULES)
+    listed = " OR ".join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in urls.LISTED)
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+r AS (SELECT *, CASE {rules} END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE CASE WHEN {listed} THEN 'block' ELSE 'allow' END END AS verdict FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_curriculum_mix": OP1_SQL, "op4_circulant_minhash": OP4_SQL, "op6_license_join": _op6_sql()}
+    return {"op1_curriculum_mix": OP1_SQL, "op4_circulant_minhash": OP4_SQL, "op6_license_join": _op6_sql(), "op11_turn_repair": repair_sql(), "op12_fill_in_middle": OP12_SQL, "op13_url_cascade": _op13_sql()}
