@@ -1,9 +1,9 @@
 """Fill-in-middle over an index of distinct texts: each text's token ends once, as an Elias-Fano list, and every document's seeded cut selected from it.
 
-Texts are the same if their SHA-256 and their length agree (within a task the texts themselves are compared). A task lists each distinct text that
-it meets once, the shuffle keeps one list a text, and the index is written: some 0.2 bytes a character, without the texts. Documents
-meet it on (SHA-256, length), both sides plain shuffles, so that adaptive execution can split a text with very many copies; the cut is
-an element of the list, and everything else is done by column functions.
+Texts are the same if their SHA-256 and their length agree (within a task the texts themselves are compared). A task lists each distinct
+text that it meets once, and the shuffle keeps one list a text: some 0.2 bytes a character, without the texts. Documents meet it on
+(SHA-256, length, part): a text with more than ``MOST`` documents has a copy of its list for each so many of them, and its documents are dealt over the
+parts, so that no task gets more of one text. The cut is an element of the list, and everything else is done by column functions.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from granary.llm.common import keep
+from granary.llm.common import keep, small
 
 MARKS = ("<P>", "<S>", "<M>")
 #: Of h3 % 100 and h4 % 100: documents from PLAIN on stay as they are, below SPM the suffix comes first.
 PLAIN, SPM = 90, 20
 #: Set bits between two sampled places of a list's upper part, and texts that a task remembers having listed.
 SAMPLE, REMEMBERED = 256, 50_000
+#: Documents of one text in one part.
+MOST = 1_000
 
 
 def ends(text: str) -> np.ndarray:
@@ -72,26 +74,37 @@ def select(blob: bytes, k: int) -> int:
     return ((place - k) << width) | part
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), key, size, parts of each row; a text's parts follow from the number of its documents, counted over all of them."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"key": F.unhex(F.sha2("text", 256)), "size": F.octet_length("text").cast("long")})
+    many = rows.groupBy("key", "size").count().where(F.col("count") > MOST)
+    many = keep(many.select("key", "size", F.ceil(F.col("count") / MOST).alias("parts")))
+    return rows.join(small(many), ["key", "size"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+
+
 def index(docs: DataFrame) -> DataFrame:
-    """key, size, n, list of each distinct text of ``docs`` (key, size, text), written; n is the number of its tokens."""
+    """key, size, part, n, list of each distinct text of ``docs`` (key, size, parts, text), dealt by the first three; n is the number of its tokens."""
 
     def run(batches):
         listed: set[tuple[bytes, int]] = set()
         for batch in batches:
-            here: dict[tuple[bytes, int], str] = {}
-            for key, size, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if here.setdefault((key, size), text) != text:
+            here: dict[tuple[bytes, int], tuple[int, str]] = {}
+            for key, size, parts, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if here.setdefault((key, size), (parts, text))[1] != text:
                     raise ValueError("two texts of one SHA-256 and length")
             new = [k for k in here if k not in listed]
-            lists = [encode(ends(here[k])) for k in new]
+            lists = [encode(ends(here[k][1])) for k in new]
             listed.update(new)
             if len(listed) > REMEMBERED:
                 listed.clear()
-            counts = [struct.unpack_from("<Q", x)[0] for x in lists]
-            columns = [pa.array([k[0] for k in new], pa.binary()), pa.array([k[1] for k in new], pa.int64()), pa.array(counts, pa.int64()), pa.array(lists, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "size", "n", "list"])
+            longs = lambda values: pa.array(values, pa.int64())
+            columns = [pa.array([k[0] for k in new], pa.binary()), longs([k[1] for k in new]), longs([here[k][0] for k in new]), longs([struct.unpack_from("<Q", x)[0] for x in lists]), pa.array(lists, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "size", "parts", "n", "list"])
 
-    return keep(docs.select("key", "size", "text").mapInArrow(run, "key binary, size long, n long, list binary").distinct())
+    lists = docs.select("key", "size", "parts", "text").mapInArrow(run, "key binary, size long, parts long, n long, list binary")
+    dealt = lists.select("key", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "n", "list")
+    return dealt.repartition("key", "size", "part").distinct()
 
 
 @F.arrow_udf(StructType().add("prefix", LongType()).add("middle", LongType()))
@@ -111,10 +124,10 @@ def transformed(docs: DataFrame) -> DataFrame:
     A null or empty text gives an empty plain output with n = 0; a text that contains a mark stays plain. A null doc_id draws from "1:"; equal
     rows give equal rows. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"key": F.unhex(F.sha2("text", 256)), "size": F.octet_length("text").cast("long")})
+    rows = keyed(docs)
+    dealt = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")))
     seeded = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    out = rows.join(index(rows), ["key", "size"]).withColumn("seeded", seeded)
+    out = dealt.join(index(rows), ["key", "size", "part"]).withColumn("seeded", seeded)
     ends_ = [_draw(i) % (F.col("n") + 1) for i in range(2)]
     out = out.withColumn("cut", cuts("list", F.least(*ends_), F.greatest(*ends_)))
     marked = F.col("text").contains(MARKS[0]) | F.col("text").contains(MARKS[1]) | F.col("text").contains(MARKS[2])

@@ -176,9 +176,13 @@ def test_cuts_equal_sql_on_odd_rows(spark):
     assert fim.transformed(rows.limit(0)).collect() == []
 
 
-def test_each_text_is_listed_once(spark):
-    rows = fim.index(spark.createDataFrame([(str(t).encode(), len(t or ""), t or "") for _, t in FIM], "key binary, size long, text string").repartition(5))
-    assert rows.count() == len({t or "" for _, t in FIM}) + 1  # the null text has a key of its own here
+def test_each_text_is_listed_once_for_each_part(spark, monkeypatch):
+    monkeypatch.setattr(fim, "MOST", 100)
+    rows = fim.keyed(spark.createDataFrame(FIM, "doc_id long, text string").repartition(5))
+    lists = fim.index(rows)
+    texts = {t or "" for _, t in FIM}
+    assert lists.select("key", "size").distinct().count() == len(texts) and lists.count() == len(texts) + 2  # 300 copies of one text
+    assert of(fim.digests(fim.transformed(spark.createDataFrame(FIM, "doc_id long, text string")))) == by_sql("op12_fill_in_middle", "documents", FIM, [("doc_id", "BIGINT"), ("text", "VARCHAR")])
 
 
 # urls
