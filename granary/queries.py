@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import film, paths, vectors
-from granary.operators import images, layers, metrics, pairing
+from granary.operators import flows, images, layers, metrics, pairing, scans
 from granary.session import table
 from granary.sources import datasets, links, manifest
 from granary.streaming import progress
@@ -246,9 +247,69 @@ def ot_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.transport(_paired(spark, sf_dir).withColumn("batch_id", batch), "batch_id", "vec_id", "x0", "x1").withColumn("cost", F.round("cost", 6))
 
 
+def _turning(x, t, parameters):
+    """Pairs of elements turn by 2 t times a rate."""
+    out = np.empty_like(x)
+    rate = (2 * t * parameters[0])[:, None]
+    out[:, 0::2], out[:, 1::2] = -rate * x[:, 1::2], rate * x[:, 0::2]
+    return out
+
+
+@query("""
+SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * (cos(1 + vec_id % 7) + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * sin(1 + vec_id % 7)))), 4) AS total,
+  true AS arrived, true AS stepped FROM embeddings""")
+def ode_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("rate", 1 + F.col("vec_id") % 7)
+    moved = flows.integrated(rows, "vec_id", "embedding", _turning, ["rate"], atol=1e-10, rtol=1e-10)
+    # faster rows take more steps than slower ones
+    least = 8 * (1 + F.col("vec_id") % 7)
+    return moved.select("vec_id", F.round(vectors.total(F.col("x")), 4).alias("total"), (F.col("reached") == 1).alias("arrived"), F.col("steps").between(least, 1000).alias("stepped"))
+
+
+EPSILON, ROWS = 0.2, 64
+
+
+@query(f"""
+WITH RECURSIVE v AS (SELECT vec_id, vec_id // {ROWS} AS batch, embedding AS a, list_reverse(embedding) AS b FROM embeddings),
+c AS (SELECT p.batch, p.vec_id, list(list_sum(list_transform(range(1, len(p.a) + 1), lambda i: pow(CAST(p.a[i] AS DOUBLE) - CAST(q.b[i] AS DOUBLE), 2))) ORDER BY q.vec_id) AS line FROM v p JOIN v q ON p.batch = q.batch GROUP BY p.batch, p.vec_id),
+m AS (SELECT batch, count(*) AS n, list(vec_id ORDER BY vec_id) AS ids, list(line ORDER BY vec_id) AS c FROM c GROUP BY batch),
+it(batch, k, f, g) AS (
+  SELECT batch, 0, CAST([] AS DOUBLE[]), list_transform(range(n), lambda x: CAST(0 AS DOUBLE)) FROM m
+  UNION ALL
+  SELECT batch, k + 1, f, list_transform(range(1, n + 1), lambda j: -{EPSILON}::DOUBLE * ln(list_sum(list_transform(range(1, n + 1), lambda i: exp((f[i] - c[i][j]) / {EPSILON}::DOUBLE))) / n)) FROM (
+    SELECT it.batch, k, n, c, list_transform(range(1, n + 1), lambda i: -{EPSILON}::DOUBLE * ln(list_sum(list_transform(range(1, n + 1), lambda j: exp((g[j] - c[i][j]) / {EPSILON}::DOUBLE))) / n)) AS f FROM it JOIN m ON it.batch = m.batch WHERE k < 200)
+), w AS (SELECT it.batch, n, c, f, g, unnest(range(1, n + 1)) AS i, unnest(ids) AS vec_id FROM it JOIN m ON it.batch = m.batch WHERE k = 200)
+SELECT batch, vec_id, round(n * list_sum(list_transform(range(1, n + 1), lambda j: exp((f[i] + g[j] - c[i][j]) / {EPSILON}::DOUBLE))) / n / n, 6) AS mass,
+  round(n * list_sum(list_transform(range(1, n + 1), lambda j: exp((f[i] + g[j] - c[i][j]) / {EPSILON}::DOUBLE) * c[i][j])) / n / n, 5) AS cost FROM w""")
+def entropic_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _paired(spark, sf_dir).withColumn("batch", F.floor(F.col("vec_id") / ROWS))
+    size = F.count(F.lit(1)).over(Window.partitionBy("batch"))
+    return flows.entropic(rows, "batch", "vec_id", "x0", "x1", EPSILON).select("batch", "vec_id", F.round(F.col("mass") * size, 6).alias("mass"), F.round(F.col("cost") * size, 5).alias("cost"))
+
+
 # sequences and matrices
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT *, ln(1 + exp(value / 100 - 1)) AS dt FROM events),
+r AS (SELECT user_id, event_id, exp(-dt) AS a, dt * value AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM d),
+walk AS (SELECT user_id, event_id, i, b AS s FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.event_id, r.i, r.a * w.s + r.b FROM walk w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1)
+SELECT user_id, event_id, round(s, 6) AS state FROM walk""")
+def selective_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dt = F.log1p(F.exp(F.col("value") / 100 - 1))
+    return scans.scanned(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.exp(-dt), dt * F.col("value")).select("user_id", "event_id", *_rounded("state"))
+
+
+@query(f"""
+WITH RECURSIVE {PIXELS},
+s AS (SELECT image_id, x, y, value, d, CASE WHEN d < 2 THEN y ELSE x END AS line, CASE d WHEN 0 THEN x WHEN 1 THEN {WIDTH - 1} - x WHEN 2 THEN y ELSE {WIDTH - 1} - y END AS i FROM p, range(4) r(d)),
+walk AS (SELECT image_id, d, line, i, x, y, 0.1 * value AS s FROM s WHERE i = 0
+  UNION ALL SELECT s.image_id, s.d, s.line, s.i, s.x, s.y, 0.9 * w.s + 0.1 * s.value FROM walk w JOIN s ON s.image_id = w.image_id AND s.d = w.d AND s.line = w.line AND s.i = w.i + 1)
+SELECT image_id, x, y, round(avg(s), 6) AS state FROM walk GROUP BY image_id, x, y""")
+def four_way_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.four_ways(_pixels(spark, sf_dir), F.lit(0.9), F.lit(0.1) * F.col("value")).select("image_id", "x", "y", *_rounded("state"))
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "f")).select("vec_id", "i", F.col("f").cast("double").alias("v"))
 
