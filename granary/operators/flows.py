@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import shared_path
+from granary.session import forgotten, kept
 
 # The embedded pair of orders 5 and 4 of Dormand and Prince.
 NODES = (0.0, 1 / 5, 3 / 10, 4 / 5, 8 / 9, 1.0, 1.0)
@@ -98,20 +98,6 @@ def integrated(rows: DataFrame, key: str, x0: str, velocity: Velocity, parameter
     return rows.select(key, x0, *[F.col(p).cast("double") for p in names]).mapInArrow(run, out)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back."""
-    path = shared_path(df.sparkSession, "coupling")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.path = path
-    return out
-
-
-def _forgotten(df: DataFrame) -> None:
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _matrix(cell: pa.ListScalar) -> np.ndarray:
     rows = cell.values
     return rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
@@ -153,7 +139,7 @@ def entropic(pairs: DataFrame, batch: str, id_col: str, x0: str, x1: str, epsilo
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") * 2 / block)))
     cells = F.array_sort(F.collect_list(F.struct("id", "a", "b")))
     blocks = rows.groupBy("batch", "n", "block").agg(cells.alias("cells"))
-    blocks = _kept(blocks.select("batch", "n", "block", F.col("cells.id").alias("ids"), F.col("cells.a").alias("a"), F.col("cells.b").alias("b")))
+    blocks = kept(blocks.select("batch", "n", "block", F.col("cells.id").alias("ids"), F.col("cells.a").alias("a"), F.col("cells.b").alias("b")), "coupling")
     source, target = blocks.select("batch", "n", "block", "ids", "a"), blocks.select(F.col("batch").alias("other_batch"), F.col("block").alias("other_block"), F.col("ids").alias("other_ids"), "b")
     both = source.join(target, F.col("batch").eqNullSafe(F.col("other_batch")))
 
@@ -183,9 +169,9 @@ def entropic(pairs: DataFrame, batch: str, id_col: str, x0: str, x1: str, epsilo
         kind = pairs.schema[batch].dataType.simpleString()
         parts = pairs_.select("a", "b", "n", "potential", batch_of, block_of).mapInArrow(step(own, "", (batch_of, block_of)), f"batch {kind}, block long, part array<double>")
         total = _softest(F.collect_list("part"))
-        return _kept(parts.groupBy("batch", "block").agg(F.transform(total, lambda v: F.lit(-float(epsilon)) * v).alias("potential")))
+        return kept(parts.groupBy("batch", "block").agg(F.transform(total, lambda v: F.lit(-float(epsilon)) * v).alias("potential")), "coupling")
 
-    g = _kept(blocks.select("batch", "block", F.transform("ids", lambda _: F.lit(0.0)).alias("potential")))
+    g = kept(blocks.select("batch", "block", F.transform("ids", lambda _: F.lit(0.0)).alias("potential")), "coupling")
     f = None
     for _ in range(most):
         new = scaled(g, "a")
@@ -195,11 +181,11 @@ def entropic(pairs: DataFrame, batch: str, id_col: str, x0: str, x1: str, epsilo
             old = f.select(F.col("batch").alias("at"), F.col("block").alias("at_block"), F.col("potential").alias("old"))
             gaps = new.join(old, F.col("batch").eqNullSafe(F.col("at")) & (F.col("block") == F.col("at_block")))
             off = gaps.agg(F.max(F.array_max(F.zip_with("potential", "old", lambda x, y: F.abs(F.exp((y - x) / epsilon) - 1))))).first()[0]
-            _forgotten(f)
+            forgotten(f)
         f = new
         if off is None and new.isEmpty() or off is not None and off <= tolerance:
             break
-        _forgotten(g)
+        forgotten(g)
         g = scaled(f, "b")
     else:
         raise ValueError(f"masses are off by {off} after {most} rounds")

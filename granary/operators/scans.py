@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructType
 
-from granary.session import shared_path
+from granary.session import kept
 
 #: Columns of a block: rows are composed this many at a time, all blocks at once.
 STRIDE = 64
@@ -92,9 +92,7 @@ def scanned(rows: DataFrame, keys: Sequence[str], order: Sequence[str], a: Colum
             tail = pa.array(np.arange(held.num_rows) == held.num_rows - 1)
             yield pa.RecordBatch.from_arrays([*held.columns[:-1], tail], schema.names)
 
-    path = shared_path(spark, "scan")
-    flat.mapInArrow(run, schema).write.parquet(path)
-    done = spark.read.schema(schema).parquet(path)
+    done = kept(flat.mapInArrow(run, schema), "scan")
     ends = done.where("head OR tail").select("block", "p", "s", "head", "tail", *[f"c{i}" for i in range(len(keys))]).collect()
     heads, tails = ({r["block"]: r for r in ends if r[which]} for which in ("head", "tail"))
     carries, before, state = [], None, 0.0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import film, paths, vectors
-from granary.operators import flows, images, layers, metrics, pairing, scans
+from granary.operators import flows, images, layers, metrics, pairing, pyramids, scans
 from granary.session import table
 from granary.sources import datasets, links, manifest
 from granary.streaming import progress
@@ -187,6 +187,24 @@ def tasks_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.ready(links.constant(spark, rows, "id string, status string, deps array<string>"))
 
 
+@query("""
+WITH RECURSIVE t AS (SELECT l_orderkey * 8 + l_linenumber AS id, bool_or(l_linestatus = 'F') AS done, any_value(l_orderkey) AS o, any_value(l_linenumber) AS n, min(l_shipdate) AS ship FROM lineitem GROUP BY 1),
+d AS (SELECT id, o * 8 + n - 1 AS dep FROM t WHERE n > 1 UNION SELECT id, dep FROM (SELECT id, lag(id) OVER (PARTITION BY o ORDER BY ship, n) AS dep FROM t) WHERE dep IS NOT NULL),
+reach(id, dep) AS (SELECT id, dep FROM d UNION SELECT r.id, d.dep FROM reach r JOIN d ON r.dep = d.id),
+ring AS (SELECT DISTINCT id FROM reach WHERE id = dep),
+wait AS (SELECT DISTINCT r.id FROM reach r LEFT JOIN t ON r.dep = t.id WHERE NOT coalesce(t.done, false))
+SELECT id, id NOT IN (SELECT id FROM wait) AS ready,
+  id IN (SELECT id FROM ring) OR (id IN (SELECT r.id FROM reach r WHERE r.dep IN (SELECT id FROM ring)) AND id IN (SELECT r.dep FROM reach r WHERE r.id IN (SELECT id FROM ring))) AS cyclic FROM t""")
+def lines_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a line of an order may stand in several rows
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("ship"), F.bool_or(F.col("l_linestatus") == "F").alias("done"))
+    lines = lines.withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    # a line waits for the one numbered before it and for the one shipped before it
+    before = F.lag("id").over(Window.partitionBy("l_orderkey").orderBy("ship", "l_linenumber"))
+    deps = lines.where("l_linenumber > 1").select("id", (F.col("id") - 1).alias("dep")).unionByName(lines.select("id", before.alias("dep")))
+    return manifest.readiness(lines.select("id", "done"), deps)
+
+
 # vectors
 
 
@@ -449,6 +467,61 @@ def dir_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.dir_contrast(_pixels(spark, sf_dir), SIGMA, 0.5, 0.2).select("image_id", "x", "y", *_rounded("value"))
 
 
+#: Images of 64 vectors, one below another.
+SIDE = 64
+SHEETS = f"""p AS (
+  SELECT vec_id // {SIDE} AS image_id, CAST(i - 1 AS INTEGER) AS x, CAST(vec_id % {SIDE} AS INTEGER) AS y, CAST(embedding[i] AS DOUBLE) AS value
+  FROM embeddings, range(1, {SIDE + 1}) r(i))"""
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "v"))
+    return rows.select(F.floor(F.col("vec_id") / SIDE).alias("image_id"), "x", (F.col("vec_id") % SIDE).cast("int").alias("y"), F.col("v").cast("double").alias("value"))
+
+
+@query(f"WITH {SHEETS}, {_convolution('c', 'p', images.gaussian(1.0))} SELECT image_id, x, y, round(value, 6) AS value FROM c")
+def tiled_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kernel = images.gaussian(1.0)
+    return pyramids.tiled(_sheets(spark, sf_dir), 16, 5, pyramids.convolve(kernel), margin=3).select("image_id", "x", "y", *_rounded("value"))
+
+
+@query(f"""
+WITH {SHEETS}, l1 AS (SELECT image_id, x // 2 AS x, y // 2 AS y, sum(value) / 2 AS ll, sum(CASE x % 2 WHEN 0 THEN value ELSE -value END) / 2 AS hl, sum(CASE y % 2 WHEN 0 THEN value ELSE -value END) / 2 AS lh, sum(CASE (x + y) % 2 WHEN 0 THEN value ELSE -value END) / 2 AS hh FROM p GROUP BY ALL),
+l2 AS (SELECT image_id, x // 2 AS x, y // 2 AS y, sum(ll) / 2 AS ll, sum(CASE x % 2 WHEN 0 THEN ll ELSE -ll END) / 2 AS hl, sum(CASE y % 2 WHEN 0 THEN ll ELSE -ll END) / 2 AS lh, sum(CASE (x + y) % 2 WHEN 0 THEN ll ELSE -ll END) / 2 AS hh FROM l1 GROUP BY ALL),
+l3 AS (SELECT image_id, x // 2 AS x, y // 2 AS y, sum(ll) / 2 AS ll, sum(CASE x % 2 WHEN 0 THEN ll ELSE -ll END) / 2 AS hl, sum(CASE y % 2 WHEN 0 THEN ll ELSE -ll END) / 2 AS lh, sum(CASE (x + y) % 2 WHEN 0 THEN ll ELSE -ll END) / 2 AS hh FROM l2 GROUP BY ALL),
+u AS (SELECT image_id, 1 AS level, unnest(['hl', 'lh', 'hh']) AS band, unnest([hl, lh, hh]) AS value FROM l1 UNION ALL SELECT image_id, 2, unnest(['hl', 'lh', 'hh']), unnest([hl, lh, hh]) FROM l2 UNION ALL SELECT image_id, 3, unnest(['ll', 'hl', 'lh', 'hh']), unnest([ll, hl, lh, hh]) FROM l3)
+SELECT image_id, CAST(level AS INTEGER) AS level, band, count(*) AS n, round(sum(value * value), 6) AS energy, round(avg(abs(value)), 6) AS l1 FROM u GROUP BY ALL""")
+def haar_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pyramids.haar(_sheets(spark, sf_dir), 3).groupBy("image_id", "level", "band")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * F.col("value")).alias("energy"), F.avg(F.abs("value")).alias("l1")).select("image_id", "level", "band", "n", *_rounded("energy", "l1"))
+
+
+def _similarity_sql() -> str:
+    line = ", ".join(f"({i}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(pyramids.window().tolist()))
+    c1, c2 = 0.01**2, 0.03**2
+    out = [f"""q AS (SELECT a.image_id, a.x, a.y, a.value AS a, b.value AS b FROM p a JOIN p b ON a.image_id = b.image_id AND a.y = b.y AND b.x = {SIDE - 1} - a.x),
+whole AS (SELECT image_id FROM p GROUP BY image_id HAVING count(*) = {SIDE * SIDE}), k(i, w) AS (VALUES {line}), s0 AS (SELECT * FROM q WHERE image_id IN (FROM whole))"""]
+    for s in range(3):
+        side = SIDE >> s
+        out.append(f"""h{s} AS (SELECT image_id, x - i AS x, y, sum(w * a) AS a, sum(w * b) AS b, sum(w * a * a) AS aa, sum(w * b * b) AS bb, sum(w * a * b) AS ab FROM s{s}, k WHERE x - i BETWEEN 0 AND {side - 11} GROUP BY ALL),
+m{s} AS (SELECT image_id, x, y - i AS y, sum(w * a) AS a, sum(w * b) AS b, sum(w * aa) AS aa, sum(w * bb) AS bb, sum(w * ab) AS ab FROM h{s}, k WHERE y - i BETWEEN 0 AND {side - 11} GROUP BY ALL),
+t{s} AS (SELECT image_id, avg((2 * (ab - a * b) + {c2}) / (aa - a * a + bb - b * b + {c2})) AS part, avg((2 * (ab - a * b) + {c2}) / (aa - a * a + bb - b * b + {c2}) * (2 * a * b + {c1}) / (a * a + b * b + {c1})) AS whole FROM m{s} GROUP BY image_id),
+s{s + 1} AS (SELECT image_id, x // 2 AS x, y // 2 AS y, avg(a) AS a, avg(b) AS b FROM s{s} GROUP BY ALL)""")
+    w = [x / sum(pyramids.SCALES[:3]) for x in pyramids.SCALES[:3]]
+    return f"""WITH {SHEETS}, {", ".join(out)}
+SELECT t0.image_id, round(t0.whole, 6) AS ssim, round(pow(greatest(t0.part, 0), {w[0]!r}) * pow(greatest(t1.part, 0), {w[1]!r}) * pow(greatest(t2.whole, 0), {w[2]!r}), 6) AS ms_ssim
+FROM t0 JOIN t1 ON t0.image_id = t1.image_id JOIN t2 ON t0.image_id = t2.image_id"""
+
+
+@query(_similarity_sql())
+def multi_scale_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / SIDE).alias("image_id"), "vec_id", "embedding")
+    lines = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    sheets = rows.groupBy("image_id").agg(lines.alias("l")).where(F.size("l") == SIDE)
+    both = sheets.select("image_id", F.flatten("l.embedding").alias("a"), F.flatten(F.transform("l.embedding", lambda v: F.reverse(v))).alias("b"))
+    return pyramids.ms_ssim(both, "image_id", "a", "b", SIDE, scales=3).select("image_id", *_rounded("ssim", "ms_ssim"))
+
+
 @query(f"""WITH {PIXELS} SELECT image_id, CAST(x // 4 AS INTEGER) AS tile_x, CAST(y // 4 AS INTEGER) AS tile_y, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM p GROUP BY ALL""")
 def tile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.tiles(_pixels(spark, sf_dir), 4).select("image_id", "tile_x", "tile_y", "n", *_rounded("mean", "low", "high"))

@@ -39,3 +39,19 @@ def shared_path(spark: SparkSession, kind: str) -> str:
         top = tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: its lineage ends there. ``forgotten`` deletes it."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` wrote and nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

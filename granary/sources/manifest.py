@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.session import forgotten, kept
+
 SCHEMA = "id string, source string, task string, input string, target string, style string, license string, weight double, split string, redistributable boolean"
 
 
@@ -82,3 +84,37 @@ def ready(tasks: DataFrame) -> DataFrame:
 def gated(rows: DataFrame, key: str, good: Column, least: int) -> DataFrame:
     """Keys with at least so many good rows, and their count (FLT-09)."""
     return rows.where(good).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def readiness(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """id, ready, cyclic of each task of ``tasks`` (id, done) under ``deps`` (id, dep), followed to the end (JOIN-11).
+
+    A task is ready if everything it depends on, directly or not, is done; a null ``done`` and an unknown task are not. It is cyclic if it lies on a cycle
+    of dependencies, or on a way from one cycle to another. Tasks with an open dependency are found level by level, each level joined to the dependencies and
+    to nothing it has met before; cycles by taking away, again and again, dependencies whose ends do not go on. Levels are written, and as many as the longest chain.
+    Repeated tasks count as one, done if any of them is; null ids have no dependencies, and rows of ``deps`` with a null end are left out.
+    """
+    tasks = tasks.groupBy("id").agg(F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
+    edges = kept(deps.select("id", "dep").where("id IS NOT NULL AND dep IS NOT NULL").distinct(), "tasks")
+    done = tasks.where("done").select(F.col("id").alias("dep"))
+    level = kept(edges.join(done, "dep", "left_anti").select("id").distinct(), "tasks")
+    waiting = [level]
+    while not level.isEmpty():
+        met = waiting[0]
+        for x in waiting[1:]:
+            met = met.unionByName(x)
+        level = kept(edges.join(level.withColumnRenamed("id", "dep"), "dep", "left_semi").select("id").distinct().join(met, "id", "left_anti"), "tasks")
+        waiting.append(level)
+    rest, before = edges, None
+    while (n := rest.count()) != before:
+        ends = rest.select(F.col("dep").alias("id")).distinct(), rest.select(F.col("id").alias("dep")).distinct()
+        fewer = kept(rest.join(ends[0], "id", "left_semi").join(ends[1], "dep", "left_semi"), "tasks")
+        if rest is not edges:
+            forgotten(rest)
+        rest, before = fewer, n
+    met = waiting[0]
+    for x in waiting[1:]:
+        met = met.unionByName(x)
+    ring = rest.select("id").distinct().withColumn("cyclic", F.lit(True))
+    out = tasks.join(met.withColumn("waits", F.lit(True)), "id", "left").join(ring, "id", "left")
+    return out.select("id", F.col("waits").isNull().alias("ready"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
