@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import keep, small
 
 #: Words of benchmark text that are broadcast at once (about 40 bytes a word).
 BLOCK_WORDS = 2_000_000
@@ -134,7 +133,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, min_match: int = 5
     found = []
     for block in _blocks(benchmark, min_match, block_words):
         shared = spark.sparkContext.broadcast(block)
-        found.append(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_run(shared, min_match, coverage), schema))
+        find = _finder(shared, min_match, coverage)
+
+        def run(batches, find=find):
+            for batch in batches:
+                rows = [(batch.column(0)[i].as_py(), *more) for i, *more in find(batch.column(1))]
+                if rows:
+                    columns = list(zip(*rows, strict=True))
+                    kinds = [pa.int64()] * 5 + [pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_words", "n_covered", "n_tiles", "coverage"])
+
+        found.append(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema))
     if not found:
         return spark.createDataFrame([], schema)
     out = found[0]
@@ -171,7 +180,9 @@ def _hopeful(block: _Block, windows: np.ndarray, limits: np.ndarray, k: int, lea
             yield from zip(of[head][good].tolist(), item[head][good].tolist(), strict=True)
 
 
-def _run(shared, k: int, least: float):
+def _finder(shared, k: int, least: float):
+    """A function that gives (place, item_id, n_words, n_covered, n_tiles, coverage) of the texts of an array that contain an item."""
+
     def compared(block: _Block, item: int, words: np.ndarray, windows: np.ndarray):
         """The tiles of a text and an item, each equal word by word."""
         own, _ = rolled(block.of(item), np.array([0, block.sizes[item]]), k)
@@ -185,32 +196,39 @@ def _run(shared, k: int, least: float):
             same &= words[at + j] == block.of(item)[place + j]
         return tile(np.stack((at[same], place[same]), axis=1), k) if same.any() else []
 
-    def run(batches):
+    def find(texts: pa.Array) -> Iterator[tuple]:
         block = shared.value
-        for batch in batches:
-            rows = []
-            names = batch.column(0)
-            for low, words, first in _words(batch.column(1)):
-                for t in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < k)) if block.short else ():
-                    for item in block.short.get(words[first[t] : first[t + 1]].tobytes(), ()):
-                        n = int(block.sizes[item])
-                        rows.append((names[low + int(t)].as_py(), int(block.ids[item]), n, n, 1, 1.0))
-                windows, limits = rolled(words, first, k)
-                for t, item in _hopeful(block, windows, limits, k, least) if len(windows) else ():
+        for low, words, first in _words(texts):
+            for t in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < k)) if block.short else ():
+                for item in block.short.get(words[first[t] : first[t + 1]].tobytes(), ()):
                     n = int(block.sizes[item])
-                    tiles = compared(block, item, words[first[t] : first[t + 1]], windows[limits[t] : limits[t + 1]])
-                    covered = sum(x[2] for x in tiles)
-                    if covered and covered >= least * n:
-                        rows.append((names[low + t].as_py(), int(block.ids[item]), n, covered, len(tiles), covered / n))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_words", "n_covered", "n_tiles", "coverage"])
-
-    return run
-
-
-def decontaminated(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The documents without those that contain an item, with all their columns; rows with a null doc_id stay."""
-    leaks = contamination(documents, benchmark, **parameters).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__leak")).distinct()
-    return documents.join(small(keep(leaks)), F.col("doc_id") == F.col("__leak"), "left_anti")
+                    yield low + int(t), int(block.ids[item]), n, n, 1, 1.0
+            windows, limits = rolled(words, first, k)
+            for t, item in _hopeful(block, windows, limits, k, least) if len(windows) else ():
+                n = int(block.sizes[item])
+                tiles = compared(block, item, words[first[t] : first[t + 1]], windows[limits[t] : limits[t + 1]])
+                covered = sum(x[2] for x in tiles)
+                if covered and covered >= least * n:
+                    yield low + t, int(block.ids[item]), n, covered, len(tiles), covered / n
+
+    return find
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without those that contain an item, with all their columns.
+
+    Each row goes or stays by its own text, in the task that reads it: null and repeated ids change nothing, and no column of another name is made. Where
+    the benchmark has several blocks, the rows pass by one after another.
+    """
+    at, schema = documents.columns.index("text"), documents.schema
+    for block in _blocks(benchmark, min_match, block_words):
+        find = _finder(documents.sparkSession.sparkContext.broadcast(block), min_match, coverage)
+
+        def run(batches, find=find):
+            for batch in batches:
+                keep_ = np.ones(batch.num_rows, bool)
+                keep_[[i for i, *_ in find(batch.column(at))]] = False
+                yield batch.filter(pa.array(keep_))
+
+        documents = documents.mapInArrow(run, schema)
+    return documents

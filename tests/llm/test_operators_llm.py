@@ -438,7 +438,10 @@ def test_reordered_passage_is_found(spark):
     rows = tiling.contamination(docs, bench, block_words=1).collect()
     assert sorted((r["doc_id"] or 0, r["item_id"], r["n_covered"]) for r in rows) == [(0, 7, 40), (0, 7, 40), (1, 7, 40), (1, 7, 40), (2, 7, 40), (2, 7, 40)]
     out = tiling.decontaminated(docs, bench)
-    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "4", "5", "None"]
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "4", "5"]
+    # each row goes by its own text
+    rows = spark.createDataFrame([(None, "x", item, 1), (1, "y", "clean words", 2), (1, "z", item, 3), (None, None, None, 4)], "doc_id long, __leak string, text string, item_id int")
+    assert sorted(r["item_id"] for r in tiling.decontaminated(rows.repartition(2), bench, block_words=1).collect()) == [2, 4]
     assert tiling.contamination(docs, bench.where("false")).count() == 0 and tiling.contamination(docs.where("false"), bench).count() == 0
 
 
