@@ -112,6 +112,25 @@ def power_spectrum(rows: DataFrame, id_col: str, vector: str, width: int) -> Dat
     return rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), vector).mapInArrow(run, "image_id long, u int, v int, power double")
 
 
+def radial(spectrum: DataFrame, width: int, height: int, rings: int | None = None) -> DataFrame:
+    """image_id, ring, n, power: the mean power of a spectrum (image_id, u, v, power) by distance from the constant frequency, in ``rings`` even steps up to the shorter side's half (AGG-20).
+
+    Frequencies beyond the middle are negative ones; those in the corners, beyond the last ring, are left out, as is the constant one. One shuffle with partial means.
+    """
+    rings = rings or min(width, height) // 2
+    folded = lambda c, n: F.least(F.col(c), F.lit(n) - F.col(c)) / F.lit(float(n))
+    at = F.hypot(folded("u", width), folded("v", height))
+    ring = F.ceil(at * 2 * rings - 1e-9).cast("int")
+    return spectrum.withColumn("ring", ring).where(F.col("ring").between(1, rings)).groupBy("image_id", "ring").agg(F.count(F.lit(1)).alias("n"), F.avg("power").alias("power"))
+
+
+def radial_correlation(one: DataFrame, two: DataFrame, width: int, height: int, rings: int | None = None) -> DataFrame:
+    """image_id, correlation of the logarithms of two spectra's rings (AGG-20); rings without power have none, and images with fewer than two such rings a null."""
+    a, b = radial(one, width, height, rings), radial(two, width, height, rings).select("image_id", "ring", F.col("power").alias("other"))
+    both = a.join(b, ["image_id", "ring"]).where("power > 0 AND other > 0")
+    return both.groupBy("image_id").agg(F.corr(F.log("power"), F.log("other")).alias("correlation"))
+
+
 def spectrum_correlation(one: DataFrame, two: DataFrame) -> DataFrame:
     """image_id, correlation of two power spectra over their frequencies, the constant one left out (AGG-20)."""
     at = ["image_id", "u", "v"]

@@ -137,9 +137,13 @@ def manifest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.with_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+@query("""
+WITH b AS (SELECT sha256(text) AS key, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS bucket FROM documents WHERE text IS NOT NULL)
+SELECT count(*) AS n FROM (SELECT key FROM b GROUP BY key HAVING count(DISTINCT CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'val' ELSE 'test' END) > 1)""")
 def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.overlap(manifest_split(spark, sf_dir), "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # splits go by document: copies of a text may stand in several
+    texts = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("key"))
+    return manifest.overlap(manifest.with_split(texts, "doc_id"), "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS weight FROM documents GROUP BY ROLLUP (source, lang)")
@@ -244,8 +248,7 @@ def ode_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_by_element("1 + 0.7 * a + 0.3 * b"))
 def style_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = vectors.interpolate(F.col("x0"), F.col("x1"), F.lit(0.3))
-    return _elements(_paired(spark, sf_dir), F.transform(mixed, lambda v: v + 1))
+    return _elements(_paired(spark, sf_dir), F.transform(layers.blended(F.col("x0"), F.col("x0"), F.col("x1"), 0.3), lambda v: v + 1))
 
 
 @query("""
@@ -549,6 +552,31 @@ def nps_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.power_spectrum(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", WIDTH).select("image_id", "u", "v", *_rounded("power"))
 
 
+def _spectrum_sql(name: str, value: str) -> str:
+    turn = f"2 * pi() * (u * x + v * y) / {WIDTH}"
+    return f"{name} AS (SELECT image_id, u, v, (pow(sum({value} * cos({turn})), 2) + pow(sum({value} * sin({turn})), 2)) / {WIDTH * WIDTH} AS power FROM p, f GROUP BY image_id, u, v)"
+
+
+FREQUENCIES = f"f AS (SELECT CAST(a AS INTEGER) AS u, CAST(b AS INTEGER) AS v FROM range(0, {WIDTH}) s(a), range(0, {WIDTH}) t(b))"
+RING = f"CAST(ceil(sqrt(pow(least(u, {WIDTH} - u), 2) + pow(least(v, {WIDTH} - v), 2)) / {WIDTH}.0 * {WIDTH} - 1e-9) AS INTEGER)"
+
+
+@query(f"""WITH {PIXELS}, {FREQUENCIES}, {_spectrum_sql("s", "value")}, r AS (SELECT *, {RING} AS ring FROM s)
+SELECT image_id, ring, count(*) AS n, round(avg(power), 6) AS power FROM r WHERE ring BETWEEN 1 AND {WIDTH // 2} GROUP BY image_id, ring""")
+def radial_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spectrum = images.power_spectrum(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", WIDTH)
+    return images.radial(spectrum, WIDTH, WIDTH).select("image_id", "ring", "n", *_rounded("power"))
+
+
+@query(f"""WITH {PIXELS}, {FREQUENCIES}, {_spectrum_sql("s", "value")}, {_spectrum_sql("t", "abs(value)")}, r AS (SELECT *, {RING} AS ring FROM s), q AS (SELECT *, {RING} AS ring FROM t),
+a AS (SELECT image_id, ring, avg(power) AS power FROM r WHERE ring BETWEEN 1 AND {WIDTH // 2} GROUP BY ALL), b AS (SELECT image_id, ring, avg(power) AS power FROM q WHERE ring BETWEEN 1 AND {WIDTH // 2} GROUP BY ALL)
+SELECT a.image_id, round(corr(ln(a.power), ln(b.power)), 5) AS correlation FROM a JOIN b ON a.image_id = b.image_id AND a.ring = b.ring GROUP BY a.image_id""")
+def spectrum_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.transform("embedding", lambda v: F.abs(v)).alias("other"))
+    one, two = (images.power_spectrum(rows, "vec_id", c, WIDTH) for c in ("embedding", "other"))
+    return images.radial_correlation(one, two, WIDTH, WIDTH).select("image_id", *_rounded("correlation", digits=5))
+
+
 @query(f"""WITH {PIXELS}, d AS (SELECT *, CAST('0x' || substr(md5('0:' || CAST(image_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.5 AS f, CAST('0x' || substr(md5('1:' || CAST(image_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.3 AS s FROM p)
 SELECT image_id, CASE WHEN f THEN CAST({WIDTH - 1} - x AS INTEGER) ELSE x END AS x, y, round(CASE WHEN s THEN value * 2 ELSE value END, 6) AS value FROM d""")
 def augment_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from granary.plans.checks import facts
 from granary.queries import QUERIES
 
-PYTHON = {"strict_anchors", "nearest_search", "ot_pairing", "nps_spectrum", "grain", "fid_labels", "kid_labels", "stream_progress", "stream_windows", "structural_similarity", "spline_map", "ode_adaptive", "entropic_coupling", "tiled_blur", "multi_scale_similarity"}
+PYTHON = {"strict_anchors", "nearest_search", "ot_pairing", "nps_spectrum", "grain", "fid_labels", "kid_labels", "stream_progress", "stream_windows", "structural_similarity", "spline_map", "ode_adaptive", "entropic_coupling", "tiled_blur", "multi_scale_similarity", "radial_spectrum", "spectrum_match"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON - {"tasks_ready", "split_overlap"}))

@@ -103,3 +103,22 @@ def test_a_long_chain_and_a_bridge(spark):
     got = {r["id"]: r for r in manifest.readiness(tasks, spark.createDataFrame(deps, "id long, dep long")).collect()}
     assert not any(got[i]["ready"] for i in range(1, 13)) and got[0]["ready"] and got[13]["ready"]
     assert [i for i in got if got[i]["cyclic"]].__len__() == 5 and got[22]["cyclic"]
+
+
+def test_radial_spectrum(spark):
+    h, w = 16, 16
+    y, x = np.mgrid[0:h, 0:w]
+    waves = [np.cos(2 * np.pi * 3 * x / w), np.cos(2 * np.pi * (3 * x + 4 * y) / w), np.random.default_rng(4).standard_normal((h, w)), np.zeros((h, w))]
+    rows = spark.createDataFrame([(i, c.ravel().tolist()) for i, c in enumerate(waves)] + [(9, None)], "id long, v array<double>")
+    spectrum = images.power_spectrum(rows, "id", "v", w)
+    got = {}
+    for r in images.radial(spectrum, w, h).collect():
+        got.setdefault(r["image_id"], {})[r["ring"]] = (r["n"], r["power"])
+    assert max(got[0], key=lambda k: got[0][k][1]) == 3 and max(got[1], key=lambda k: got[1][k][1]) == 5 and 9 not in got
+    power = np.abs(np.fft.fft2(waves[2])) ** 2 / (h * w)
+    f = np.hypot(*np.meshgrid(np.fft.fftfreq(w), np.fft.fftfreq(h)))
+    ring = np.ceil(f * 16 - 1e-9)
+    for k in range(1, 9):
+        assert got[2][k] == ((ring == k).sum(), pytest.approx(power[ring == k].mean()))
+    same = {r["image_id"]: r["correlation"] for r in images.radial_correlation(spectrum, spectrum.withColumn("power", 3 * F.col("power")), w, h).collect()}
+    assert same[2] == pytest.approx(1) and same.get(3) is None
