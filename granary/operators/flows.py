@@ -24,6 +24,9 @@ STAGES = (
 )
 FOURTH = (5179 / 57600, 0.0, 7571 / 16695, 393 / 640, -92097 / 339200, 187 / 2100, 1 / 40)
 
+#: Rows whose potentials (8 bytes each) may be broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
+
 #: velocity(x, t, parameters): x has a row for each state, t and the parameters an entry for each.
 Velocity = Callable[[np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray]
 
@@ -128,8 +131,8 @@ def entropic(pairs: DataFrame, batch: str, id_col: str, x0: str, x1: str, epsilo
     x1 gets most of it (ties: the least id), ``drawn`` that share, and ``target`` the mean of x1 under it. Rows without either vector or an id are left out.
 
     The two potentials are scaled in turn, in the log domain: a step is a soft minimum of costs less the other side's potential, summed by numpy within pairs of blocks of at most ``block`` rows
-    and by an aggregate over the blocks, so that no task ever holds a batch. What is written at each step is one potential, a number for each row. Work is
-    quadratic in the rows of a batch, as the coupling is; it is linear in the number of batches. A batch that has not come within the tolerance after ``most`` rounds raises.
+    and by an aggregate over the blocks, so that no task ever holds a batch. The pairs of blocks are written once; what is written at each step is one potential, a number for
+    each row, which is broadcast to them if there are no more than ``BROADCAST_ROWS``. Work is quadratic in the rows of a batch, as the coupling is; it is linear in the number of batches. A batch that has not come within the tolerance after ``most`` rounds raises.
     """
     rows = pairs.where(F.col(x0).isNotNull() & F.col(x1).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(batch).alias("batch"), F.col(id_col).cast("long").alias("id"), F.transform(x0, lambda v: v.cast("double")).alias("a"), F.transform(x1, lambda v: v.cast("double")).alias("b"))
@@ -141,7 +144,9 @@ def entropic(pairs: DataFrame, batch: str, id_col: str, x0: str, x1: str, epsilo
     blocks = rows.groupBy("batch", "n", "block").agg(cells.alias("cells"))
     blocks = kept(blocks.select("batch", "n", "block", F.col("cells.id").alias("ids"), F.col("cells.a").alias("a"), F.col("cells.b").alias("b")), "coupling")
     source, target = blocks.select("batch", "n", "block", "ids", "a"), blocks.select(F.col("batch").alias("other_batch"), F.col("block").alias("other_block"), F.col("ids").alias("other_ids"), "b")
-    both = source.join(target, F.col("batch").eqNullSafe(F.col("other_batch")))
+    both = kept(source.join(target, F.col("batch").eqNullSafe(F.col("other_batch"))), "coupling")
+    total_rows = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
+    sent = F.broadcast if total_rows <= BROADCAST_ROWS else lambda df: df
 
     def step(own: str, other: str, shape: tuple[str, str]) -> Callable:
         """Soft minima of one pair of blocks for the side ``own``."""
@@ -165,7 +170,7 @@ def entropic(pairs: DataFrame, batch: str, id_col: str, x0: str, x1: str, epsilo
         given = potential.select(F.col("batch").alias("at"), F.col("block").alias("at_block"), "potential")
         batch_of, block_of = ("batch", "block") if own == "a" else ("other_batch", "other_block")
         from_batch, from_block = ("other_batch", "other_block") if own == "a" else ("batch", "block")
-        pairs_ = both.join(given, F.col(from_batch).eqNullSafe(F.col("at")) & (F.col(from_block) == F.col("at_block")))
+        pairs_ = both.join(sent(given), F.col(from_batch).eqNullSafe(F.col("at")) & (F.col(from_block) == F.col("at_block")))
         kind = pairs.schema[batch].dataType.simpleString()
         parts = pairs_.select("a", "b", "n", "potential", batch_of, block_of).mapInArrow(step(own, "", (batch_of, block_of)), f"batch {kind}, block long, part array<double>")
         total = _softest(F.collect_list("part"))
@@ -179,7 +184,7 @@ def entropic(pairs: DataFrame, batch: str, id_col: str, x0: str, x1: str, epsilo
         off = None
         if f is not None:
             old = f.select(F.col("batch").alias("at"), F.col("block").alias("at_block"), F.col("potential").alias("old"))
-            gaps = new.join(old, F.col("batch").eqNullSafe(F.col("at")) & (F.col("block") == F.col("at_block")))
+            gaps = new.join(sent(old), F.col("batch").eqNullSafe(F.col("at")) & (F.col("block") == F.col("at_block")))
             off = gaps.agg(F.max(F.array_max(F.zip_with("potential", "old", lambda x, y: F.abs(F.exp((y - x) / epsilon) - 1))))).first()[0]
             forgotten(f)
         f = new
@@ -209,8 +214,8 @@ def entropic(pairs: DataFrame, batch: str, id_col: str, x0: str, x1: str, epsilo
     kind = pairs.schema[batch].dataType.simpleString()
     one = f.select(F.col("batch").alias("f_batch"), F.col("block").alias("f_block"), F.col("potential").alias("f"))
     two = g.select(F.col("batch").alias("g_batch"), F.col("block").alias("g_block"), F.col("potential").alias("g"))
-    held = both.join(one, F.col("batch").eqNullSafe(F.col("f_batch")) & (F.col("block") == F.col("f_block")))
-    held = held.join(two, F.col("other_batch").eqNullSafe(F.col("g_batch")) & (F.col("other_block") == F.col("g_block")))
+    held = both.join(sent(one), F.col("batch").eqNullSafe(F.col("f_batch")) & (F.col("block") == F.col("f_block")))
+    held = held.join(sent(two), F.col("other_batch").eqNullSafe(F.col("g_batch")) & (F.col("other_block") == F.col("g_block")))
     shares = held.select("batch", "n", "ids", "other_ids", "a", "b", "f", "g").mapInArrow(ended, f"batch {kind}, id long, potential double, mass double, cost double, drawn double, partner long, target array<double>")
     top = F.max(F.struct("drawn", (-F.col("partner")).alias("partner")))
     summed = F.aggregate(F.collect_list("target"), F.transform(F.first("target"), lambda _: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
