@@ -213,6 +213,41 @@ def test_clusters_decide_without_telling_names():
     assert "link 3" in html.main_text(page, threshold=0.0) and "link 3" in html.main_text(page, sigma=30.0)
 
 
+def test_clusters_decide_on_the_tables(spark, data):
+    """With tags and names of no meaning the clusters find the articles; without threshold or with smoothed-out ratios they do not."""
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    right = [html.main_text(page) for page in pages]
+    assert np.mean([html.main_text(page, threshold=t) != text for page, text in zip(pages, right) for t in (0.0, 3.0)]) > 0.9
+    plain = [re.sub(r"<(/?)(article|main|nav|aside|header|footer|form)\b", r"<\1div", re.sub(r'\s(class|id)="[^"]*"', "", page)) for page in pages]
+
+    def scores(**parameters):
+        out = []
+        for page, text in zip(plain, right):
+            got, want = Counter(html.main_text(page, **parameters).split("\n")), Counter(text.split("\n"))
+            out.append(2 * (got & want).total() / (got.total() + want.total()))
+        return np.array(out)
+
+    usual = scores()
+    assert usual.mean() >= 0.95 and (usual == 1).mean() >= 0.7
+    for worse in (scores(threshold=0.0), scores(sigma=8.0)):
+        assert worse.mean() < 0.8 and (worse < usual).mean() > 0.5
+
+
+@pytest.mark.parametrize("markup", ["<a", "</a", "<!--", "<!-- a --", "<![if", "<?x", '<a b="', "&#", "<div><a>", "<h2>x</h2><div>"])
+def test_malformed_pages_are_linear(markup):
+    import time
+
+    began = time.perf_counter()
+    assert html.main_text("<p>hello there</p>" + markup * (200_000 // len(markup))).startswith("hello there")
+    assert time.perf_counter() - began < 4
+
+
+def test_markup_without_an_end():
+    assert html.main_text("<p>one</p><!-- abc <p>more") == "one"
+    assert html.main_text('<p>one</p><script>"<!--"</script><p>two') == "one\ntwo"
+    assert html.main_text("<p>one</p><p>two <a href='x") == "one\ntwo"
+
+
 def test_names_of_an_article_mean_no_layout():
     inner = '<h2 id="navigation">N</h2><section class="side-effects"><p>one</p></section><p class="share-price">two</p><div class="comment-list"><p>bad</p></div><div class="ad">bad</div>'
     assert html.main_text(f"<body><article><p>zero</p>{inner}</article><div class='cookie-notice'>bad</div></body>") == "zero\nN\none\ntwo"
