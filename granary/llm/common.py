@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Open scratch scopes of this driver, the innermost last.
+_scratch: list[list[DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts: spark.checkpoint.dir, or where that is unset (local tests) a temporary one."""
     sc = spark.sparkContext
@@ -28,19 +33,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write a table that is read more than once and read it back: its lineage ends in the shared folder."""
+    """Write a table that is read more than once and read it back: its lineage ends in the shared folder. A scope of ``scratch`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``keep`` writes within are deleted at the end; what is to outlive them is written by then to a table kept outside."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        forget(*_scratch.pop())
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until ``df`` has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
     return out
 
 
-def located(df: DataFrame) -> DataFrame | None:
-    """``df`` with __file and __row, the place of each row in the files it is read from, or None if it is not a plain file table."""
+def located(df: DataFrame, file: str = "__file", row: str = "__row") -> DataFrame | None:
+    """``df`` with the place of each row in the files it is read from, or None if it is not a plain file table."""
     try:
-        return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        return df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     except AnalysisException:
         return None
 

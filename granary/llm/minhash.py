@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import components, forget, keep, map_batches, small
+from granary.llm.common import components, forget, free, keep, located, map_batches, small
 
 UNIVERSE = 1 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -262,10 +262,30 @@ def near_duplicates(
 
 
 def deduplicated(documents: DataFrame, **parameters) -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns; one document of each group stays.
+    """The documents that near_duplicates keeps, with all their columns; one document of each group stays, that of the smallest doc_id.
 
-    Rows with a null doc_id stay. Of rows that repeat a kept doc_id all stay: they are one document.
+    Each row goes by its own text. Where ids are null or repeated, such rows (but the first of each
+    id) have a key made of their place in the files instead, larger than ids, so that rows with an id stay before them; what is not
+    read from files is written first. Texts without words are linked with nothing and stay.
     """
-    decided = near_duplicates(documents, **parameters)
-    dropped = decided.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return documents.join(small(keep(dropped)), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    names = documents.columns
+    dropped, file, row, key = free(documents, "__dropped", "__file", "__row", "__key")
+    doc = F.col("doc_id").cast("long")
+    odd = keep(documents.groupBy(doc.alias("odd")).agg(F.count(F.lit(1)).alias("rows")).where("odd IS NULL OR rows > 1"))
+    if odd.isEmpty():
+        table = documents.withColumn(key, doc)
+    else:
+        table = located(documents, file, row)
+        if table is None:
+            table = located(keep(documents), file, row)
+        ids = small(odd).select("odd")
+        of = F.col("doc_id").cast("long")
+        firsts = table.select(of.alias("id"), F.struct(file, row).alias("place")).join(ids, F.col("id") == F.col("odd"), "left_semi")
+        firsts = firsts.groupBy("id").agg(F.min("place").alias("first")).select(F.col("id").alias(f"{key}_id"), F.col("first").alias(f"{key}_first"))
+        firsts = small(keep(firsts))
+        made = F.xxhash64(file, row).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        other = of.isNull() | (F.col(f"{key}_first") != F.struct(file, row))
+        table = table.join(firsts, of == F.col(f"{key}_id"), "left").withColumn(key, F.when(other, made).otherwise(of))
+    decided = near_duplicates(table.select(F.col(key).alias("doc_id"), "text"), **parameters)
+    gone = keep(decided.where(~F.col("kept")).select(F.col("doc_id").alias(dropped)).distinct())
+    return table.join(small(gone), F.col(key) == F.col(dropped), "left_anti").select(*[F.col(f"`{c}`") for c in names])

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import keep, located
+from granary.llm.common import free, keep, located
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
@@ -132,12 +132,14 @@ def mixed(documents: DataFrame, **parameters) -> DataFrame:
     to their positions, and by range. Other tables carry their columns along.
     """
     names = documents.columns
-    table = located(documents)
+    file, row, of_file, of_row, of_id, at = free(documents, "__file", "__row", "__in", "__of", "__id", "__at")
+    own = [F.col(f"`{c}`") for c in names]
+    table = located(documents, file, row)
     if table is None:
-        rows = assigned(documents, carry=names, **parameters).where("copies > 0").select("row", "doc_id", F.explode("positions").alias("__at"))
-        rows = rows.select("row.*", F.col("doc_id").alias("__id"), "__at")
+        rows = assigned(documents, carry=names, **parameters).where("copies > 0").select("row", F.col("doc_id").alias(of_id), F.explode("positions").alias(at))
+        rows = rows.select("row.*", of_id, at)
     else:
-        placed = assigned(table, carry=["__file", "__row"], light=True, **parameters).where("copies > 0")
-        placed = keep(placed.select(F.col("row.__file").alias("__in"), F.col("row.__row").alias("__of"), F.col("doc_id").alias("__id"), F.col("positions").alias("__positions")))
-        rows = table.join(placed, (F.col("__file") == F.col("__in")) & (F.col("__row") == F.col("__of"))).select(*[F.col(f"`{c}`") for c in names], "__id", F.explode("__positions").alias("__at"))
-    return rows.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select(*[F.col(f"`{c}`") for c in names])
+        placed = assigned(table, carry=[file, row], light=True, **parameters).where("copies > 0")
+        placed = keep(placed.select(F.col(f"row.{file}").alias(of_file), F.col(f"row.{row}").alias(of_row), F.col("doc_id").alias(of_id), F.col("positions").alias(at)))
+        rows = table.join(placed, (F.col(file) == F.col(of_file)) & (F.col(row) == F.col(of_row))).select(*own, of_id, F.explode(at).alias(at))
+    return rows.repartitionByRange(at, of_id).sortWithinPartitions(at, of_id).select(*own)

@@ -133,7 +133,8 @@ def in_order(placed: DataFrame) -> DataFrame:
     """``placed`` with slots of each shard in the order of __file and __row: ranks are summed over files and within them."""
     placed = placed.select("doc_id", "size", "text_crc32", "shard", "__file", "__row")
     totals = placed.groupBy("shard", "__file").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    # numbers of files grow in length beyond their padding
+    earlier = Window.partitionBy("shard").orderBy(F.length("__file"), "__file").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("shard", "__file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("shard", "__file").orderBy("__row")) - 1
     return placed.withColumn("within", within).join(starts, ["shard", "__file"]).withColumn("slot", F.col("start") + F.col("within"))
@@ -158,6 +159,9 @@ def _told(out: DataFrame) -> DataFrame:
 
 def sharded(documents: DataFrame, shards: int = SHARDS, groups=None, rounds: int = 12) -> DataFrame:
     """``assign`` with the text of each row; rows of a file table keep their order: in a shard slots follow it."""
+    # the columns of the work alone, so that others cannot clash
+    documents = documents.select("doc_id", "text", *([] if groups is None else [groups.alias("linked")]))
+    groups = None if groups is None else F.col("linked")
     table = located(documents)
     if table is None:
         table = located(keep(documents))

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from granary.llm import common
 
 
 def test_stages_hand_on_documents(spark, data):
@@ -37,7 +38,7 @@ def test_stages_on_odd_rows(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, "s", 0), (None, docs.first()["text"], "en", None, 3), (2, None, "en", "s", 1)], docs.schema)
     docs = docs.union(docs.limit(5)).union(odd)
-    for name in ("size", "shard", "slot", "key", "row", "id", "n", "component", "copies", "at", "positions", "kept", "content"):
+    for name in ("size", "shard", "slot", "key", "row", "id", "n", "component", "copies", "at", "positions", "kept", "content", "__file", "__row", "__in", "__of", "__id", "__at", "__dropped", "__leak", "__key"):
         docs = docs.selectExpr("*", f"'x' AS `{name}`")
     columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -47,6 +48,18 @@ def test_stages_on_odd_rows(spark, data, tmp_path):
     assert last.count() == docs.count() and set(last.columns) >= {"doc_id", "text", "shard", "slot"}
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    with common.scratch():
+        one = common.keep(spark.range(3))
+        with common.scratch():
+            two = common.keep(spark.range(4))
+            assert two.count() == 4
+        assert one.count() == 3 and not Path(two.kept_path).exists()
+    assert not Path(one.kept_path).exists()
+
+
 def test_slots_follow_the_curriculum(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     mixed = corpus_pipeline.keep(dict(corpus_pipeline.STAGES)["mixing"](spark, docs, data))
