@@ -46,7 +46,7 @@ def keep(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Tables that ``keep`` writes within are deleted at the end; what is to outlive them is written by then to a table kept outside."""
+    """Tables that ``keep`` writes within are deleted at the end, but those that ``outlive`` takes out."""
     _scratch.append([])
     try:
         yield
@@ -54,6 +54,13 @@ def scratch() -> Iterator[None]:
         forget(*_scratch.pop())
 
 
+def outlive(table: DataFrame) -> DataFrame:
+    """``table``, which ``keep`` wrote, taken out of the scopes that would delete it."""
+    for scope in _scratch:
+        scope[:] = [one for one in scope if one is not table]
+    return table
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until ``df`` has no column of that name."""
     taken, out = {c.lower() for c in df.columns}, []
