@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run`` writes
 each stage's rows as Parquet to the shared folder, reads them again as the next stage's documents and
-deletes them when that stage is written. The order of the mix is the order of its files and their rows.
+deletes them, and the stage's own tables, when that stage is written. The order of the mix is the order of its files and their rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import minhash, mixing, quality, sharding, tiling
-from granary.llm.common import forget, keep
+from granary.llm.common import forget, keep, outlive, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at 0.8 on five-word shingles the smallest doc_id stays."""
+    """Of each group at 0.8 on five-word shingles the smallest doc_id stays; rows go by their own texts, ids or not."""
     return minhash.deduplicated(docs, k=5, percent=80)
 
 
@@ -55,7 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for _, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir))
+        with scratch():
+            docs = outlive(keep(stage(spark, docs, sf_dir)))
         if before is not None:
             forget(before)
         before = docs
