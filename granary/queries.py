@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import film, paths, vectors
-from granary.operators import flows, images, layers, metrics, pairing, pyramids, scans
+from granary.operators import flows, images, layers, matching, metrics, pairing, pyramids, scans
 from granary.session import table
 from granary.sources import datasets, links, manifest
 from granary.streaming import progress
@@ -262,6 +262,30 @@ def nearest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query()
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in the nearest seven tenths of the lists: these vectors have few clusters. A test holds the recall."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = matching.searched(rows.where("vec_id % 100 = 0"), matching.indexed(rows, "vec_id", "embedding"), "vec_id", "embedding", 5, probes=0.7)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+#: Pairs that are nearest to each other, by all distances.
+MATCHES = """
+WITH q AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT id, vec_id AS other, list_sum(list_transform(range(1, len(v) + 1), lambda i: pow(CAST(v[i] AS DOUBLE) - CAST(embedding[i] AS DOUBLE), 2))) AS distance FROM q, embeddings WHERE vec_id % 100 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS there, row_number() OVER (PARTITION BY other ORDER BY distance, id) AS back, lead(distance) OVER (PARTITION BY id ORDER BY distance, other) AS second FROM d)
+SELECT id, other, round(sqrt(distance), 6) AS distance, round(sqrt(second), 6) AS second FROM r
+WHERE there = 1 AND back = 1 AND (second IS NULL OR sqrt(distance) < 0.98 * sqrt(second))"""
+
+
+@query(MATCHES)
+def mutual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = matching.matched(rows.where("vec_id % 100 = 0"), rows.where("vec_id % 100 <> 0"), "vec_id", "embedding", 0.98, exact=True)
+    return found.select("id", "other", *_rounded("distance", "second"))
+
+
 @query()
 def ot_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = F.floor(F.col("vec_id") / 8)
