@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.session import kept
+
 #: Distinct vectors on which centroids are fitted, and the most lists (centroids are broadcast: 1,024 of 64 numbers are 0.5 MB).
 SAMPLE, MOST_LISTS = 20_000, 1_024
 #: Rows and queries of a tile.
@@ -125,6 +127,7 @@ def searched(queries: DataFrame, index: Index, id_col: str, vector: str, k: int,
 
     found = _best(_tiles(probe(wanted, False), index, k, same), k)
     if exact:
+        found = kept(found, "found")  # k rows a query, read by the bounds, their counts and the result
         reach = found.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("reach"))
         more = wanted.join(reach, "id", "left").select("id", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
         found = _best(found.drop("rank").unionByName(_tiles(probe(more, True), index, k, same)), k)
@@ -189,6 +192,7 @@ def matched(left: DataFrame, right: DataFrame, id_col: str, vector: str, ratio:
     pairs = there.groupBy("id").agg(best.alias("best"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("second"))
     pairs = pairs.select("id", "best.other", F.sqrt("best.distance").alias("distance"), F.sqrt("second").alias("second"))
     pairs = pairs.where(F.col("second").isNull() | (F.col("distance") < ratio * F.col("second")))
+    pairs = kept(pairs, "pairs")
     asked = right.join(pairs.select(F.col("other").alias(id_col)).distinct(), id_col, "left_semi")
     back = searched(asked, indexed(left, id_col, vector), id_col, vector, 1, probes, exact, same=False)
     back = back.select(F.col("id").alias("other"), F.col("other").alias("id"))
