@@ -149,11 +149,13 @@ w AS (SELECT rid, doc_id, regexp_extract_all(low, '{word}') AS words FROM t),
 p(phrase, label) AS (VALUES {phrases}),
 places AS (SELECT rid, label, unnest(list_filter(range(1, len(words) + 1), lambda i: list_slice(words, i, i + len(phrase) - 1) = phrase)) - 1 AS pos FROM w, p),
 base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS found FROM places GROUP BY rid),
-m AS (SELECT label, list_distinct(regexp_extract_all(line, '{word}')) AS tokens FROM (VALUES {templates}) v(label, line)),
-lines AS (SELECT rid, i AS block, list_distinct(regexp_extract_all(parts[i], '{word}')) AS have FROM (SELECT rid, string_split(low, chr(10)) AS parts FROM t), range(1, 100000) r(i) WHERE i <= len(parts)),
-near AS (SELECT rid, block, label, len(list_intersect(have, tokens)) / len(tokens) AS containment FROM lines, m WHERE len(list_intersect(have, tokens)) >= ceil(len(tokens) * 0.8 - 1e-9)),
-top AS (SELECT rid, block, max(containment) AS best FROM near GROUP BY ALL),
-own AS (SELECT n.rid, list(n.label) AS labels, max(best) AS best FROM near n JOIN top ON n.rid = top.rid AND n.block = top.block AND n.containment = top.best GROUP BY n.rid)
+m AS (SELECT label, list_distinct(parts) AS tokens, len(parts) AS span, ceil(len(list_distinct(parts)) * 0.8 - 1e-9) AS needed FROM (SELECT label, regexp_extract_all(line, '{word}') AS parts FROM (VALUES {templates}) v(label, line))),
+likely AS (SELECT rid, words, m.* FROM w, m WHERE len(list_intersect(words, tokens)) >= needed),
+blocks AS (SELECT rid, label, tokens, needed, span, first, list_slice(words, first + 1, first + 2 * span) AS have FROM (SELECT *, unnest(range(0, len(words), span)) AS first FROM likely)),
+near AS (SELECT rid, label, first, first + 2 * span AS beyond, len(list_intersect(have, tokens)) / len(tokens) AS containment FROM blocks WHERE len(list_intersect(have, tokens)) >= needed),
+rivals AS (SELECT a.label, b.label AS other FROM m a, m b WHERE a.label <> b.label AND len(list_intersect(a.tokens, b.tokens)) >= a.needed),
+top AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM near o JOIN rivals r ON r.other = o.label WHERE o.rid = n.rid AND r.label = n.label AND o.containment > n.containment AND o.first < n.beyond AND n.first < o.beyond)),
+own AS (SELECT rid, list(label) AS labels, max(containment) AS best FROM top GROUP BY rid)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(found, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(found, labels))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0::DOUBLE) END AS score
 FROM w LEFT JOIN base ON w.rid = base.rid LEFT JOIN own ON w.rid = own.rid

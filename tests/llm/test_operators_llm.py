@@ -1,6 +1,7 @@
 """Every operator against brute force on the small tables and on edge cases: nulls, empty and long texts, ties, repeats, no rows, clashing columns."""
 
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -436,15 +437,17 @@ def base_scan(text):
 
 
 def own_labels(text):
-    tokens = {label: set(LICENSE_WORD.findall(t.translate(LOWER))) for label, t in license.TEMPLATES}
-    out = set()
-    for line in text.split("\n"):
-        have = set(LICENSE_WORD.findall(line.translate(LOWER)))
-        share = {label: len(have & t) / len(t) for label, t in tokens.items()}
-        best = max(share.values())
-        if best >= 0.8:
-            out |= {label for label, s in share.items() if s == best}
-    return out
+    """Windows of twice a template's words at each of its lengths; a template gives way to a closer one that holds it."""
+    words = LICENSE_WORD.findall(text.translate(LOWER))
+    told = {label: LICENSE_WORD.findall(t.translate(LOWER)) for label, t in license.TEMPLATES}
+    found = []
+    for label, t in told.items():
+        for first in range(0, len(words), len(t)):
+            share = len(set(words[first : first + 2 * len(t)]) & set(t)) / len(set(t))
+            if share >= 0.8:
+                found.append((label, first, first + 2 * len(t), share))
+    holds = lambda a, b: a != b and len(set(told[a]) & set(told[b])) / len(set(told[a])) >= 0.8
+    return {a for a, f, b, s in found if not any(s2 > s and f2 < b and f < b2 and holds(a, a2) for a2, f2, b2, s2 in found)}
 
 
 def test_license_against_brute_force(spark, data, texts):
@@ -462,8 +465,27 @@ def test_license_lines(spark):
     for d, t in [*enumerate(lines), (9, "\n".join(lines)), (10, "")]:
         assert tuple(got[d][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == base_scan(t)
     assert got[3]["labels"] == "bsd" and 0.8 <= got[3]["score"] < 1
-    everything = {(r["doc_id"], r["block"], r["label"]) for r in license.contained(rows).collect()}
-    assert (3, 0, "bsd") in everything and (9, 3, "bsd") in everything
+    everything = {(r["doc_id"], r["label"]) for r in license.contained(rows).collect()}
+    assert (3, "bsd") in everything and (9, "bsd") in everything
+
+
+def test_license_over_line_ends(spark):
+    """Wrapped at any width, behind any comment mark, at any place of a long text: every template is found, the other license beside it too."""
+    told = dict(license.TEMPLATES)
+    rows, want = [], {}
+    for i, (label, text) in enumerate(license.TEMPLATES):
+        for k, (mark, width, lead) in enumerate([("", 24, 0), ("// ", 40, 7), (" * ", 72, 31), ("# ", 60, 4000)]):
+            body = f"{PROSE} " * (lead // 20) + "x " * (lead % 20) + "\n" + "\n".join(mark + line for line in textwrap.wrap(text, width)) + "\n" + PROSE
+            rows.append((10 * i + k, body))
+            want[10 * i + k] = {label}
+    rows.append((-1, told["bsd"] + " " + told["zlib"].replace("damages", "harm")))
+    want[-1] = {"bsd", "zlib"}
+    rows.append((-2, PROSE * 50))
+    want[-2] = set()
+    got = by(license.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for d, t in rows:
+        labels = set(filter(None, got[d]["labels"].split(",")))
+        assert want[d] <= labels and labels == set(filter(None, base_scan(t)[4].split(","))) | own_labels(t), (d, labels)
 
 
 def test_license_edges(edges, nothing):
