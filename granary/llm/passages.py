@@ -160,10 +160,10 @@ def source(documents: DataFrame) -> DataFrame:
 
 
 def line_classes(texts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """content, class, low, high (smallest and largest document) of all lines: equal lines and linked ones are of one class."""
+    """content, class, low, high (smallest and largest document), n (rows) of all lines: equal lines and linked ones are of one class."""
     names = [f"k{j}" for j in range(BANDS)]
     keyed = units.where("level = 1").select("doc", "content", *[F.col("keys")[j].alias(k) for j, k in enumerate(names)])
-    contents = keep(keyed.groupBy("content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(k).alias(k) for k in names]))
+    contents = keep(keyed.groupBy("content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), *[F.min(k).alias(k) for k in names]))
     buckets = contents.select(F.explode(F.array(*names)).alias("key"), F.col("content").alias("id"))
     shared = keep(buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key"))
     members = keep(buckets.join(small(shared), "key"))
@@ -172,21 +172,21 @@ def line_classes(texts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     sets = texts.join(small(wanted), "doc").select("words", "contents")
     sets = keep(map_batches(sets, _sets, "id long, elements array<long>").dropDuplicates(["id"]))
     labels = link(members.join(sets.select("id", F.size("elements").cast("long").alias("n")), "id"), sets, percent)
-    told = contents.select("content", "low", "high")
+    told = contents.select("content", "low", "high", "n")
     if labels is None:
         return told.withColumn("class", F.col("content"))
     told = told.join(labels.select(F.col("node").alias("content"), "component"), "content", "left").withColumn("class", F.coalesce("component", "content"))
-    ends = told.where("component IS NOT NULL").groupBy("class").agg(F.min("low").alias("least"), F.max("high").alias("most"))
-    told = keep(told.join(ends, "class", "left").select("content", "class", F.coalesce("least", "low").alias("low"), F.coalesce("most", "high").alias("high")))
+    ends = told.where("component IS NOT NULL").groupBy("class").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("n").alias("all"))
+    told = keep(told.join(ends, "class", "left").select("content", "class", F.coalesce("least", "low").alias("low"), F.coalesce("most", "high").alias("high"), F.coalesce("all", "n").alias("n")))
     forget(contents, shared, members, wanted, sets)
     return told
 
 
 def line_copies(texts: DataFrame, units: DataFrame, percent: int, within: bool) -> DataFrame:
-    """doc, text, start, size, hub, hub_start of the lines of a class that has a line in an earlier document, the hub."""
+    """doc, text, start, size, hub, hub_start of the lines of a class that has a line in an earlier document, the hub, or (``within``) before them in the same one."""
     classes = line_classes(texts, units, percent)
     lined = units.where("level = 1").select("doc", "text", "start", "size", "content")
-    lined = lined.join(classes if within else classes.where("low < high"), "content").select("doc", "text", "start", "size", "class", F.col("low").alias("hub"))
+    lined = lined.join(classes.where("n > 1" if within else "low < high"), "content").select("doc", "text", "start", "size", "class", F.col("low").alias("hub"))
     firsts = lined.where("doc = hub").groupBy("class").agg(F.min("start").alias("hub_start"))
     return lined.join(firsts, "class").where(_later(within)).select(*HITS)
 

@@ -51,7 +51,7 @@ def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_passage_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated(_table(spark, sf_dir, "documents"))
+    return passages.repeated(_table(spark, sf_dir, "documents"), within=True)
 
 
 def op10_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
