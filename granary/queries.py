@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import film, paths, vectors
 from granary.operators import flows, images, layers, matching, metrics, pairing, pyramids, scans
-from granary.session import table
-from granary.sources import datasets, links, manifest
+from granary.session import shared_path, table
+from granary.sources import arrays, datasets, links, manifest
 from granary.streaming import progress
 
 #: Width of the small images that rows of ``embeddings`` stand for.
@@ -771,6 +771,19 @@ def lab_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", l.alias("l"), a.alias("a"), b.alias("b"), metrics.delta_e76((l, a, b), grey).alias("delta")).select("event_id", *_rounded("l", "a", "b", "delta", digits=4))
 
 
+# array store
+
+
+@query("SELECT vec_id, len(embedding[21:52]) AS n, round(list_sum(list_transform(embedding[21:52], lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings WHERE vec_id IN (SELECT user_id FROM events)")
+def array_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors are stored; of the users' vectors the elements 20 to 51 are read."""
+    path = shared_path(spark, "arrays")
+    arrays.write(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", path, chunk_rows=256)
+    rows = arrays.taken(spark, path, table(spark, sf_dir, "events"), "user_id", 20, 52)
+    total = F.aggregate("elements", F.lit(0.0), lambda t, x: t + x)
+    return rows.select(F.col("key").alias("vec_id"), F.size("elements").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
 # streams
 
 
