@@ -4,6 +4,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -883,3 +884,30 @@ def test_language_edges(edges, nothing):
     assert len(rows) == edges.count()
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2)} == {"und"}
     assert {r["lang_pred"] for r in langid.identify(edges.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_measures_take_bounded_memory():
+    import tracemalloc
+
+    tokenizers = quality._tokenizers(*(Path(p).read_bytes() for p in (quality.PIECES, quality.BYTE_PAIRS)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 400)) for _ in range(1450)] + ["", None]
+    (low, high, data, offsets), *rest = kernels.chunks(pa.array(texts), quality.CHUNK)
+    assert (low, high, rest) == (0, len(texts), [])
+    tracemalloc.start()
+    measures = quality._measured(data, offsets, tokenizers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 28 * len(data), peak / len(data)
+    # a text's measures do not depend on the texts beside it, nor on the slices
+    for i in (0, 799, 1449, 1450):
+        alone = quality._measured(*next(kernels.chunks(pa.array(texts[i : i + 1])))[2:], tokenizers)
+        assert {k: v[i].as_py() for k, v in measures.items()} == {k: v[0].as_py() for k, v in alone.items()}
+
+
+def test_span_hashes_do_not_depend_on_slices(monkeypatch):
+    data = np.frombuffer(b"ab" * 500 + b" c dd  eee", np.uint8)
+    starts, ends, _ = kernels.spans(data, np.array([0, len(data)]))
+    whole = kernels.span_hashes(data, starts, ends)
+    monkeypatch.setattr(kernels, "HASH_BYTES", 3)
+    assert (kernels.span_hashes(data, starts, ends) == whole).all()
