@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,11 +21,63 @@ def nearest(left: DataFrame, right: DataFrame, batch: str, id_col: str, vector:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Distances (queries times rows) and vectors of pairs that a task computes at once.
+TILE_CELLS, TILE_PAIRS = 1 << 19, 1 << 14
+
+
+def _least(of: np.ndarray, other: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k pairs of each query with the least (distance, other), by query."""
+    order = np.lexsort((other, distance, of))
+    of = of[order]
+    best = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return of[best], other[order][best], distance[order][best]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """id, other, distance: the k rows (id, vector) of all batches that are nearest to each query ``q``.
+
+    A product of matrices rules out most pairs of a tile, with a margin for its rounding; distances are computed from the vectors of the rest.
+    What is held is a tile, a batch and k pairs a query.
+    """
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    worst = np.full(len(ids), np.inf)
+    q_size = (q * q).sum(axis=1)
+    for batch in batches:
+        other = batch.column(0).to_numpy(zero_copy_only=False)
+        v = np.array(batch.column(1).to_pylist(), float)
+        if not len(other):
+            continue
+        finite = np.isfinite(v).all(axis=1)
+        other, v = other[finite], v[finite]
+        v_size = (v * v).sum(axis=1)
+        found = [held]
+        height = max(1, TILE_CELLS // max(len(other), 1))
+        for low in range(0, len(ids) if len(other) else 0, height):
+            tile = slice(low, low + height)
+            rough = q_size[tile, None] - 2 * (q[tile] @ v.T) + v_size
+            margin = 1e-9 * (q_size[tile] + v_size.max())
+            rough[ids[tile, None] == other] = np.inf
+            level = np.minimum(np.partition(rough, k - 1, axis=1)[:, k - 1] if len(other) >= k else np.inf, worst[tile])
+            # where squares overflow, nothing is ruled out
+            i, at = np.nonzero((rough <= (level + 2 * margin)[:, None]) | ~np.isfinite(margin)[:, None])
+            i += low
+            for first in range(0, len(i), TILE_PAIRS):
+                one, two = i[first : first + TILE_PAIRS], at[first : first + TILE_PAIRS]
+                distance = ((v[two] - q[one]) ** 2).sum(axis=1)
+                good = np.isfinite(distance) & (ids[one] != other[two])
+                found.append(_least(one[good], other[two][good], distance[good], k))
+        held = _least(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+        full = np.flatnonzero(np.bincount(held[0], minlength=len(ids)) == k)
+        worst[full] = held[2][np.searchsorted(held[0], full, "right") - 1]
+    if len(held[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["id", "other", "distance"])
+
+
 def search(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, block: int = 2048) -> DataFrame:
     """id, other, distance, rank: the k nearest rows of each query, exactly (JOIN-09).
 
-    The queries are a stated set; they are broadcast a block at a time against all rows and every Arrow
-    batch keeps its k best, so that what is shuffled is k rows for each batch and query.
+    The queries are a stated set; they are broadcast a block at a time against all rows and every task
+    keeps its k best, so that what is shuffled is k rows for each task and query.
     """
     spark = rows.sparkSession
     names, vecs, found = [], [], []
@@ -32,21 +86,9 @@ def search(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int
         shared = spark.sparkContext.broadcast((np.array(names, np.int64), np.array(vecs, float)))
 
         def run(batches):
-            ids, q = shared.value
-            for batch in batches:
-                other = np.array(batch.column(0).to_pylist(), np.int64)
-                v = np.array(batch.column(1).to_pylist(), float)
-                if not len(other):
-                    continue
-                distance = np.stack([((v - one) ** 2).sum(axis=1) for one in q])
-                distance[ids[:, None] == other[None, :]] = np.inf
-                # the order of ties within a batch is by id, as in the final rank
-                best = np.lexsort((np.broadcast_to(other, distance.shape), distance), axis=1)[:, :k]
-                near = np.take_along_axis(distance, best, axis=1).ravel()
-                keep = np.isfinite(near)
-                yield pa.RecordBatch.from_pydict({"id": np.repeat(ids, best.shape[1])[keep], "other": other[best].ravel()[keep], "distance": near[keep]})
-
-        return rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), vector).mapInArrow(run, "id long, other long, distance double")
+            yield from _nearest(batches, *shared.value, k)
+
+        return rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), vector).mapInArrow(run, "id long, other long, distance double")
 
     for row in queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).toLocalIterator():
         names.append(row["id"])

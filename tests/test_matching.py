@@ -73,3 +73,29 @@ def test_matches_hold_both_ways(spark):
 
 def test_mutual_matches(same):
     same(queries.mutual_matches, queries.MATCHES)
+
+
+def test_search_holds_tiles_only():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v, q = rng.standard_normal((6000, 8)), rng.standard_normal((600, 8))
+    v[100:2100] = v[100]  # copies: ties go by id
+    v[5, 2], v[6, 3] = np.nan, np.inf
+    q[0], q[1] = v[100], 1e200
+    ids, names = np.arange(6000), np.arange(600) * 10
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 3000]), pa.array(list(v[a : a + 3000]))], ["id", "v"]) for a in (0, 3000)]
+    tracemalloc.start()
+    (out,) = pairing._nearest(iter(batches), names, q, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 * 3000 * 8 * 2, peak  # all distances of a batch, their order and its copies took five times as much
+    found = {}
+    for a, b, d in zip(*(c.to_pylist() for c in out.columns), strict=True):
+        found.setdefault(a, []).append((d, b))
+    for name, one in zip(names.tolist(), q, strict=True):
+        distance = ((v - one) ** 2).sum(axis=1)
+        good = np.flatnonzero(np.isfinite(distance) & (ids != name))
+        assert found.get(name, []) == sorted(zip(distance[good].tolist(), ids[good].tolist(), strict=True))[:5]
