@@ -10,15 +10,29 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LAPLACIAN = {(-1, 0): 1.0, (1, 0): 1.0, (0, -1): 1.0, (0, 1): 1.0, (0, 0): -4.0}
 
 
+#: Cells (pixels of vectors) that a task is meant to expand; their tall rows take some hundred bytes each where they are summed.
+CELLS_A_TASK = 1 << 18
+
+
+def dealt(rows: DataFrame, id_col: str, cells: int) -> DataFrame:
+    """``rows``, each of which will become so many tall rows, dealt by id to as many tasks as keep those tall rows bounded.
+
+    Vectors are moved while they are compact, and what is summed by the id or joined by it stays where it is.
+    """
+    parts = max(-(-rows.count() * cells // CELLS_A_TASK), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts, id_col)
+
+
 def pixels(rows: DataFrame, id_col: str, vector: str, width: int) -> DataFrame:
     """Row-major vectors as pixels (PRJ-07)."""
-    cells = rows.select(F.col(id_col).cast("long").alias("image_id"), F.posexplode(vector).alias("i", "v"))
+    rows = dealt(rows.select(F.col(id_col).cast("long").alias("image_id"), F.col(vector).alias("v")), "image_id", width * width)
+    cells = rows.select("image_id", F.posexplode("v").alias("i", "v"))
     return cells.select("image_id", (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), F.col("v").cast("double").alias("value"))
 
 
@@ -31,17 +45,22 @@ def gaussian(sigma: float, size: int | None = None) -> dict[tuple[int, int], flo
     return {k: v / total for k, v in raw.items()}
 
 
+def spread(image: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFrame:
+    """Each pixel's share for each of its neighbours by the (symmetric) kernel, and a row with inside for the pixel itself."""
+    entry = lambda dx, dy, w, inside: F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w"), F.lit(inside).alias("inside"))
+    offsets = F.array(entry(0, 0, 0.0, True), *[entry(dx, dy, w, False) for (dx, dy), w in kernel.items()])
+    rows = image.select("image_id", "x", "y", "value", F.explode(offsets).alias("o"))
+    value = F.when(F.col("o.inside"), F.lit(0.0)).otherwise(F.col("value") * F.col("o.w"))
+    return rows.select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), value.alias("value"), F.col("o.inside").alias("inside"))
+
+
 def convolved(image: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFrame:
     """Each pixel is spread to its neighbours by the (symmetric) kernel and summed there (WIN-06).
 
-    One shuffle with partial sums. Values that fall outside are dropped by a join with the image.
+    One pass over the image, with partial sums; one shuffle unless its rows lie by image. Values that fall outside are dropped: no pixel of the image marks their place.
     """
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w")) for (dx, dy), w in kernel.items()])
-    spread = image.select("image_id", "x", "y", "value", F.explode(offsets).alias("o"))
-    spread = spread.select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("value") * F.col("o.w")).alias("value"))
-    zero = image.select("image_id", "x", "y", F.lit(0.0).alias("value"), F.lit(True).alias("inside"))
-    both = spread.withColumn("inside", F.lit(False)).unionByName(zero)
-    return both.groupBy("image_id", "x", "y").agg(F.sum("value").alias("value"), F.bool_or("inside").alias("inside")).where("inside").drop("inside")
+    summed = spread(image, kernel).groupBy("image_id", "x", "y").agg(F.sum("value").alias("value"), F.bool_or("inside").alias("inside"))
+    return summed.where("inside").drop("inside")
 
 
 def blurred(image: DataFrame, sigma: float, size: int | None = None) -> DataFrame:
@@ -61,11 +80,18 @@ def highlights(image: DataFrame, k: float = 1.5, batch: str = "image_id") -> Dat
 
 
 def halation(image: DataFrame, sigma: float, intensity: float, k: float = 1.5) -> DataFrame:
-    """Highlights, blurred and added at an intensity (WIN-07)."""
-    lit = highlights(image, k).select("image_id", "x", "y", F.lit(True).alias("lit"))
-    bright = image.join(lit, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.when(F.col("lit"), F.col("value")).otherwise(0.0).alias("value"))
-    glow = blurred(bright, sigma).withColumnRenamed("value", "glow")
-    return image.join(glow, ["image_id", "x", "y"]).select("image_id", "x", "y", (F.col("value") + intensity * F.col("glow")).alias("value"))
+    """Highlights, blurred and added at an intensity (WIN-07); rows that share a place each get the glow of their number.
+
+    Pixels and glow meet in a window, which stays where the rows lie; a join would deal both anew.
+    """
+    at = ["image_id", "x", "y"]
+    stats = image.groupBy("image_id").agg((F.avg("value") + k * F.stddev_samp("value")).alias("level"))
+    bright = image.join(stats, "image_id").select(*at, F.when(F.col("value") > F.col("level"), F.col("value")).otherwise(0.0).alias("value"))
+    glow = blurred(bright, sigma).select(*at, F.lit(None).cast("double").alias("value"), F.col("value").alias("glow"), F.lit(0).alias("own"))
+    both = image.select(*at, "value", F.lit(None).cast("double").alias("glow"), F.lit(1).alias("own")).unionByName(glow)
+    place = Window.partitionBy(*at)
+    both = both.withColumn("glow", F.sum("glow").over(place) * F.sum("own").over(place)).where("own = 1")
+    return both.select(*at, (F.col("value") + intensity * F.col("glow")).alias("value"))
 
 
 def dir_contrast(image: DataFrame, sigma: float, strength: float, threshold: float) -> DataFrame:

@@ -220,3 +220,26 @@ def test_stream_reads_a_file_once(spark, tmp_path):
     got = {r["event_type"]: r["n"] for r in progress.totals(spark, f"{tmp_path}/in", "events", out).collect()}
     assert got == {"a": 2, "b": 1}
     assert progress.stale(spark.sql("SELECT TIMESTAMP '2024-01-01 00:00:00' AS seen"), "seen", F.lit("2024-01-01 03:00:00").cast("timestamp")).count() == 1
+
+
+def test_expanded_vectors_are_dealt_by_their_cells(spark, data, monkeypatch):
+    from granary import queries
+    from granary.operators import images
+
+    monkeypatch.setattr(images, "CELLS_A_TASK", 64)
+    rows = spark.range(40).selectExpr("id", "transform(sequence(0, 15), i -> id + i * 0.5) AS v")
+    cells = images.pixels(rows, "id", "v", 4)
+    assert cells.rdd.getNumPartitions() >= 10  # 640 cells
+    for query in (queries.halation, queries.gaussian_blur):
+        plan = query(spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_halation_of_rows_at_one_place(spark, duck):
+    from granary.operators import images
+
+    rows = spark.createDataFrame([(1, 0, 0, 9.0), (1, 0, 0, 0.0), (1, 1, 0, 0.0), (1, 1, 0, 0.0), (1, 2, 0, 0.0), (1, 2, 0, 0.0)], "image_id long, x int, y int, value double")
+    w = images.gaussian(0.8)
+    got = sorted((r["x"], round(r["value"], 9)) for r in images.halation(rows, 0.8, 0.5).collect())
+    glow = {x: 0.5 * 2 * 9.0 * w[(x, 0)] for x in (0, 1, 2)}
+    assert got == sorted((x, round(v + glow[x], 9)) for x, v in ((0, 9.0), (0, 0.0), (1, 0.0), (1, 0.0), (2, 0.0), (2, 0.0)))
