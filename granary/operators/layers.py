@@ -27,10 +27,17 @@ def two_way(v: Column, decay: float) -> Column:
 
 
 def merged(base: DataFrame, a: DataFrame, b: DataFrame, alpha: float, rank: int, scale: float = 1.0) -> DataFrame:
-    """i, j, value of base + alpha / rank * scale * (b x a), all matrices as tall rows (i, j, value) (PRJ-21)."""
-    left, right = b.select("i", F.col("j").alias("r"), F.col("value").alias("x")), a.select(F.col("i").alias("r"), "j", F.col("value").alias("y"))
-    delta = left.join(right, "r").groupBy("i", "j").agg((F.lit(alpha / rank * scale) * F.sum(F.col("x") * F.col("y"))).alias("delta"))
-    return base.join(delta, ["i", "j"], "left").select("i", "j", (F.col("value") + F.coalesce("delta", F.lit(0.0))).alias("value"))
+    """i, j, value of base + alpha / rank * scale * (b x a), all matrices as tall rows (i, j, value) (PRJ-21).
+
+    Each cell meets the line of b of its row and the line of a of its column, ``rank`` numbers each; products are summed
+    within the cell, so no table of products is grouped, and the few values of the rank are no keys of a shuffle.
+    """
+    line = F.collect_list(F.struct("r", "s"))
+    left = b.groupBy("i", F.col("j").alias("r")).agg(F.sum("value").alias("s")).groupBy("i").agg(line.alias("x"))
+    right = a.groupBy("j", F.col("i").alias("r")).agg(F.sum("value").alias("s")).where("r IS NOT NULL").groupBy("j").agg(F.map_from_entries(line).alias("y"))
+    both = base.join(left, "i", "left").join(right, "j", "left")
+    delta = F.aggregate("x", F.lit(0.0), lambda t, e: t + F.coalesce(e["s"] * F.try_element_at("y", e["r"]), F.lit(0.0)))
+    return both.select("i", "j", (F.col("value") + F.coalesce(F.lit(alpha / rank * scale) * delta, F.lit(0.0))).alias("value"))
 
 
 def blended(w: Column, a: Column, b: Column, share: float) -> Column:

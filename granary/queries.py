@@ -356,7 +356,11 @@ def four_way_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "f")).select("vec_id", "i", F.col("f").cast("double").alias("v"))
+    return _cells(table(spark, sf_dir, "embeddings"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.select("vec_id", F.posexplode("embedding").alias("i", "f")).select("vec_id", "i", F.col("f").cast("double").alias("v"))
 
 
 POINTS = "e AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 4097) r(i) WHERE i <= len(embedding))"
@@ -371,7 +375,8 @@ def causal_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT b.i, a.j, sum(x * y) AS delta FROM b JOIN a ON b.r = a.r GROUP BY ALL)
 SELECT e.vec_id AS i, e.i AS j, round(v + 8.0 * delta, 6) AS value FROM e JOIN d ON e.vec_id = d.i AND e.i = d.j""")
 def lora_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _points(spark, sf_dir).select(F.col("vec_id").alias("i"), F.col("i").cast("long").alias("j"), F.col("v").alias("value"))
+    rows = images.dealt(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", WIDTH * WIDTH)
+    cells = _cells(rows).select(F.col("vec_id").alias("i"), F.col("i").cast("long").alias("j"), F.col("v").alias("value"))
     return layers.merged(cells, cells.where("i < 2"), cells.where("j < 2"), 16.0, 2).select("i", F.col("j").cast("int").alias("j"), *_rounded("value"))
 
 

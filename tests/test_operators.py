@@ -243,3 +243,17 @@ def test_halation_of_rows_at_one_place(spark, duck):
     got = sorted((r["x"], round(r["value"], 9)) for r in images.halation(rows, 0.8, 0.5).collect())
     glow = {x: 0.5 * 2 * 9.0 * w[(x, 0)] for x in (0, 1, 2)}
     assert got == sorted((x, round(v + glow[x], 9)) for x, v in ((0, 9.0), (0, 0.0), (1, 0.0), (1, 0.0), (2, 0.0), (2, 0.0)))
+
+
+def test_merge_groups_no_products(spark):
+    from granary.operators import layers
+
+    cells = lambda rows: spark.createDataFrame(rows, "i long, j long, value double")
+    base = cells([(i, j, float(i)) for i in range(5) for j in range(3)] + [(0, 0, 7.0), (9, 9, 1.0)])
+    a, b = cells([(0, 0, 1.0), (0, 0, 2.0), (1, 1, 3.0), (1, 2, None)]), cells([(i, r, 1.0 + i + r) for i in range(4) for r in range(2)])
+    out = layers.merged(base, a, b, 4.0, 2)
+    found = sorted((r["i"], r["j"], r["value"]) for r in out.collect())
+    delta = lambda i, j: 0.0 if i > 3 else {0: 3.0 * (1 + i), 1: 3.0 * (2 + i)}.get(j, 0.0)
+    assert found == sorted((i, j, v + 2 * delta(i, j)) for i, j, v in ((r["i"], r["j"], r["value"]) for r in base.collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner" in line]  # rows of b by the rank with rows of a
