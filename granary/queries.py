@@ -205,8 +205,9 @@ def lines_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     # a line waits for the one numbered before it and for the one shipped before it
     before = F.lag("id").over(Window.partitionBy("l_orderkey").orderBy("ship", "l_linenumber"))
-    deps = lines.where("l_linenumber > 1").select("id", (F.col("id") - 1).alias("dep")).unionByName(lines.select("id", before.alias("dep")))
-    return manifest.readiness(lines.select("id", "done"), deps)
+    deps = F.array(F.when(F.col("l_linenumber") > 1, F.col("id") - 1), before)
+    # lines of one order are near each other
+    return manifest.readiness(lines.select("id", "done", deps.alias("deps")), "deps", near=lambda line: F.shiftright(line, 3))
 
 
 # vectors

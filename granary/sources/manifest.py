@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.session import forgotten, kept
 
+#: Tasks and dependencies of one neighbourhood that are followed within one row; bits of a long stand for the tasks.
+NEAR = 63
+
 SCHEMA = "id string, source string, task string, input string, target string, style string, license string, weight double, split string, redistributable boolean"
 
 
@@ -86,14 +91,78 @@ def gated(rows: DataFrame, key: str, good: Column, least: int) -> DataFrame:
     return rows.where(good).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def readiness(tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """id, ready, cyclic of each task of ``tasks`` (id, done) under ``deps`` (id, dep), followed to the end (JOIN-11).
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def _united(items: Column, bits: Callable[..., Column]) -> Column:
+    """All bits of a number that each item has."""
+    return F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(bits(x)))
+
+
+def _settled(groups: DataFrame) -> DataFrame:
+    """``groups`` (cells, of id, known, done and deps) with ``answers``: id, ready and cyclic of each known task, by the closure of the dependencies among at most ``NEAR`` tasks."""
+    none = F.lit(0).cast("long")
+    names = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.concat(F.array(c.id), c.deps))))
+    groups = groups.withColumn("names", F.when(~F.col("open"), names)).withColumn("places", F.when(~F.col("open"), F.sequence(F.lit(0), F.size("names") - 1)))
+    at = lambda x: _bit(F.array_position("names", x) - 1)
+    own = lambda x: _united(F.col("cells"), lambda c: F.when(c.id == x, _united(c.deps, at)).otherwise(none))
+    groups = groups.select("*", F.transform("names", own).alias("next"), *[_united(F.col("cells"), lambda c, f=f: F.when(c[f], at(c.id)).otherwise(none)).alias(f) for f in ("known", "done")])
+    # through one task after another
+    through = F.aggregate("places", F.col("next"), lambda m, k: F.transform(m, lambda x: F.when(F.getbit(x, k) == 1, x.bitwiseOR(F.get(m, k))).otherwise(x)))
+    groups = groups.withColumn("far", through)
+    groups = groups.withColumn("ring", _united(F.col("places"), lambda i: F.when(F.getbit(F.get("far", i), i) == 1, _bit(i)).otherwise(none)))
+    groups = groups.withColumn("after", _united(F.col("places"), lambda i: F.when(F.getbit("ring", i) == 1, F.get("far", i)).otherwise(none)))
+
+    def answer(i: Column) -> Column:
+        far = F.get("far", i)
+        ready = far.bitwiseAND(F.bitwise_not("done")) == 0
+        return F.struct(F.get("names", i).alias("id"), ready.alias("ready"), ((F.getbit("after", i) == 1) & (far.bitwiseAND(F.col("ring")) != 0)).alias("cyclic"))
+
+    return groups.withColumn("answers", F.transform(F.filter("places", lambda i: F.getbit("known", i) == 1), answer))
+
+
+def _neighbours(rows: DataFrame, near: Callable[[Column], Column]) -> DataFrame:
+    """open, answers, cells of ``rows`` (id, known, done, deps) by neighbourhoods, written: those within ``NEAR`` that no dependency enters or leaves have answers, the others, which are open, their rows."""
+    ends = F.array_distinct(F.concat(F.array(near(F.col("id"))), F.transform("deps", near)))
+    rows = rows.withColumn("ends", ends).select("*", F.explode("ends").alias("group"))
+    # both ends of a dependency between neighbourhoods hold them open
+    own = F.col("group").eqNullSafe(near(F.col("id")))
+    rows = rows.select("group", ((F.size("ends") > 1) | F.col("group").isNull() | F.col("id").isNull()).alias("crossed"), F.when(own, F.struct("id", "known", "done", "deps")).alias("cell"))
+    by = Window.partitionBy("group").orderBy("cell.id")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.sum(F.when(F.col("cell").isNotNull(), 1 + F.size("cell.deps")).otherwise(1)).over(whole)
+    rows = rows.select("group", "cell", (F.bool_or("crossed").over(whole) | (size > NEAR)).alias("open"), F.row_number().over(by).alias("place"))
+    part = F.when(F.col("open"), F.floor(F.col("place") / NEAR)).otherwise(0)
+    groups = rows.groupBy("group", "open", part.alias("part")).agg(F.collect_list("cell").alias("cells"))
+    return kept(_settled(groups).select("open", "answers", F.when(F.col("open"), F.col("cells")).alias("cells")), "tasks")
+
+
+def readiness(tasks: DataFrame, deps: DataFrame | str, near: Callable[[Column], Column] | None = None) -> DataFrame:
+    """id, ready, cyclic of each task of ``tasks`` (id, done) under ``deps`` (id, dep; or the name of an array column of ``tasks``), followed to the end (JOIN-11).
 
     A task is ready if everything it depends on, directly or not, is done; a null ``done`` and an unknown task are not. It is cyclic if it lies on a cycle
     of dependencies, or on a way from one cycle to another. Tasks with an open dependency are found level by level, each level joined to the dependencies and
     to nothing it has met before; cycles by taking away, again and again, dependencies whose ends do not go on. Levels are written, and as many as the longest chain.
     Repeated tasks count as one, done if any of them is; null ids have no dependencies, and rows of ``deps`` with a null end are left out.
+
+    ``near`` gives an id's neighbourhood. It changes no result: neighbourhoods of at most ``NEAR`` rows and dependencies, of which none leads to another neighbourhood, are
+    dealt out once and settled each by itself, and all others go level by level.
     """
+    if near is not None:
+        kind = tasks.select(F.array("id")).schema[0].dataType
+        listed = F.array_compact(F.col(deps).cast(kind)) if isinstance(deps, str) else F.lit(None).cast(kind)
+        rows = tasks.select("id", F.lit(True).alias("known"), F.coalesce("done", F.lit(False)).alias("done"), F.coalesce(listed, F.array().cast(kind)).alias("deps"))
+        if not isinstance(deps, str):
+            rows = rows.unionByName(deps.where("id IS NOT NULL AND dep IS NOT NULL").select("id", F.lit(False).alias("known"), F.lit(False).alias("done"), F.array("dep").cast(kind).alias("deps")))
+        parts = _neighbours(rows, near)
+        out = parts.where("NOT open").select(F.inline("answers"))
+        left = parts.where("open").select(F.inline("cells"))
+        if left.isEmpty():
+            return out
+        return out.unionByName(readiness(left.where("known"), left.select("id", F.explode("deps").alias("dep"))))
+    if isinstance(deps, str):
+        deps = tasks.select("id", F.explode(deps).alias("dep"))
     tasks = tasks.groupBy("id").agg(F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
     edges = kept(deps.select("id", "dep").where("id IS NOT NULL AND dep IS NOT NULL").distinct(), "tasks")
     done = tasks.where("done").select(F.col("id").alias("dep"))

@@ -105,6 +105,36 @@ def test_a_long_chain_and_a_bridge(spark):
     assert [i for i in got if got[i]["cyclic"]].__len__() == 5 and got[22]["cyclic"]
 
 
+def test_neighbourhoods_change_no_answer(spark):
+    draw = np.random.default_rng(5)
+    # some neighbourhoods of eight are closed, some have links to others, one is too large
+    deps = [(8 * int(b) + int(i), 8 * int(b) + int(j)) for b, i, j in zip(draw.integers(0, 60, 300), draw.integers(0, 8, 300), draw.integers(0, 8, 300), strict=True)]
+    deps += [(8, 17), (25, 17), (17, 90), (480, 3), (None, 3), (5, None), (300, 300)] + [(488 + i % 8, 488 + i // 8) for i in range(64)]
+    tasks = [(int(i), bool(d) if i % 9 else None) for i, d in zip(draw.permutation(500), draw.random(500) < 0.8, strict=True) if i % 11] + [(16, True), (16, False), (None, True), (None, False), (900, False)]
+    table, links = spark.createDataFrame(tasks, "id long, done boolean"), spark.createDataFrame(deps, "id long, dep long")
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = plain(manifest.readiness(table, links))
+    assert len({r[1:] for r in want}) == 4
+    for near in (lambda i: F.shiftright(i, 3), lambda i: F.lit(0), lambda i: F.nullif(i % 7, F.lit(3))):
+        assert plain(manifest.readiness(table, links, near=near)) == want
+    listed = table.where("id < 480").join(links.groupBy("id").agg(F.collect_list("dep").alias("deps")), "id", "left")
+    links = listed.select("id", F.explode("deps").alias("dep"))
+    assert plain(manifest.readiness(listed, "deps")) == plain(manifest.readiness(listed, "deps", near=lambda i: F.shiftright(i, 3))) == plain(manifest.readiness(listed, links))
+    assert manifest.readiness(table.limit(0), links.limit(0), near=lambda i: i).collect() == []
+
+
+def test_lines_of_orders_are_dealt_once(spark, data):
+    from granary.queries import lines_ready
+
+    spark.sparkContext.setJobGroup("lines", "lines_ready")
+    rows = lines_ready(spark, data)
+    rows.write.format("noop").mode("overwrite").save()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("lines"))
+    spark.sparkContext.setJobGroup("", "")
+    # level by level it takes a job or more for each line of the longest order
+    assert jobs <= 12
+
+
 def test_radial_spectrum(spark):
     h, w = 16, 16
     y, x = np.mgrid[0:h, 0:w]
